@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import bpe, chat, sharding, token_counts
 
 
 def queries():
-    return {"op9_sharding": sharding.op9_sharding}
+    return {
+        "op2_bpe": bpe.op2_bpe,
+        "op3_token_counts": token_counts.op3_token_counts,
+        "op7_chat": chat.op7_chat,
+        "op9_sharding": sharding.op9_sharding,
+    }
 
 
 def oracle_sql():
-    return {"op9_sharding": sharding.sql()}
+    return {"op7_chat": chat.SQL, "op9_sharding": sharding.sql()}
