@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, sharding, token_counts
+from . import bpe, chat, decontamination, sharding, token_counts
 
 
 def queries():
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_bpe": bpe.op2_bpe,
         "op3_token_counts": token_counts.op3_token_counts,
         "op7_chat": chat.op7_chat,
@@ -15,4 +16,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_chat": chat.SQL, "op9_sharding": sharding.sql()}
+    return {"op1_decontamination": decontamination.SQL, "op7_chat": chat.SQL, "op9_sharding": sharding.sql()}
