@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, sharding, token_counts
+from . import bpe, chat, decontamination, pii, sharding, token_counts
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_bpe": bpe.op2_bpe,
         "op3_token_counts": token_counts.op3_token_counts,
         "op7_chat": chat.op7_chat,
+        "op8_pii": pii.op8_pii,
         "op9_sharding": sharding.op9_sharding,
     }
 
