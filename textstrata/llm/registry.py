@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, pii, sharding, token_counts
+from . import bpe, chat, decontamination, language, pii, sharding, token_counts, toxicity
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_bpe": bpe.op2_bpe,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op5_language": language.op5_language,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_chat": chat.op7_chat,
         "op8_pii": pii.op8_pii,
         "op9_sharding": sharding.op9_sharding,
