@@ -1,13 +1,19 @@
-"""Shared pieces of the training-data operators: shared-folder tables, connected components, folds."""
+"""Shared pieces of the training-data operators: shared-folder tables, grouped Arrow streams, connected components, folds."""
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The held-out fold: rows whose crc32(doc_id as text) mod FOLDS is 0 are never learned from.
@@ -65,32 +71,87 @@ def ascii_lower(col):
     return F.when(plain, F.lower(col)).otherwise(F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (long): one row (node, root) per node that has an edge.
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` on the rows of each key, in sorted partitions and so with one key's rows in memory at a time.
+
+    Callers bound the rows of a key; many small keys cost no task or worker of their own.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            changed = np.zeros(batch.num_rows - 1, bool)
+            for k in keys:
+                column = batch.column(k)
+                changed |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+            for a, b in itertools.pairwise(cuts):
+                key = tuple(batch.column(k)[a].as_py() for k in keys)
+                if kept and key != last:
+                    yield from run(pa.Table.from_batches(kept))
+                    kept = []
+                last = key
+                kept.append(batch.slice(a, b - a))
+        if kept:
+            yield from run(pa.Table.from_batches(kept))
+
+    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
 
-    root is the smallest node reachable. Alternating large-star and small-star
-    rounds, each aggregated before its shuffle and written to the shared folder.
-    A hub's neighbours are never gathered into one array: every round is a
-    min-aggregation per node followed by a join, so a hub is only a hot join key.
-    Loops and repeated edges are ignored. An empty input gives an empty result.
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Connected components of ``edges(a, b)`` (long): one row (node, root) per node that has an edge to another.
+
+    root is the smallest node reachable. Rounds alternate a large star (each
+    node's greater neighbours move to its least one) and a small star (a node's
+    lesser neighbours move to the least). Every step is a min-aggregation per
+    node and a join, so a hub is a join key that can be split, never an array.
+    Each round is written to the shared folder; it has settled when the number
+    and the hash sum of its edges stay. Nulls, loops and repeated edges are
+    ignored; an empty input gives an empty result.
     """
-    schema_edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
-    cur = stage(schema_edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc0")
+    plain = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    cur, seen = _edge_stage(plain.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
-        # Every node points to the smallest label seen in its neighbourhood (itself included).
+        if not seen[0]:
+            break
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lows, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        new = stage(small, "cc")
-        changed = new.join(cur, ["a", "b"], "left_anti").limit(1).count() + cur.join(new, ["a", "b"], "left_anti").limit(1).count()
+        new, now = _edge_stage(small)
         drop_stage(cur)
         cur = new
-        if not changed:
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     heads = cur.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(heads)
+
+
+def _edge_stage(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    watch = Observation()
+    out = stage(edges.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+    got = watch.get
+    return out, (got["n"], got["h"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, language, pii, sharding, token_counts, toxicity
+from . import bpe, chat, decontamination, jaccard, language, pii, sharding, token_counts, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_bpe": bpe.op2_bpe,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_jaccard": jaccard.op4_jaccard,
         "op5_language": language.op5_language,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_chat": chat.op7_chat,
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontamination": decontamination.SQL, "op7_chat": chat.SQL, "op9_sharding": sharding.sql()}
+    return {"op1_decontamination": decontamination.SQL, "op4_jaccard": jaccard.SQL, "op7_chat": chat.SQL, "op9_sharding": sharding.sql()}
