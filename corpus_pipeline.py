@@ -1,7 +1,72 @@
-"""The training-data pipeline (stages follow)."""
+"""Training-data pipeline: language ID, near-duplicates, decontamination, personal data, BPE.
 
+Each stage takes (spark, docs, sf_dir), works on all documents that the stage
+before kept, and returns a DataFrame that is written as Parquet and read again
+as the next one's docs. All but the last return the columns of documents.
+
+Defined results: documents without any letter, and those that no learned
+language fits, go in the first stage; of documents that repeat a doc_id the
+one with the least text stays in the second (rows without doc_id all stay);
+contaminated documents go in the third; the fourth changes text and n_chars;
+empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textstrata.llm import bpe, decontamination, jaccard, language, pii
+from textstrata.llm.common import stage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is rejected if its best language gets less than this.
+LEAST_SCORE = 0.5
+
+#: The language network and EM classifier are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.train(language.training_rows(docs))
+    told = language.identify(docs, model)
+    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.near_groups(docs)
+    heads = groups.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), "lang", "source", "n_chars")
+    named = docs.filter(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return named.select(*COLUMNS).unionAll(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    hit = decontamination.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_key").filter("n_hit > 0").select("_key")
+    return keyed.join(hit, "_key", "left_anti").select(*COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.octet_length("decoded").cast("long").alias("n_bytes"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language", keep_languages),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("bpe", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return docs
