@@ -9,8 +9,10 @@ prefixes in a hash join; the window must then fit between the document's ends
 (length and position bounds), and its words are compared one by one with the
 document's.
 
-The prefixes are broadcast in blocks of at most ``BLOCK`` rows; a larger
-benchmark takes more passes over the documents, and no row is left out.
+The texts are read once: places of item shingles are written to the shared
+folder with the words around them; rarity, prefixes, bounds and the comparison
+follow from that table. Item shingles are broadcast as hashes, in blocks of at
+most ``BLOCK``; a larger benchmark takes more passes, and no row is left out.
 
 Defined results: null or empty text has no words; a null item, or one without
 words, has no window; repeated document rows give a row each; repeated items
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stage
 
 WINDOW, SHINGLE = 10, 5
-#: Rows that are broadcast at once.
-BLOCK = 100_000
+#: Hashes that are broadcast at once.
+BLOCK = 500_000
 #: What separates words, after A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Hash of the row that every document has, so that documents without hits stay in the result.
@@ -41,7 +43,7 @@ def words_of(text: Column) -> Column:
 
 
 def _shingle(words: Column, at: Column, size: int) -> Column:
-    """Hash of ``size`` words from the 0-based place ``at``; the length keeps sizes apart."""
+    """Hash of ``size`` words from the 0-based place ``at``; the size keeps lengths apart."""
     return F.xxhash64(F.lit(size), *[F.get(words, at + k) for k in range(size)])
 
 
@@ -67,44 +69,52 @@ def _blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
     return [df.filter(F.pmod(F.hash(key), F.lit(n)) == b) for b in range(n)] if n > 1 else [df]
 
 
-def prefixes(docs: DataFrame, found: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Each window with its prefix: (wid, words, items, h, at), h being its rarest shingle in ``docs`` and at its place."""
+def window_shingles(found: DataFrame) -> DataFrame:
+    """Each window's shingles: (wid, words, items, at, h)."""
     size = F.least(F.size("words"), F.lit(SHINGLE))
     of_window = F.when(size == SHINGLE, _shingles(F.col("words"), [SHINGLE]))
     for s in range(1, SHINGLE):
         of_window = of_window.when(size == s, _shingles(F.col("words"), [s]))
-    parts = stage(found.select("wid", "words", "items", size.alias("size"), F.explode(of_window).alias("s")).select("wid", "words", "items", "size", "s.at", "s.h"), "windows")
-    sizes = sorted(r[0] for r in parts.select("size").distinct().collect())
-    if not sizes:
-        return parts.drop("size")
-    tokens = docs.select(F.explode(F.transform(_shingles(F.col("w"), sizes), lambda s: s["h"])).alias("h"))
-    counts = [tokens.join(F.broadcast(b), "h").groupBy("h").count() for b in _blocks(parts.select("h").distinct(), "h", 10 * block)]
-    # A shingle without occurrences rules its window out, so the least count must belong to a counted one.
-    rare = parts.join(reduce(DataFrame.unionAll, counts), "h", "left").groupBy("wid").agg(
+    return found.select("wid", "words", "items", F.explode(of_window).alias("s")).select("wid", "words", "items", "s.at", "s.h")
+
+
+def meetings(rows: DataFrame, tokens: DataFrame, sizes: list[int], block: int = BLOCK) -> DataFrame:
+    """Places of item shingles in documents, with the words around that a window there can reach; and one row (place -1) per document.
+
+    ``tokens`` (h) is broadcast block by block; each block is one pass over the documents.
+    """
+    every = F.struct(F.lit(-1).alias("at"), F.lit(EVERY).cast("long").alias("h"))
+    met = []
+    for i, b in enumerate(_blocks(tokens, "h", block)):
+        marks = F.concat(F.array(every), _shingles(F.col("w"), sizes)) if i == 0 else _shingles(F.col("w"), sizes)
+        side = b.select("h").unionAll(rows.sparkSession.range(1).select(F.lit(EVERY).cast("long"))) if i == 0 else b.select("h")
+        exploded = rows.select("rid", "key", F.size("w").alias("n_words"), "w", F.explode(marks).alias("m")).select("rid", "key", "n_words", "w", F.col("m.at").alias("place"), F.col("m.h").alias("h"))
+        low = F.greatest(F.col("place") - (WINDOW - 1), F.lit(0))
+        met.append(exploded.join(F.broadcast(side.distinct()), "h").select("rid", "key", "n_words", "place", "h", F.when(F.col("place") >= 0, F.slice("w", low + 1, F.lit(2 * WINDOW))).alias("around")))
+    return reduce(DataFrame.unionAll, met)
+
+
+def prefixes(parts: DataFrame, met: DataFrame) -> DataFrame:
+    """Each window's prefix: (words, items, h, at), its rarest shingle by occurrences in all documents; windows with an absent shingle are left out."""
+    counts = met.filter("place >= 0").groupBy("h").count()
+    rare = parts.join(counts, "h", "left").groupBy("wid").agg(
         F.first("words").alias("words"), F.first("items").alias("items"), F.min_by(F.struct("h", "at"), F.struct(F.coalesce("count", F.lit(0)), "h", "at")).alias("p"), F.count_if(F.col("count").isNull()).alias("absent")
     )
-    return rare.filter("absent = 0").select("wid", "words", "items", "p.h", "p.at")
+    return rare.filter("absent = 0").select("words", "items", "p.h", "p.at")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Per document row: key, n_words, hits (array<struct<start,stop>>, merged word ranges), n_hit, items (sorted ids)."""
+    """Per document row: key, n_words, spans (array<struct<start,stop>>, hit word ranges), n_hit, items (sorted ids)."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), words_of(F.col(text)).alias("w"))
-    chosen = stage(prefixes(rows, windows(items, item_key, item_text), block=block), "prefixes")
-    sizes = sorted(r[0] for r in chosen.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
-    empty = chosen.schema
-    every = docs.sparkSession.range(1).select(*[(F.lit(EVERY) if f.name == "h" else F.lit(-1) if f.name == "at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.fields])
-    hits = []
-    for i, b in enumerate(_blocks(chosen, "wid", block)):
-        marks = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit(EVERY).cast("long").alias("h"))), _shingles(F.col("w"), sizes))
-        exploded = rows.select("rid", "key", F.size("w").alias("n_words"), "w", F.explode(marks).alias("m")).select("rid", "key", "n_words", "w", F.col("m.at").alias("place"), F.col("m.h").alias("h"))
-        # place and at are both -1 for the row that every document has
-        side = b.unionByName(every) if i == 0 else b
-        start = F.col("place") - F.col("at")
-        fits = (start >= 0) & (start + F.size("words") <= F.col("n_words")) & (F.slice("w", start + 1, F.size("words")) == F.col("words"))
-        hits.append(exploded.join(F.broadcast(side), "h").filter(F.when(F.col("wid").isNull(), F.col("place") == -1).otherwise((F.col("place") >= 0) & fits)).select(
-            "rid", "key", "n_words", F.when(F.col("wid").isNotNull(), F.struct(start.alias("start"), (start + F.size("words")).alias("stop"))).alias("span"), F.when(F.col("wid").isNotNull(), F.col("items")).alias("items")
-        ))
-    grouped = reduce(DataFrame.unionAll, hits).groupBy("rid").agg(F.first("key").alias(key), F.first("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    parts = stage(window_shingles(windows(items, item_key, item_text)), "windows")
+    sizes = sorted(r[0] for r in parts.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
+    met = stage(meetings(rows, parts.select("h").distinct(), sizes, block), "meetings")
+    start = F.col("place") - F.col("at")
+    inside = start - F.greatest(F.col("place") - (WINDOW - 1), F.lit(0))
+    fits = (start >= 0) & (start + F.size("words") <= F.col("n_words")) & (F.slice("around", F.greatest(inside, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+    hits = met.filter("place >= 0").join(prefixes(parts, met), "h").filter(fits).select("rid", "key", "n_words", F.struct(start.alias("start"), (start + F.size("words")).alias("stop")).alias("span"), "items")
+    every = met.filter("place < 0").select("rid", "key", "n_words", F.lit(None).cast("struct<start:int,stop:int>").alias("span"), F.lit(None).cast(hits.schema["items"].dataType).alias("items"))
+    grouped = hits.unionAll(every).groupBy("rid").agg(F.first("key").alias(key), F.first("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return grouped.select(key, "n_words", "spans", _covered(F.col("spans")).alias("n_hit"), "items")
 
 
