@@ -1,23 +1,15 @@
-"""Registry of the core engine's queries and their DuckDB SQL."""
+"""The core engine's queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import base, corpus, documents, golden, retrieval
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["corpus", "documents", "golden", "oracle_sql", "queries", "retrieval"]
 
-Query = Callable[[SparkSession, str], DataFrame]
 
-
-def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.filter(F.col("text").like("%the%") & (F.col("source") != "src0")).select("doc_id", F.length("text").alias("n"))
-
-
-def queries() -> dict[str, Query]:
-    return {"kw_all_terms_scoped": _keyword}
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"kw_all_terms_scoped": "SELECT doc_id, length(text) AS n FROM documents WHERE text LIKE '%the%' AND source <> 'src0'"}
+    return dict(base.SQL)
