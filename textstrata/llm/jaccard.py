@@ -31,10 +31,12 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,16 @@ PIVOTS, LEAF = 6, 48
 GATHER = 8_000_000
 
 
-def _rows(batches: Iterator[pa.RecordBatch], most: int = 250) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], text: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text; one longer text is a slice of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, most):
-            yield batch.slice(at, most)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            begun = size[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, begun + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def _by_range(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -89,7 +97,7 @@ def common_shingles(docs: DataFrame, text: str = "text", size: int = SIZE, commo
             yield pa.RecordBatch.from_pydict({k: [x[i] for x in rows] for i, k in enumerate(("r", "steps", "far", "times", "total"))}, schema=schema)
 
         schema = pa.schema([("r", pa.int32()), ("steps", pa.binary()), ("far", pa.binary()), ("times", pa.binary()), ("total", pa.int64())])
-        for rows in _rows(batches):
+        for rows in _rows(batches, 0):
             h, _ = shingle_sets(rows.column(0), size)
             kept.append((h >> np.uint64(32)).astype(np.uint32))
             n += len(h)
@@ -131,7 +139,7 @@ def leading_sets(docs: DataFrame, often, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = often.value
-        for rows in _rows(batches):
+        for rows in _rows(batches, text):
             h, off = shingle_sets(rows.column(text), size)
             n = np.diff(off)
             owner = np.repeat(np.arange(len(n)), n)
@@ -166,7 +174,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for rows in _rows(batches, 2000):
+        for rows in itertools.chain.from_iterable((b.slice(at, 2000) for at in range(0, b.num_rows, 2000)) for b in batches):
             sig, n = rows.column("sig").to_numpy(), rows.column("n").to_numpy()
             fresh = np.array([bool(k) and s not in seen and not seen.add(s) for s, k in zip(sig.tolist(), n.tolist(), strict=True)], bool)
             if len(seen) > 1_000_000:
@@ -313,7 +321,7 @@ def region_links(docs: DataFrame, members: DataFrame, key: str = "doc_id", text:
     cut = members.join(sizes, "root").filter("m > 1").withColumn("nb", F.when(F.col("m") <= 2 * BLOCK_LEAST, 1).otherwise(F.ceil(F.col("m") / block)).cast("int"))
     own = F.pmod(F.xxhash64("sig", F.lit(4)), F.col("nb")).cast("int")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    placed = cut.select(F.col(key).alias("_key"), "sig", "root", "nb", own.alias("own")).join(texts, "_key").select("sig", "root", "_text", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("k"))
+    placed = cut.select(F.col(key).alias("_key"), "sig", "root", "nb", own.alias("own")).hint("merge").join(texts, "_key").select("sig", "root", "_text", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("k"))
     dealt = placed.select("root", F.col("k.i").alias("i"), F.col("k.j").alias("j"), "sig", "_text")
 
     def run(table: pa.Table) -> Iterable[pa.RecordBatch]:

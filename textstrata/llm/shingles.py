@@ -13,7 +13,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(ODD), -1, 2**64))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
