@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import base, corpus, documents, golden, retrieval
+from .plans import base, corpus, documents, golden, retrieval, streams
 
-__all__ = ["corpus", "documents", "golden", "oracle_sql", "queries", "retrieval"]
+__all__ = ["corpus", "documents", "golden", "oracle_sql", "queries", "retrieval", "streams"]
 
 
 def queries() -> dict[str, base.Query]:

@@ -37,7 +37,7 @@ def permissions(user_roles: DataFrame) -> DataFrame:
 
 def failures_within(events: DataFrame, key: str, seconds: int = 900, ts: str = "ts") -> DataFrame:
     """Each failure with the number of failures of its key in the trailing span, itself included."""
-    trailing = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    trailing = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("n_failures", F.count(F.lit(1)).over(trailing))
 
 

@@ -118,9 +118,9 @@ def stage_times(marks: DataFrame, run: str = "run_id", state: str = "state", ts:
     """(run, state, seconds) from each mark to the next one, the last to the run's end (seconds since its first mark)."""
     own = Window.partitionBy(run).orderBy(ts, state)
     whole = Window.partitionBy(run)
-    seconds = lambda c: F.unix_micros(c) / 1e6
-    stop = F.coalesce(seconds(F.lead(ts).over(own)), F.min(seconds(ts)).over(whole) + F.col(end))
-    return marks.select(run, state, (stop - seconds(ts)).alias("seconds"))
+    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    stop = F.coalesce(F.lead(at).over(own), F.min(at).over(whole) + F.col(end))
+    return marks.select(run, state, (stop - at).alias("seconds"))
 
 
 def parser_checks(runs: DataFrame) -> DataFrame:

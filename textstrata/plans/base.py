@@ -32,13 +32,15 @@ def literal(v) -> str:
         return "NULL"
     if isinstance(v, bool):
         return str(v).upper()
-    if isinstance(v, (int, float)):
+    if isinstance(v, float):
+        return f"{v}::DOUBLE"
+    if isinstance(v, int):
         return str(v)
     return "'" + str(v).replace("'", "''") + "'"
 
 
 def values(rows: list[tuple], columns: str) -> str:
-    """Rows as SQL that both engines read."""
+    """Rows as DuckDB SQL."""
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS t({columns})"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +21,16 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream appends until its input is used up, as a table in the shared folder."""
+    spark = stream.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "textstrata-shared")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/table").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+
+
 def lockout_counts(events: DataFrame, key: str = "user_id", span: str = "15 minutes", step: str = "5 minutes", late: str = "1 hour", least: int = 5) -> DataFrame:
     """Keys with at least ``least`` failures in a sliding window. The watermark bounds the state; later events are dropped by it."""
     windows = events.withWatermark("ts", late).groupBy(F.window("ts", span, step).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
