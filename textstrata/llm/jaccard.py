@@ -52,7 +52,7 @@ BLOCK_LEAST, BLOCK_MOST = 128, 2048
 #: Pivots of a cell, and the size at which a cell is finished without recursion.
 PIVOTS, LEAF = 6, 48
 #: Shingles that a worker gathers before it passes counts on.
-GATHER = 8_000_000
+GATHER = 4_000_000
 
 
 def _rows(batches: Iterator[pa.RecordBatch], text: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

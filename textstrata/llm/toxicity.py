@@ -37,8 +37,8 @@ from .common import fold_col, fold_of, small_batches
 
 #: Bounds of the fit.
 TRAIN_ROWS, LEAST, TREES, DEPTH, BINS, RATE = 3000, 25, 60, 3, 32, 0.2
-#: A learned word is in at least so many label-1 documents, at so large a log-odds ratio.
-WORD_DOCS, WORD_ODDS = 5, 2.5
+#: A learned word, or head of words of so many letters, is in at least so many label-1 documents, at so large a log-odds ratio.
+HEADS, WORD_DOCS, WORD_ODDS = (4, 5, 6), 5, 2.5
 
 #: Plain insults, in four languages.
 LEXICON = frozenset(
@@ -65,8 +65,13 @@ def _squeeze(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
+def units(word: str) -> list[str]:
+    """What a word is looked up by: itself, and its heads, marked by a star."""
+    return [word, *[word[:k] + "*" for k in HEADS if len(word) > k]]
+
+
 class Features:
-    """Dense features, given the learned lexicon (word to log-odds)."""
+    """Dense features, given the learned lexicon (word or head to log-odds)."""
 
     def __init__(self, learned: dict[str, float]):
         self.learned = learned
@@ -79,10 +84,11 @@ class Features:
         words = WORD.findall(low)
         n = max(1, len(words))
         counts = Counter(words)
-        hits = counts.keys() & self.all
+        told = {w: max(found) for w in counts if (found := [known[u] for u in units(w) if u in known])} if (known := self.learned) else {}
+        hits = (counts.keys() & LEXICON) | told.keys()
         fixed = sum(counts[w] for w in hits if w in LEXICON)
-        odds = [self.learned[w] for w in hits if w in self.learned]
-        learned = sum(self.learned[w] * counts[w] for w in hits if w in self.learned)
+        odds = list(told.values())
+        learned = sum(v * counts[w] for w, v in told.items())
         second = sum(counts[w] for w in SECOND & counts.keys())
         near = 0
         if hits and second:
@@ -110,10 +116,10 @@ _NO_CAPITALS = str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def learn_words(texts: list[str], y: np.ndarray) -> dict[str, float]:
-    """Words whose document frequency tells the labels apart, with their log-odds ratios."""
+    """Words and heads whose document frequency tells the labels apart, with their log-odds ratios."""
     have: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in zip(texts, y, strict=True):
-        have[int(label)].update(set(WORD.findall(text.lower())))
+        have[int(label)].update({u for w in set(WORD.findall(text.lower())) for u in units(w)})
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     out = {}
     for w, a in have[1].items():
