@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import base, corpus, documents, golden, retrieval, streams
+from .plans import base, corpus, documents, golden, relations, retrieval, streams
 
-__all__ = ["corpus", "documents", "golden", "oracle_sql", "queries", "retrieval", "streams"]
+__all__ = ["corpus", "documents", "golden", "oracle_sql", "queries", "relations", "retrieval", "streams"]
 
 
 def queries() -> dict[str, base.Query]:

@@ -124,3 +124,24 @@ def rendered(claims: Column, shown: Column) -> Column:
     cites = lambda c: F.array_join(F.transform(c["evidence_ids"], lambda i: F.coalesce(F.try_element_at(shown, i), i)), "、")
     one = lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c["text"], F.when(F.size(c["evidence_ids"]) > 0, F.concat(F.lit("（"), cites(c), F.lit("）"))).otherwise(""))
     return F.array_join(F.transform(claims, one), "\n")
+
+
+def options_of(parts: Column) -> Column:
+    """A clarifying question that lists the separate questions of a text."""
+    shown = F.array_join(F.transform(parts, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
+    return F.concat(F.lit("请一次问一个问题，选择其中之一：\n"), shown)
+
+
+def generated(rows, generate, prompt_column: str = "prompt"):
+    """Rows with ``output`` from an injected generator of a list of prompts; null where it fails for a batch."""
+
+    def run(frames):
+        for pdf in frames:
+            try:
+                said = generate(pdf[prompt_column].tolist())
+            except Exception:  # noqa: BLE001  an unavailable model is a result: the gates turn null into a state
+                said = [None] * len(pdf)
+            yield pdf.assign(output=said)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", output string"
+    return rows.mapInPandas(run, schema)

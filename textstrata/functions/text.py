@@ -166,8 +166,8 @@ def difference_ratio(a: Column, b: Column) -> Column:
     """Share of places at which two texts differ, the shorter one's missing end counted."""
     size = F.greatest(F.length(a), F.length(b))
     both = F.least(F.length(a), F.length(b))
-    places = F.when(both > 0, F.sequence(F.lit(1), both)).otherwise(F.array().cast("array<int>"))
-    differs = F.size(F.filter(places, lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))))
+    chars = lambda t: F.split(F.left(t, both), "")
+    differs = F.size(F.filter(F.zip_with(chars(a), chars(b), lambda x, y: x != y), lambda x: x))
     return F.when((a == b) | (size == 0), 0.0).otherwise(differs / size + F.abs(F.length(a) - F.length(b)) / size)
 
 

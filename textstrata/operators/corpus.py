@@ -119,3 +119,68 @@ def reviewed(versions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions with ``outcome``: applied, no_change or invalid. Only approved and rejected are decisions; legal status never changes."""
     both = decisions.join(versions.select("version_id", "review_status"), "version_id", "left")
     return both.withColumn("outcome", F.when(~F.col("decision").isin("approved", "rejected") | F.col("review_status").isNull(), "invalid").when(F.col("decision") == F.col("review_status"), "no_change").otherwise("applied"))
+
+
+def linked_versions(landings: DataFrame) -> dict[str, DataFrame]:
+    """The version tree of landed artifacts, built as sets: instruments, versions, identities, provisions, conflicts.
+
+    Rows: artifact_id, source, jurisdiction, title, version_label, legal_status, promulgated_on, effective_from,
+    media_type, imported_at, confident, articles (array<struct<number,text>>). Ids are hashes of the natural keys,
+    so a rerun, or a relink from stored chunks, gives the same tree.
+    """
+    keyed = landings.withColumn("instrument_id", F.sha2(F.concat_ws("\x1f", "jurisdiction", "title"), 256)).withColumn("version_id", F.sha2(F.concat_ws("\x1f", "jurisdiction", "title", "version_label"), 256))
+    best = best_artifact(keyed, "version_id")
+    known = keyed.groupBy("version_id").agg(
+        F.min("promulgated_on").alias("promulgated_on"), F.min("effective_from").alias("effective_from"),
+        F.coalesce(F.max(F.when(F.col("legal_status") != "unknown", F.col("legal_status"))), F.lit("unknown")).alias("legal_status"), F.countDistinct("source").alias("n_sources"),
+    )
+    review = F.when((F.col("n_sources") > 1) | ~F.col("confident"), "pending").otherwise("approved")
+    versions = best.select("version_id", "instrument_id", "version_label", "artifact_id", "confident").join(known, "version_id").withColumn("review_status", review)
+    rows = best.select("version_id", "instrument_id", F.explode("articles").alias("a")).groupBy("version_id", "instrument_id", F.col("a.number").alias("number")).agg(F.first("a.text").alias("text"))
+    provisions = rows.withColumn("identity_id", F.sha2(F.concat_ws("\x1f", "instrument_id", "number"), 256)).withColumn("text_sha256", F.sha2("text", 256))
+    return {
+        "instruments": keyed.select("instrument_id", "jurisdiction", "title").distinct(),
+        "versions": versions.drop("confident"),
+        "identities": provisions.select("identity_id", "instrument_id", "number").distinct(),
+        "provisions": provisions,
+        "conflicts": source_conflicts(keyed.select(F.col("version_id").alias("version"), "source")),
+    }
+
+
+def drafts(chunks: DataFrame) -> DataFrame:
+    """Parse drafts from stored chunks (revision, ordinal, article, text): preamble texts and articles, each in order."""
+    own = chunks.groupBy("revision").agg(F.array_sort(F.collect_list(F.struct("ordinal", "article", "text"))).alias("c"))
+    pick = lambda keep, show: F.transform(F.filter("c", keep), show)
+    return own.select("revision", pick(lambda c: c["article"].isNull(), lambda c: c["text"]).alias("preamble"), pick(lambda c: c["article"].isNotNull(), lambda c: F.struct(c["article"].alias("number"), c["text"].alias("text"))).alias("articles"))
+
+
+def review_marks(runs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Marks with ``applied``: a run that wants review is marked once; its state stays."""
+    first = Window.partitionBy("run_id").orderBy("at")
+    open_runs = runs.filter("review_required AND reviewed_at IS NULL").select("run_id", F.lit(True).alias("_open"))
+    return marks.withColumn("_n", F.row_number().over(first)).join(open_runs, "run_id", "left").withColumn("applied", F.coalesce("_open", F.lit(False)) & (F.col("_n") == 1)).drop("_n", "_open")
+
+
+def published_revisions(pages: DataFrame, revisions: DataFrame) -> DataFrame:
+    """The revision that each page's pointer names; a page without pointer has none."""
+    return pages.join(revisions, (pages["page_id"] == revisions["page"]) & (pages["published_revision"] == revisions["number"]))
+
+
+def numbering_gaps(articles: DataFrame, doc: str = "doc", order: str = "ordinal", number: str = "number") -> DataFrame:
+    """(doc, expected, actual) where main article numbers don't follow each other."""
+    before = F.coalesce(F.lag(number).over(Window.partitionBy(doc).orderBy(order)), F.lit(0)) + 1
+    return articles.withColumn("expected", before).filter(F.col("expected") != F.col(number)).select(doc, "expected", F.col(number).alias("actual"))
+
+
+def inherited_paths(blocks: DataFrame, levels: list[str], doc: str = "doc", order: str = "ordinal") -> DataFrame:
+    """Each block with the headings in force: the last one per level since the last outer one. Column ``level`` names a heading's level, ``label`` its text."""
+    upto = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out, outer = blocks, F.lit(0)
+    for name in levels:
+        at = F.max(F.when(F.col("level") == name, F.col(order))).over(upto)
+        text = F.last(F.when(F.col("level") == name, F.col("label")), ignorenulls=True).over(upto)
+        out = out.withColumn(f"_{name}", at).withColumn(name, text)
+    for name in levels:
+        out = out.withColumn(name, F.when(F.coalesce(F.col(f"_{name}"), F.lit(-1)) >= outer, F.col(name)))
+        outer = F.greatest(outer, F.coalesce(F.col(f"_{name}"), F.lit(0)))
+    return out.drop(*[f"_{n}" for n in levels])

@@ -131,3 +131,22 @@ def parser_checks(runs: DataFrame) -> DataFrame:
 def recommended(checks: DataFrame) -> DataFrame:
     """The fastest compliant back end; memory, then name break ties; none if none complies."""
     return checks.filter("compliant").orderBy("seconds", "memory_mb", "backend").limit(1).select("backend")
+
+
+def corpus_problems(cases: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(id, problem) of gold cases against the corpus (law, article, text): evidence that isn't there, facts that no expected text has.
+
+    Cases: id, evidence and expect (array<struct<law,article>>), facts (array of text).
+    """
+    rows = cases.select("id", F.explode("evidence").alias("e")).select("id", "e.law", "e.article")
+    missing = rows.join(corpus.select("law", "article"), ["law", "article"], "left_anti").select("id", F.lit("evidence_not_in_corpus").alias("problem"))
+    texts = cases.select("id", F.explode("expect").alias("e")).select("id", "e.law", "e.article").join(corpus, ["law", "article"]).groupBy("id").agg(F.collect_list(flatten(F.col("text"))).alias("t"))
+    held = cases.join(texts, "id", "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
+    lost = held.filter(F.exists("facts", lambda f: ~F.exists("t", lambda t: F.contains(t, flatten(f))))).select("id", F.lit("fact_not_in_expected_text").alias("problem"))
+    return missing.distinct().unionAll(lost)
+
+
+def pinned_evidence(cases: DataFrame, provisions: DataFrame) -> DataFrame:
+    """The provisions that the cases' (law, article) pairs name: a semi-join on both."""
+    pairs = cases.select(F.explode("evidence").alias("e")).select("e.law", "e.article").distinct()
+    return provisions.join(pairs, ["law", "article"], "left_semi")

@@ -200,3 +200,52 @@ def page_before(df: DataFrame, before: int | None, size: int, key: str = "doc_id
     """Keyset page: the ``size`` greatest keys below ``before``."""
     rows = df if before is None else df.filter(F.col(key) < before)
     return rows.orderBy(F.col(key).desc()).limit(size)
+
+
+HIT = ["provision_version_id", "provision_number", "text", "structure_path"]
+CITATION = ["instrument_title", "document_number", "version_label", "legal_status", "effective_from", "provision_number", "artifact_id", "filename"]
+
+
+def star(provisions: DataFrame, identities: DataFrame, versions: DataFrame, instruments: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Provisions with everything a hit shows. Inner joins: a version without artifact has no hits."""
+    return provisions.join(identities, "identity_id").join(versions, "version_id").join(instruments, "instrument_id").join(artifacts, "artifact_id")
+
+
+def as_hits(rows: DataFrame, fields: list[str], citation: list[str]) -> DataFrame:
+    """Rows as hits: some fields, and the source as one struct."""
+    return rows.select(*fields, F.struct(*citation).alias("citation"))
+
+
+def search_one(corpus: DataFrame, q: Query, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """One search: exact filters on every arm; keywords by query variants, and the vector arm only if they find nothing.
+
+    Returns the rows (at most limit + 1) and the path taken: exact, keyword, vector or none. The variants are
+    a handful of strings, evaluated on the driver; the emptiness check reads one row.
+    """
+    rows = filtered(corpus, q)
+    if q.keyword:
+        return keyword(rows, q.keyword, text=text, ties=(key,), limit=q.limit), "keyword"
+    if not q.semantic:
+        return rows.orderBy(key).limit(q.limit + 1), "exact"
+    asked = corpus.sparkSession.range(1).select(X.query_variants(F.lit(q.semantic)).alias("v")).first()["v"]
+    flat = rows.withColumn("_flat", X.flatten_stored(F.col(text)))
+    which = F.coalesce(*[F.when(reduce(lambda a, b: a & b, [F.col("_flat").like(f"%{t}%") for t in X.split_terms(v)]), F.lit(i)) for i, v in enumerate(asked) if X.split_terms(v)], F.lit(None).cast("int"))
+    found = flat.withColumn("_variant", which).filter("_variant IS NOT NULL").orderBy("_variant", F.length("_flat"), key).limit(q.limit + 1).drop("_flat", "_variant")
+    if not found.isEmpty():
+        return found, "keyword"
+    if vectors is None or encode is None:
+        return found, "none"
+    near = nearest(vectors.join(rows.select(key), key, "left_semi"), encode(q.semantic), q.limit + 1, key, farthest=FARTHEST)
+    return near.join(rows, key).orderBy("distance", key), "vector"
+
+
+def retriever_matrix(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, k: int = 20, key: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
+    """Ranked lists (query_id, key, rank) of every retriever for a table of queries (query_id, q, and query if there are vectors)."""
+    cut = lambda df: df.filter(F.col("rank") <= k).select("query_id", key, "rank")
+    rewritten = {"original": F.col("q"), "normalized": X.normalize_query(F.col("q")), "stripped": X.strip_phrases(X.normalize_query(F.col("q")))}
+    out = {f"keyword_{name}": cut(keyword_many(docs, queries.select("query_id", X.terms(c).alias("terms")), text, key)) for name, c in rewritten.items()}
+    if vectors is not None:
+        out["vector"] = cut(nearest_many(vectors, queries.select("query_id", "query"), k, key))
+        out["hybrid"] = cut(fuse([out["keyword_stripped"], out["vector"]], key))
+        out["cascade"] = cascade(out["keyword_stripped"], out["vector"]).drop("arm")
+    return out

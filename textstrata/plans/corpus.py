@@ -134,14 +134,13 @@ def source_conflicts(spark, d):
     return corpus.source_conflicts(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version"), (F.col("l_suppkey") % 4).alias("source")))
 
 
-CITES = """c AS (SELECT l_orderkey AS page_id, 'p' || l_partkey AS place, CASE WHEN l_returnflag = 'R' THEN 'repealed' ELSE 'effective' END AS legal_status, sha256(l_linestatus) AS now, CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_linenumber % 3 = 0 THEN sha256('x') ELSE sha256(l_linestatus) END AS snap FROM lineitem WHERE l_orderkey % 7 = 0),
+CITES = """c AS (SELECT l_orderkey AS page_id, 'p' || l_partkey AS place, CASE WHEN l_returnflag = 'R' THEN 'repealed' ELSE 'effective' END AS legal_status, sha256(l_linestatus) AS now, CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_linenumber % 3 = 0 THEN sha256('x') ELSE sha256(l_linestatus) END AS snap FROM lineitem),
 w AS (SELECT page_id, CASE WHEN legal_status = 'repealed' THEN place || ' 所在版本已被取代' WHEN snap <> now THEN place || ' 正文已变更' END AS why FROM c),
 s AS (SELECT page_id, string_agg(DISTINCT why, '；' ORDER BY why) AS reason FROM w WHERE why IS NOT NULL GROUP BY 1)"""
 
 
 def _stale(spark, d):
-    """Published pages: every seventh order."""
-    l = table(spark, d, "lineitem").filter("l_orderkey % 7 = 0")  # noqa: E741
+    l = table(spark, d, "lineitem")  # noqa: E741
     now = F.sha2("l_linestatus", 256)
     return corpus.stale_pages(l.select(
         F.col("l_orderkey").alias("page_id"), F.concat(F.lit("p"), "l_partkey").alias("place"), F.when(F.col("l_returnflag") == "R", "repealed").otherwise("effective").alias("legal_status"), now.alias("current_sha"),
@@ -154,10 +153,10 @@ def staleness_flags(spark, d):
     return _stale(spark, d)
 
 
-@query(f"""WITH {CITES}, o AS (SELECT o_orderkey AS page_id, 'old' AS reason FROM orders WHERE o_orderkey % 14 = 0)
+@query(f"""WITH {CITES}, o AS (SELECT o_orderkey AS page_id, 'old' AS reason FROM orders WHERE o_orderstatus = 'F')
 SELECT page_id, CASE WHEN s.reason IS NULL THEN 'clear' ELSE 'flag' END AS action, s.reason AS reason FROM o FULL JOIN s USING (page_id) WHERE o.reason IS DISTINCT FROM s.reason""")
 def staleness_diff(spark, d):
-    old = table(spark, d, "orders").filter("o_orderkey % 14 = 0").select(F.col("o_orderkey").alias("page_id"), F.lit("old").alias("reason"))
+    old = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("page_id"), F.lit("old").alias("reason"))
     return corpus.flag_changes(old, _stale(spark, d))
 
 
@@ -175,11 +174,11 @@ def citation_edges(spark, d):
     return _edges(spark, d)[0]
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT DISTINCT l_partkey AS identity, l_orderkey % 3 AS version FROM lineitem WHERE l_partkey % 50 = 0), v AS (SELECT DISTINCT l_suppkey AS identity, l_orderkey % 3 AS version FROM lineitem WHERE l_quantity > 25),
+@query(f"""WITH {EDGES}, s AS (SELECT DISTINCT l_partkey AS identity, l_orderkey % 3 AS version FROM lineitem WHERE l_quantity < 3), v AS (SELECT DISTINCT l_suppkey AS identity, l_orderkey % 3 AS version FROM lineitem WHERE l_quantity > 25),
 n AS (SELECT DISTINCT target_identity AS identity, version FROM e JOIN s ON source = identity) SELECT n.identity, n.version FROM n JOIN v USING (identity, version) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.identity = n.identity AND s.version = n.version)""")
 def one_hop(spark, d):
     l = table(spark, d, "lineitem").withColumn("version", F.col("l_orderkey") % 3)  # noqa: E741
-    seeds = l.filter("l_partkey % 50 = 0").select(F.col("l_partkey").alias("identity"), "version")
+    seeds = l.filter("l_quantity < 3").select(F.col("l_partkey").alias("identity"), "version")
     held = l.filter("l_quantity > 25").select(F.col("l_suppkey").alias("identity"), "version").distinct()
     return citations.one_hop(_edges(spark, d)[0].select("source", "target_identity"), seeds, held)
 
@@ -202,11 +201,11 @@ def withdraw_plan(spark, d):
     return out
 
 
-@query("""WITH n AS (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0), o AS (SELECT c_custkey AS k, 0::BIGINT AS v, c_acctbal AS price FROM customer),
+@query("""WITH n AS (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS price FROM orders), o AS (SELECT c_custkey AS k, 0::BIGINT AS v, c_acctbal AS price FROM customer),
 u AS (SELECT *, 0 AS age FROM o UNION ALL SELECT *, 1 FROM n) SELECT k, v, price FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY age DESC, v DESC) AS r FROM u) WHERE r = 1""")
 def upsert_last_wins(spark, d):
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(0).cast("long").alias("v"), F.col("c_acctbal").alias("price"))
-    new = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("price"))
+    new = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("price"))
     return mutation.upsert(old, new, ["k"], ["v"])
 
 
@@ -338,10 +337,10 @@ def role_permissions(spark, d):
     return access.permissions(rows).select("user_id", F.array_join("permissions", ",").alias("permissions"))
 
 
-@query("SELECT job_id, created_at FROM (SELECT event_id AS job_id, ts AS created_at FROM events WHERE event_type IN ('view', 'click') AND event_id % 3 = 0) ORDER BY created_at, job_id LIMIT 50")
+@query("SELECT job_id, created_at FROM (SELECT event_id AS job_id, ts AS created_at FROM events WHERE event_type IN ('view', 'click')) ORDER BY created_at, job_id LIMIT 50")
 def next_jobs(spark, d):
     """The 50 jobs to claim next."""
-    e = table(spark, d, "events").filter("event_id % 3 = 0").select(F.col("event_id").alias("job_id"), F.when(F.col("event_type").isin("view", "click"), "queued").otherwise("succeeded").alias("status"), F.col("ts").alias("created_at"), F.col("ts").alias("available_at"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("event_type").isin("view", "click"), "queued").otherwise("succeeded").alias("status"), F.col("ts").alias("created_at"), F.col("ts").alias("available_at"))
     return conversation.next_jobs(e, F.lit("2999-01-01").cast("timestamp"), 50).select("job_id", "created_at")
 
 

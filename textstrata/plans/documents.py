@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -9,7 +10,6 @@ from ..operators import gates, redaction, structure
 from ..sources import files
 from .base import query, table
 
-CLEAN = r"trim(regexp_replace(regexp_replace(x, '\r\n?', chr(10), 'g'), '[ \t\x0B\x0C]+(\n|$)', '\1', 'g'), ' ' || chr(9) || chr(10))"
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
@@ -109,10 +109,10 @@ def integrity_rejects(spark, d):
     return files.verified(o)[1].select("doc_id")
 
 
-@query("""WITH p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 40 = 0)
-SELECT a, CASE WHEN x = y THEN 0.0 ELSE round(len(list_filter(range(1, least(length(x), length(y), 300) + 1), lambda i: substr(substr(x, 1, 300), i, 1) <> substr(substr(y, 1, 300), i, 1)))::DOUBLE / greatest(least(length(x), 300), least(length(y), 300)) + abs(least(length(x), 300) - least(length(y), 300))::DOUBLE / greatest(least(length(x), 300), least(length(y), 300)), 9) END AS ratio FROM p""")
+@query("""WITH p AS (SELECT doc_id AS a, text AS x, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS y FROM documents)
+SELECT a, CASE WHEN x = y THEN 0.0 ELSE round(len(list_filter(list_zip(string_split(substr(x, 1, least(length(x), length(y))), ''), string_split(substr(y, 1, least(length(x), length(y))), '')), lambda c: c[1] <> c[2]))::DOUBLE / greatest(length(x), length(y)) + abs(length(x) - length(y))::DOUBLE / greatest(length(x), length(y)), 9) END AS ratio FROM p WHERE y IS NOT NULL""")
 def difference_ratio(spark, d):
-    """Differences between the heads (300 characters: the operator's window here) of neighbouring documents."""
-    docs = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(300)).alias("t"))
-    pairs = docs.filter("doc_id % 40 = 0").select(F.col("doc_id").alias("a"), F.col("t").alias("x"), (F.col("doc_id") + 1).alias("b")).join(docs.select(F.col("doc_id").alias("b"), F.col("t").alias("y")), "b")
+    """Differences between a document and the next one of its source."""
+    own = Window.partitionBy("source").orderBy("doc_id")
+    pairs = table(spark, d, "documents").select(F.col("doc_id").alias("a"), F.col("text").alias("x"), F.lead("text").over(own).alias("y")).filter("y IS NOT NULL")
     return pairs.select("a", F.round(X.difference_ratio(F.col("x"), F.col("y")), 9).alias("ratio"))

@@ -264,3 +264,24 @@ def reranked(hits: DataFrame, score: Callable[[list[tuple[str, str]]], list[floa
         return pd.Series(score(list(zip(query, text, strict=True))), dtype="float64")
 
     return hits.withColumn("score", run("query", "text"))
+
+
+def markdown(rows: list[dict], title: str) -> str:
+    """A small result (a summary's rows) as a Markdown table."""
+    if not rows:
+        return f"# {title}\n"
+    names = list(rows[0])
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    return "\n".join([f"# {title}", "", line(names), line(["---"] * len(names)), *[line(["" if r[n] is None else str(r[n]) for n in names]) for r in rows], ""])
+
+
+def registration(files: DataFrame, known: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """What an import writes: artifacts and their objects for contents that aren't registered yet, a parse job and an audit entry each. Rejected files have none."""
+    good = files.filter("reason IS NULL").withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"]).join(known.select("sha256"), "sha256", "left_anti")
+    artifacts = good.select("sha256", "filename", "media_type", F.octet_length("content").cast("long").alias("size_bytes"), now.alias("imported_at"))
+    return {
+        "objects": good.select("sha256", "content"),
+        "artifacts": artifacts,
+        "jobs": artifacts.select(F.concat(F.lit("parse:"), "sha256").alias("idempotency_key"), F.lit("document.parse").alias("job_type"), F.lit("queued").alias("status"), "sha256"),
+        "audit": artifacts.select(F.lit("document.imported").alias("action"), "sha256", now.alias("created_at")),
+    }

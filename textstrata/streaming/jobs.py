@@ -21,9 +21,14 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream appends until its input is used up, as a table in the shared folder."""
+def drained(stream: DataFrame, name: str, idle_batches: bool = True) -> DataFrame:
+    """What a stream appends until its input is used up, as a table in the shared folder.
+
+    Without ``idle_batches`` no batch runs without new input; streams with processing-time timers need
+    that to end, and those with watermarks need the idle batch to emit what the watermark closes.
+    """
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle_batches).lower())
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "textstrata-shared")
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/table").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
