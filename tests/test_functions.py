@@ -211,3 +211,37 @@ def test_same_day_versions_do_not_supersede(spark):
     v = spark.createDataFrame(rows, "version_id int, instrument_id int, legal_status string, p string, e string").selectExpr("version_id", "instrument_id", "legal_status", "cast(p AS date) AS promulgated_on", "cast(e AS date) AS effective_from")
     got = {r.version_id: r.new_status for r in corpus.recomputed(v, F.lit("2022-01-01").cast("date")).collect()}
     assert got == {1: "effective", 2: "effective", 3: "effective", 4: "effective", 5: "effective"}
+
+
+def test_gate_columns(spark):
+    """Claims in order, foreign laws and articles, quotes, review outcomes, references, settings, publication."""
+    from textstrata.operators import evaluation
+
+    one = spark.range(1)
+    claims = F.array(F.struct(F.lit("a").alias("text"), F.array(F.lit("1"), F.lit("2")).alias("evidence_ids")))
+    got = one.select(
+        gates.claims_in_order(claims, F.lit(2)).alias("ok"), gates.claims_in_order(claims, F.lit(1)).alias("beyond"), gates.claims_in_order(claims, F.lit(0)).alias("none"),
+        gates.foreign_articles(F.lit("第八十七条、第九条、第三条"), F.array(F.lit("9")), F.lit("见第3条")).alias("articles"),
+        gates.foreign_laws(F.lit("依《刑法》第十条；见《刑法》。《中华人民共和国民法典》第一条"), F.array(F.lit("民法典"))).alias("laws"),
+        gates.unsupported_quotes(F.lit("「这是一句原文里没有的话啊」「短」「原文里有的这一句话在此」「有省略…号的一句很长的话」"), F.lit("原文里有的这一句话在此")).alias("quotes"),
+        F.array(*[gates.review_outcome(F.array(*[F.lit(v).cast("boolean") for v in vs]) if vs else F.array().cast("array<boolean>")) for vs in ([], [True], [True, False], [True, None])]).alias("reviews"),
+        gates.evidence_refs(F.array(F.struct(F.lit("x").alias("id"), F.lit("effective").alias("legal_status")), F.struct(F.lit("y").alias("id"), F.lit("unknown").alias("legal_status"))), F.array(F.lit("2"))).alias("refs"),
+        gates.merged_config(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")), F.create_map(F.lit("b"), F.lit("2"))).alias("config"),
+        F.array(gates.published(F.lit("m"), F.lit(None)), gates.published(F.lit("m"), F.lit("scope")), gates.published(F.lit(None), F.lit(None))).alias("published"),
+    ).first()
+    assert (got.ok, got.beyond, got.none) == (True, False, False)
+    assert got.articles == ["87"] and got.laws == ["刑法"] and got.quotes == ["这是一句原文里没有的话啊"]
+    assert got.reviews == ["passed", "passed", "failed", "unavailable"] and [r.cited for r in got.refs] == [False, True]
+    assert got.config == {"a": "1", "b": "2"} and got.published == [True, False, False]
+    groups = spark.createDataFrame([("g", [("c1", True), ("c2", False)])], "id string, claims array<struct<claim:string,expect_supported:boolean>>")
+    assert [(r.id, r.position, r.claim) for r in evaluation.flattened_groups(groups).collect()] == [("g", 0, "c1"), ("g", 1, "c2")]
+
+
+def test_span_of_article(spark):
+    df = spark.createDataFrame([("第一章\n第一条 甲\n乙", "第一条", 3), ("x", "第二条", 3), ("a\nb\n第三条", "第三条", 1)], "t string, l string, n int")
+    assert [r.s for r in df.select(structure.span_of_article(F.col("t"), F.col("l"), F.col("n")).alias("s")).collect()] == [1, 0, 0]
+
+
+def test_evidence_merges_only_unknowns(spark):
+    df = spark.createDataFrame([("unknown", "effective"), ("effective", "repealed"), (None, None)], "old string, new string")
+    assert [r.v for r in df.select(corpus.merged_evidence("old", "new").alias("v")).collect()] == ["effective", "effective", None]
