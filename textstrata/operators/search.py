@@ -128,11 +128,11 @@ def keyword(df: DataFrame, query: str, strategy: str = "all_terms_flat", text: s
     return out.orderBy(order(F.col(text), query), *ties).limit(limit + 1) if limit is not None else out
 
 
-def keyword_many(df: DataFrame, queries: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keyword_many(df: DataFrame, queries: DataFrame, text: str = "text", key: str = "doc_id", limit: int | None = None) -> DataFrame:
     """All-terms search for a stated table of queries (query_id, terms), which is broadcast; one scan of the texts.
 
-    Rows (query_id, key, n_flat, rank); rank orders by length, then key. The table of queries is
-    the feature's bound: it is checked to be at most 10,000 rows.
+    Rows (query_id, key, n_flat, rank); rank orders by length, then key. With a limit, each partition keeps
+    its own best rows before the shuffle. The table of queries is checked to be at most 10,000 rows.
     """
     if queries.count() > 10_000:
         raise ValueError("more than 10,000 queries: split them")
@@ -140,7 +140,8 @@ def keyword_many(df: DataFrame, queries: DataFrame, text: str = "text", key: str
     asked = queries.filter(F.size("terms") > 0)
     hits = flat.join(F.broadcast(asked), F.forall("terms", lambda t: F.contains(F.col("_flat"), t)))
     by_length = Window.partitionBy("query_id").orderBy("n_flat", key)
-    return hits.select("query_id", key, F.length("_flat").alias("n_flat")).withColumn("rank", F.row_number().over(by_length))
+    ranked = hits.select("query_id", key, F.length("_flat").alias("n_flat")).withColumn("rank", F.row_number().over(by_length))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def merge_variants(hits: DataFrame, key: str = "doc_id", limit: int = 20) -> DataFrame:
@@ -243,7 +244,7 @@ def retriever_matrix(docs: DataFrame, queries: DataFrame, vectors: DataFrame | N
     """Ranked lists (query_id, key, rank) of every retriever for a table of queries (query_id, q, and query if there are vectors)."""
     cut = lambda df: df.filter(F.col("rank") <= k).select("query_id", key, "rank")
     rewritten = {"original": F.col("q"), "normalized": X.normalize_query(F.col("q")), "stripped": X.strip_phrases(X.normalize_query(F.col("q")))}
-    out = {f"keyword_{name}": cut(keyword_many(docs, queries.select("query_id", X.terms(c).alias("terms")), text, key)) for name, c in rewritten.items()}
+    out = {f"keyword_{name}": cut(keyword_many(docs, queries.select("query_id", X.terms(c).alias("terms")), text, key, k)) for name, c in rewritten.items()}
     if vectors is not None:
         out["vector"] = cut(nearest_many(vectors, queries.select("query_id", "query"), k, key))
         out["hybrid"] = cut(fuse([out["keyword_stripped"], out["vector"]], key))

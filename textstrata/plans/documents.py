@@ -74,16 +74,16 @@ def redact_slices(spark, d):
     return r.select("doc_id", F.sha2(redaction.restore(joined, "r.entities"), 256).alias("text_sha256"))
 
 
-@query("""WITH RECURSIVE h AS (SELECT source, doc_id, n_chars + 2 AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-c AS (SELECT source, doc_id, k, CASE WHEN cost <= 8192 - 500 - 8 - 700 - 256 THEN cost ELSE 0 END AS used, cost <= 8192 - 500 - 8 - 700 - 256 AS fits FROM h WHERE k = 1
- UNION ALL SELECT h.source, h.doc_id, h.k, CASE WHEN c.used + h.cost <= 6728 THEN c.used + h.cost ELSE c.used END, c.used + h.cost <= 6728 FROM c JOIN h ON h.source = c.source AND h.k = c.k + 1)
-SELECT source, doc_id, fits AS included FROM c""")
+@query("""WITH RECURSIVE h AS (SELECT doc_id // 50 AS question, doc_id, n_chars + 2 AS cost, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS k FROM documents),
+c AS (SELECT question, doc_id, k, CASE WHEN cost <= 8192 - 500 - 8 - 700 - 256 THEN cost ELSE 0 END AS used, cost <= 8192 - 500 - 8 - 700 - 256 AS fits FROM h WHERE k = 1
+ UNION ALL SELECT h.question, h.doc_id, h.k, CASE WHEN c.used + h.cost <= 6728 THEN c.used + h.cost ELSE c.used END, c.used + h.cost <= 6728 FROM c JOIN h ON h.question = c.question AND h.k = c.k + 1)
+SELECT question, doc_id, fits AS included FROM c""")
 def evidence_budget(spark, d):
-    """Evidence that fits in a context, source by source, in order of doc_id. A source's list holds ids and sizes only."""
-    own = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("h"))
+    """Evidence that fits in a context; a question's hits are 50 documents in order (a bounded list of ids and sizes)."""
+    own = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("question")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("h"))
     room = gates.budget(F.lit(8192), F.lit(500), F.lit("question"), F.lit(700))
-    fits = own.select("source", "h", gates.included(F.transform("h", lambda h: (h["n_chars"] + 2).cast("int")), room.cast("int")).alias("i"))
-    return fits.select("source", F.explode(F.arrays_zip("h", "i")).alias("x")).select("source", "x.h.doc_id", F.col("x.i").alias("included"))
+    fits = own.select("question", "h", gates.included(F.transform("h", lambda h: (h["n_chars"] + 2).cast("int")), room.cast("int")).alias("i"))
+    return fits.select("question", F.explode(F.arrays_zip("h", "i")).alias("x")).select("question", "x.h.doc_id", F.col("x.i").alias("included"))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS flat_text FROM documents WHERE doc_id < 0 UNION ALL SELECT doc_id, sha256(regexp_replace(text, '[\s\x{3000}\x{A0}\x{85}\x{2028}]+', '', 'g')) FROM documents")
