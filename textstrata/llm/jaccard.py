@@ -9,7 +9,7 @@ any pivot, so the space is first cut where it is empty:
    documents are common. Shingles are ordered uncommon first. Two linked sets
    share one within the first n - ceil(0.85 n) + 1 of each.
 2. Equal sets become one. Sets that share an uncommon leading shingle are
-   paired, ``COMMON`` - 1 partners a shingle at most, and kept if the number of
+   paired (usually ``COMMON`` - 1 partners a shingle at most), and kept if the number of
    leading shingles they share, with all that may follow, allows a link. Sets
    that share a common leading shingle hang on one leader, without pairs.
    Connected sets form a region; every link lies inside one.
@@ -48,14 +48,14 @@ RADIUS = 1 - PERCENT / 100
 #: Documents that an uncommon shingle may have; common shingles that are broadcast at most (4 bytes each).
 COMMON, BROADCAST = 8, 4_000_000
 #: Sets of a region that are joined in one task: blocks of so many at least and at most.
-BLOCK_LEAST, BLOCK_MOST = 128, 2048
+BLOCK_LEAST, BLOCK_MOST = 96, 2048
 #: Pivots of a cell, and the size at which a cell is finished without recursion.
 PIVOTS, LEAF = 6, 48
 #: Shingles that a worker gathers before it passes counts on.
-GATHER = 4_000_000
+GATHER = 2_000_000
 
 
-def _rows(batches: Iterator[pa.RecordBatch], text: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], text: str | int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of text; one longer text is a slice of its own."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -73,7 +73,7 @@ def _by_range(h: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, text: str = "text", size: int = SIZE, common: int = COMMON) -> np.ndarray:
-    """Upper 32 bits of the shingles in more than ``common`` documents, sorted; more than asked if those exceed ``BROADCAST``.
+    """Upper 32 bits of the shingles in more than ``common`` documents, sorted; in more documents if they exceed ``BROADCAST`` so.
 
     Counts cover all documents. Workers count what they have read, and send sorted
     values as differences, by ranges of the hash.
@@ -93,7 +93,7 @@ def common_shingles(docs: DataFrame, text: str = "text", size: int = SIZE, commo
                 if len(part):
                     step = np.diff(part, prepend=np.uint32(0))
                     far = step >= 65535
-                    rows.append((r, np.where(far, 65535, step).astype("<u2").tobytes(), step[far].astype("<u4").tobytes(), np.minimum(times, 255).astype(np.uint8).tobytes(), int(times.sum())))
+                    rows.append((r, np.where(far, 65535, step).astype("<u2").tobytes(), step[far].astype("<u4").tobytes(), np.minimum(times, 65535).astype("<u2").tobytes(), int(times.sum())))
             yield pa.RecordBatch.from_pydict({k: [x[i] for x in rows] for i, k in enumerate(("r", "steps", "far", "times", "total"))}, schema=schema)
 
         schema = pa.schema([("r", pa.int32()), ("steps", pa.binary()), ("far", pa.binary()), ("times", pa.binary()), ("total", pa.int64())])
@@ -112,7 +112,7 @@ def common_shingles(docs: DataFrame, text: str = "text", size: int = SIZE, commo
         for steps, far, t in zip(table["steps"].to_pylist(), table["far"].to_pylist(), table["times"].to_pylist(), strict=True):
             step = np.frombuffer(steps, "<u2").astype(np.uint32)
             step[step == 65535] = np.frombuffer(far, "<u4")
-            values.append(np.cumsum(step, dtype=np.uint32)), times.append(np.frombuffer(t, np.uint8).astype(np.int64))
+            values.append(np.cumsum(step, dtype=np.uint32)), times.append(np.frombuffer(t, "<u2").astype(np.int64))
         v, t = np.concatenate(values), np.concatenate(times)
         order = np.argsort(v, kind="stable")
         v, t = v[order], t[order]
@@ -124,8 +124,9 @@ def common_shingles(docs: DataFrame, text: str = "text", size: int = SIZE, commo
     with batches_of(spark, 64):
         found = stage(by_group(docs.select(text).mapInArrow(count, "r int, steps binary, far binary, times binary, total long"), ["r"], merge, "v long, n long, total long"), "common")
         total = found.agg(F.sum("total")).first()[0] or 0
-        # Fewer than total / x values can occur more than x times: what reaches the driver is bounded.
-        rows = found.filter(F.col("n") > max(common, total // BROADCAST)).select("v").toArrow()
+        # Fewer than total / x values can occur more than x times: what reaches the driver is bounded either way.
+        least = common if found.count() <= BROADCAST else max(common, total // BROADCAST)
+        rows = found.filter(F.col("n") > least).select("v").toArrow()
     return np.sort(rows["v"].to_numpy().astype(np.uint32))
 
 
@@ -191,7 +192,8 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
             place = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
             hot = place >= np.repeat(size - rows.column("n_common").to_numpy(), size)
             out["common"] |= hot.astype(np.uint32) << np.uint32(31)
-            r = _by_range(out["h"], ranges)
+            # leading shingles are the least hashes of their sets: mixed again, they spread over all ranges
+            r = _by_range(mix(out["h"]), ranges)
             order = np.argsort(r, kind="stable")
             out, cuts = out[order], np.searchsorted(r[order], np.arange(ranges + 1))
             full = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
@@ -213,7 +215,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         common = common[~hot]
         n = c["n"].astype(np.int64)
         rest = n - leading(n)
-        for d in range(1, COMMON + 1):
+        for d in range(1, len(c)):
             i = np.flatnonzero(c["h"][d:] == c["h"][:-d])
             if not len(i):
                 break
@@ -317,7 +319,7 @@ class Region:
 def region_links(docs: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """Links (a, b) that span the components of each region. ``members``: key, sig and root of one document per set."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    block = F.least(F.greatest(F.ceil(F.col("m") / 8), F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
+    block = F.least(F.greatest(F.ceil(F.col("m") / 16), F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
     cut = members.join(sizes, "root").filter("m > 1").withColumn("nb", F.when(F.col("m") <= 2 * BLOCK_LEAST, 1).otherwise(F.ceil(F.col("m") / block)).cast("int"))
     own = F.pmod(F.xxhash64("sig", F.lit(4)), F.col("nb")).cast("int")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
