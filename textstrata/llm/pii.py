@@ -210,9 +210,10 @@ def _score(c: Column, weights: list[float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def detect(df: DataFrame, text: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """Adds base and spans: arrays of struct (start, k, stop), sorted by start, then kind; k indexes KINDS."""
-    found = stage(candidates(df, text), "pii")
+def detect(df: DataFrame, text: str = "text", accept: float = ACCEPT, keep_text: bool = True) -> DataFrame:
+    """Adds base and spans: arrays of struct (start, k, stop), sorted by start, then kind; k indexes KINDS. Without ``keep_text`` the text isn't stored or returned."""
+    told = candidates(df, text)
+    found = stage(told if keep_text else told.drop(text), "pii")
     model = fit(found)
 
     def score(c: Column) -> Column:
@@ -249,7 +250,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_text=False)
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), s["k"]), s["start"], s["stop"])), ",")
     number = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
     counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
