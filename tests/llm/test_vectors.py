@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from textstrata.llm import vectors
 
@@ -66,3 +68,42 @@ def test_long_lists_are_dealt_in_blocks(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
     want = brute(list(range(300)), m)
     assert all(got[i] <= want[i][0] for i in got) and sum(got.values()) >= 0.97 * sum(n for n, _ in want.values())
+
+
+def crowded(n, noise, share=3, base=0.0, seed=4, d=64):
+    """A group of near copies of one centre among others, and for every tenth vector one at cosine just 0.9."""
+    rng = np.random.default_rng(seed)
+    m = rng.standard_normal((n, d)) + base * rng.standard_normal(d)
+    m[: n // share] = m[0] + noise * rng.standard_normal((n // share, d))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for i in range(0, n - 1, 10):
+        u = rng.standard_normal(d)
+        u -= (u @ m[i]) * m[i]
+        m[i + 1] = 0.901 * m[i] + np.sqrt(1 - 0.901**2) * u / np.linalg.norm(u)
+    return m[rng.permutation(n)].astype(np.float32)
+
+
+def test_dense_groups_lose_no_link(spark, tmp_path):
+    for noise in (0.2, 0.35, 0.6):
+        m = crowded(6000, noise)
+        table = pa.table({"vec_id": np.arange(len(m)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), 64).cast(pa.list_(pa.float32()))})
+        pq.write_table(table, f"{tmp_path}/{noise}.parquet")
+        got = vectors.near_vectors(spark.read.parquet(f"{tmp_path}/{noise}.parquet")).toPandas().set_index("vec_id").sort_index()
+        u = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+        want = (u @ u.T >= vectors.COSINE).sum(axis=1) - 1
+        assert (got.n_links.to_numpy() <= want).all()
+        assert got.n_links.sum() >= 0.995 * want.sum(), (noise, got.n_links.sum() / want.sum())
+
+
+def test_crowds_find_all_links_of_their_members():
+    """Both ends of each link of a member are in its crowd, or in the lesser one of two."""
+    for noise in (0.2, 0.45, 0.65):
+        m = crowded(4000, noise).astype(np.float64)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        points = vectors.spread_points(m[:200])
+        home, row, crowd = vectors.crowd_places(m, points)
+        held = set(zip(row.tolist(), crowd.tolist()))
+        assert points.crowd.any() and (home >= 0).any()
+        for x, y in zip(*np.nonzero(np.triu(m @ m.T >= vectors.COSINE, 1))):
+            own = [h for h in (home[x], home[y]) if h >= 0]
+            assert not own or {(x, min(own)), (y, min(own))} <= held

@@ -1,11 +1,19 @@
 """Operator 10, embedding near-duplicates through a pivot-permutation index.
 
 Reference points are vectors chosen by a hash of vec_id (a bounded sample; every
-vector is indexed). A vector is described by its ordered ``NEAREST`` nearest
-points, and is entered in the inverted list of each pair of them, so vectors
-that meet in a list share two points at least: their shared-pivot count. The
-vectors of a list are then verified by cosine in double precision; a pair that
-meets in several lists counts in the list of its two least shared points only.
+vector is indexed), no two of them at cosine ``APART`` or more. A vector is
+described by its ordered ``NEAREST`` nearest points, and is entered in the
+inverted list of each pair of them, so vectors that meet in a list share two
+points at least: their shared-pivot count. The vectors of a list are then
+verified by cosine in double precision; a pair that meets in several lists
+counts in the list of its two least shared points only.
+
+Inside a dense group, nearest points would be decided by noise. So a point that
+stands for ``CROWD`` or more sampled vectors leads a crowd, and all links of
+the vectors about it are found exactly: they are compared with each other and
+with every vector that the triangle inequality lets link with one of them.
+Only links between vectors outside all crowds rest on shared points.
+
 Equal vectors are one entry with a count. Long lists are dealt in pairs of
 blocks. Lists give the numbers of links and a spanning subset of them; pairs
 are never listed.
@@ -22,19 +30,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import batches_of, by_group, components, stage
 
 COSINE = 0.9
-#: Reference points: the square root of the number of vectors within these bounds; nearest ones that describe a vector.
+#: Sampled vectors: the square root of the number of vectors within these bounds; nearest points that describe a vector.
 POINTS_LEAST, POINTS_MOST, NEAREST = 32, 1024, 6
-#: Vectors of a list that are verified in one task: blocks of so many at least and at most.
-BLOCK_LEAST, BLOCK_MOST = 128, 1024
+#: Sampled vectors at this cosine of a reference point are none themselves; a point with so many of them (itself included) leads a crowd.
+APART, CROWD = 0.7, 3
+#: Vectors of a list that are verified in one task: blocks of so many at least and at most; pairs that are held at a time.
+BLOCK_LEAST, BLOCK_MOST, CELLS = 128, 8192, 1 << 21
 
 
 def usable(c: str):
@@ -43,15 +55,39 @@ def usable(c: str):
     return F.coalesce((F.size(value) > 0) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0), F.lit(False))
 
 
-def reference_points(unique: DataFrame) -> dict[int, np.ndarray]:
-    """Per dimension, its normalised reference points: a bounded sample by a hash of the id."""
+@dataclass(frozen=True)
+class Points:
+    """Reference points of one dimension, no two of them at cosine ``APART`` or more, and which of them lead a crowd."""
+
+    at: np.ndarray
+    crowd: np.ndarray
+    gap: np.ndarray
+
+
+def spread_points(sample: np.ndarray, cosine: float = COSINE) -> Points:
+    """Points kept in the sample's order where none before is near; those with ``CROWD`` sampled vectors at least lead a crowd."""
+    near = sample @ sample.T
+    kept = np.zeros(0, int)
+    for i in range(len(sample)):
+        if not (near[i, kept] >= APART).any():
+            kept = np.append(kept, i)
+    close = near[:, kept].argmax(axis=1)
+    at = sample[kept]
+    crowd = np.bincount(close, minlength=len(kept)) >= CROWD
+    # how much nearer another point may be to a vector that links with a vector whose nearest point this is
+    gap = np.sqrt(np.maximum(2 - 2 * near[np.ix_(kept, kept)], 0)) * math.sqrt(2 - 2 * cosine) + 1e-6
+    return Points(at, crowd, gap)
+
+
+def reference_points(unique: DataFrame, cosine: float = COSINE) -> dict[int, Points]:
+    """Per dimension, its reference points, from a bounded sample by a hash of the id."""
     counts = {r["d"]: r["count"] for r in unique.groupBy(F.size("v").alias("d")).count().collect()}
     out = {}
     for d, n in counts.items():
         want = min(POINTS_MOST, max(POINTS_LEAST, math.isqrt(n)))
         rows = unique.filter(F.size("v") == d).select("rep", "v").orderBy(F.xxhash64("rep", F.lit(10)), "rep").limit(want).collect()
         m = np.array([r["v"] for r in rows], np.float64)
-        out[d] = m / np.linalg.norm(m, axis=1, keepdims=True)
+        out[d] = spread_points(m / np.linalg.norm(m, axis=1, keepdims=True), cosine)
     return out
 
 
@@ -62,34 +98,81 @@ def nearest_points(v: np.ndarray, points: np.ndarray, k: int = NEAREST) -> np.nd
     return np.argsort(-near, axis=1, kind="stable")[:, :k]
 
 
-def index_lists(unique: DataFrame, points: dict[int, np.ndarray]) -> DataFrame:
-    """Inverted lists: (d, p, q, rep, copies, near, v), one row for each pair p < q of a vector's nearest points."""
+def crowd_places(v: np.ndarray, points: Points, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each vector's own crowd (-1 without one), and the rows and crowds (row, crowd) where a link of a member may end.
+
+    A member's nearest point leads the crowd, at cosine ``APART`` at least. Vectors that link with a member lie within
+    the sum of both angles, and no other point is much nearer to them. Of two crowds the lesser one holds their links.
+    """
+    near = v @ points.at.T
+    first = near.argmax(axis=1)
+    best = near[np.arange(len(v)), first]
+    home = np.where(points.crowd[first] & (best >= APART), first, -1)
+    leads = np.flatnonzero(points.crowd)
+    reach = math.cos(min(math.pi, math.acos(APART) + math.acos(cosine))) - 1e-6
+    row, which = np.nonzero((near[:, leads] >= reach) & ((home[:, None] < 0) | (home[:, None] >= leads)))
+    c = leads[which]
+    fits = (home[row] == c) | (near[row, c] >= best[row] - points.gap[c, first[row]])
+    return home, row[fits], c[fits]
+
+
+def index_lists(unique: DataFrame, points: dict[int, Points], cosine: float = COSINE) -> DataFrame:
+    """Rows (d, p, q, home, rep, copies, near, v): with q = -1 for each crowd p that a vector may link into; for vectors outside crowds, also one for each pair p < q of the nearest points."""
     spark = unique.sparkSession
     shared = spark.sparkContext.broadcast(points)
+    kind = number_type(unique)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             for d in np.unique(sizes):
                 rows = batch.filter(pa.array(sizes == d))
-                m = np.asarray(rows.column("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows.num_rows, d)
-                m = m / np.linalg.norm(m, axis=1, keepdims=True)
-                near = nearest_points(m, shared.value[int(d)])
+                stored = np.asarray(rows.column("v").flatten().to_numpy(zero_copy_only=False), kind).reshape(rows.num_rows, d)
+                m = unit(stored)
+                own = shared.value[int(d)]
+                near = nearest_points(m, own.at)
+                home, guest, crowd = crowd_places(m, own, cosine)
+                lone = np.flatnonzero(home < 0)
                 k = near.shape[1]
                 a, b = np.triu_indices(k, 1) if k > 1 else (np.zeros(1, int), np.zeros(1, int))
-                p, q = np.minimum(near[:, a], near[:, b]), np.maximum(near[:, a], near[:, b])
-                own = np.repeat(np.arange(rows.num_rows), len(a))
+                p, q = np.minimum(near[lone][:, a], near[lone][:, b]), np.maximum(near[lone][:, a], near[lone][:, b])
+                row = np.concatenate((np.repeat(lone, len(a)), guest))
+                p, q = np.concatenate((p.ravel(), crowd)), np.concatenate((q.ravel(), np.full(len(crowd), -1)))
                 packed = [near[i].astype("<i2").tobytes() for i in range(rows.num_rows)]
-                raw = [m[i].tobytes() for i in range(rows.num_rows)]
+                raw = [stored[i].tobytes() for i in range(rows.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), d, np.int32)), pa.array(p.ravel().astype(np.int32)), pa.array(q.ravel().astype(np.int32)), rows.column("rep").take(pa.array(own)), rows.column("copies").take(pa.array(own)), pa.array([packed[i] for i in own], pa.binary()), pa.array([raw[i] for i in own], pa.binary())],
-                    names=["d", "p", "q", "rep", "copies", "near", "v"],
+                    [pa.array(np.full(len(row), d, np.int32)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(home[row].astype(np.int32)), rows.column("rep").take(pa.array(row)), rows.column("copies").take(pa.array(row)), pa.array([packed[i] for i in row], pa.binary()), pa.array([raw[i] for i in row], pa.binary())],
+                    names=["d", "p", "q", "home", "rep", "copies", "near", "v"],
                 )
 
-    return unique.select("rep", "copies", "v").mapInArrow(run, "d int, p int, q int, rep long, copies long, near binary, v binary")
+    return unique.select("rep", "copies", "v").mapInArrow(run, "d int, p int, q int, home int, rep long, copies long, near binary, v binary")
+
+
+def number_type(unique: DataFrame) -> type:
+    """How the vectors' components are stored: as floats where they came as such, else as doubles."""
+    return np.float32 if isinstance(unique.schema["v"].dataType.elementType, FloatType) else np.float64
+
+
+def unit(stored: np.ndarray) -> np.ndarray:
+    m = stored.astype(np.float64)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def merge_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (the least number of each set; roots label themselves) after joining the sets of x[i] and y[i]."""
+    while True:
+        a, b = label[x], label[y]
+        differ = a != b
+        if not differ.any():
+            return label
+        x, y, a, b = x[differ], y[differ], a[differ], b[differ]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := label[label], label):
+            label = up
 
 
-def list_links(lists: DataFrame, cosine: float = COSINE) -> DataFrame:
+def list_links(lists: DataFrame, cosine: float = COSINE, kind: type = np.float64) -> DataFrame:
     """Rows (a, b, n): with b null, vector a has n more links (copies counted); else a link of a spanning subset."""
     sizes = lists.groupBy("d", "p", "q").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * BLOCK_LEAST)
     block = F.least(F.greatest(F.ceil(F.col("m") / 8), F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
@@ -97,37 +180,39 @@ def list_links(lists: DataFrame, cosine: float = COSINE) -> DataFrame:
     long = sizes.select("d", "p", "q", F.ceil(F.col("m") / block).cast("int").alias("nb"))
     cut = lists.join(F.broadcast(long), ["d", "p", "q"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("nb")).cast("int")
-    dealt = cut.withColumn("own", own).select("d", "p", "q", "rep", "copies", "near", "v", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("k"))
-    dealt = dealt.select("d", "p", "q", F.col("k.i").alias("i"), F.col("k.j").alias("j"), "own", "rep", "copies", "near", "v")
+    dealt = cut.withColumn("own", own).select("d", "p", "q", "home", "rep", "copies", "near", "v", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("k"))
+    dealt = dealt.select("d", "p", "q", F.col("k.i").alias("i"), F.col("k.j").alias("j"), "own", "home", "rep", "copies", "near", "v")
 
     def run(table: pa.Table) -> Iterable[pa.RecordBatch]:
         p, q, i, j = (table[c][0].as_py() for c in ("p", "q", "i", "j"))
-        v = np.frombuffer(b"".join(table["v"].to_pylist()), np.float64).reshape(table.num_rows, -1)
+        v = unit(np.frombuffer(b"".join(table["v"].to_pylist()), kind).reshape(table.num_rows, -1))
         near = np.frombuffer(b"".join(table["near"].to_pylist()), "<i2").reshape(table.num_rows, -1)
-        rep, copies, own = (table[c].to_numpy() for c in ("rep", "copies", "own"))
-        links = v @ v.T >= cosine
-        np.fill_diagonal(links, False)
-        if i != j:
-            links &= own[:, None] != own[None, :]
-        x, y = np.nonzero(np.triu(links))
-        # counted here only if p and q are the two least points that both have
-        shared = np.zeros(len(x), np.int64)
-        for a in range(near.shape[1]):
-            point = near[x, a]
-            shared += (point <= q) & (near[y] == point[:, None]).any(axis=1)
-        keep = shared == (2 if p != q else 1)
-        x, y = x[keep], y[keep]
-        n = np.bincount(x, copies[y], len(rep)) + np.bincount(y, copies[x], len(rep))
+        rep, copies, own, home = (table[c].to_numpy() for c in ("rep", "copies", "own", "home"))
+        one, other = (np.flatnonzero(own == x) for x in (i, j))
+        n, label = np.zeros(len(rep)), np.arange(len(rep))
+        step = max(1, CELLS // max(1, len(other)))
+        for s in range(0, len(one), step):
+            x = one[s : s + step]
+            y = other if i != j else other[s:]
+            links = v[x] @ v[y].T >= cosine
+            if i == j:
+                links &= x[:, None] < y
+            if q < 0:
+                links &= (home[x] == p)[:, None] | (home[y] == p)
+            else:
+                # counted here only if p and q are the two least points that both have
+                r, c = np.nonzero(links)
+                shared = np.zeros(len(r), np.int64)
+                for a in range(near.shape[1]):
+                    point = near[x[r], a]
+                    shared += (point <= q) & (near[y[c]] == point[:, None]).any(axis=1)
+                drop = shared != (2 if p != q else 1)
+                links[r[drop], c[drop]] = False
+            n[x] += links @ copies[y].astype(np.float64)
+            n[y] += copies[x].astype(np.float64) @ links
+            r, c = np.nonzero(links & (label[x][:, None] != label[y]))
+            label = merge_labels(label, x[r], y[c])
         some = np.flatnonzero(n)
-        label = np.arange(len(rep))
-        while len(x):
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            np.minimum.at(new, x, low), np.minimum.at(new, y, low)
-            new = new[new]
-            if np.array_equal(new, label):
-                break
-            label = new
         tied = some[label[some] != some]
         yield pa.RecordBatch.from_pydict({
             "a": pa.array(np.concatenate((rep[some], rep[tied]))), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rep[label[tied]])]),
@@ -142,7 +227,9 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
     """Per row: key, n_links, component_id, kept."""
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), (usable(vector) & F.col(key).isNotNull()).alias("ok"))
     unique = stage(rows.filter("ok").groupBy("v").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
-    found = list_links(stage(index_lists(unique, reference_points(unique)), "lists"))
+    with batches_of(df.sparkSession, 2000):
+        lists = stage(index_lists(unique, reference_points(unique)), "lists")
+    found = list_links(lists, kind=number_type(unique))
     roots = components(found.filter("b IS NOT NULL"))
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     known = unique.join(counts, unique.rep == counts.a, "left").join(roots, unique.rep == roots.node, "left")
