@@ -55,6 +55,21 @@ def test_recall_at_the_threshold():
         assert ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= 2).mean() >= 0.9
 
 
+def test_recall_does_not_fall_with_more_points():
+    """Links at cosine just 0.9, each number of points with the nearest ones it takes: the description grows with the points."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    other = rng.standard_normal((1024, 64))
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    for points in (32, 100, 316, 512, 1024):
+        a, b = (vectors.nearest_points(v, other[:points]) for v in (x, y))
+        assert ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= 2).mean() >= 0.985, points
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in vectors.near_vectors(df).collect()] == [(1, 0, 1, True)]

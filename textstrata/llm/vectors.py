@@ -2,7 +2,7 @@
 
 Reference points are vectors chosen by a hash of vec_id (a bounded sample; every
 vector is indexed), no two of them at cosine ``APART`` or more. A vector is
-described by its ordered ``NEAREST`` nearest points, and is entered in the
+described by its ordered nearest points (``nearest_of``), and is entered in the
 inverted list of each pair of them, so vectors that meet in a list share two
 points at least: their shared-pivot count. The vectors of a list are then
 verified by cosine in double precision; a pair that meets in several lists
@@ -41,7 +41,7 @@ from pyspark.sql.types import FloatType
 from .common import batches_of, by_group, components, stage
 
 COSINE = 0.9
-#: Sampled vectors: the square root of the number of vectors within these bounds; nearest points that describe a vector.
+#: Sampled vectors: the square root of the number of vectors within these bounds; nearest points that describe a vector, up to about 100 points.
 POINTS_LEAST, POINTS_MOST, NEAREST = 32, 1024, 6
 #: Sampled vectors at this cosine of a reference point are none themselves; a point with so many of them (itself included) leads a crowd.
 APART, CROWD = 0.7, 3
@@ -91,10 +91,15 @@ def reference_points(unique: DataFrame, cosine: float = COSINE) -> dict[int, Poi
     return out
 
 
-def nearest_points(v: np.ndarray, points: np.ndarray, k: int = NEAREST) -> np.ndarray:
+def nearest_of(points: int) -> int:
+    """How many nearest points describe a vector: one more for each doubling of a hundred points."""
+    return NEAREST + max(0, round(math.log2(max(points, 1) / 100)))
+
+
+def nearest_points(v: np.ndarray, points: np.ndarray, k: int | None = None) -> np.ndarray:
     """The permutation's head: each vector's k nearest points in order; ties by the point's number."""
     near = v @ points.T
-    k = min(k, len(points))
+    k = min(k or nearest_of(len(points)), len(points))
     return np.argsort(-near, axis=1, kind="stable")[:, :k]
 
 
