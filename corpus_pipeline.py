@@ -22,6 +22,8 @@ from textstrata.llm.common import stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected if its best language gets less than this.
 LEAST_SCORE = 0.5
+#: Near-copies share this percentage of their shingles of so many words; op4's own contract binds its query only.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 #: The language network and EM classifier are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
@@ -34,7 +36,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.near_groups(docs)
+    groups = jaccard.near_groups(docs, size=NEAR_SIZE, percent=NEAR_PERCENT)
     heads = groups.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), "lang", "source", "n_chars")
     named = docs.filter(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")

@@ -122,3 +122,12 @@ def test_pipeline_stages_take_odd_rows(spark, sf):
     assert corpus_pipeline.drop_near_copies(spark, docs, sf).filter("doc_id = 3").count() == 1
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "decontamination", "personal_data", "bpe"]
     assert decontamination and pii and F
+
+
+def test_pipeline_near_copies_by_five_words_and_four_fifths(spark, sf):
+    words = [f"w{i}" for i in range(104)]
+    cut = words[:86]  # 82 of 100 shingles of five words, 83 of 101 of four
+    far = [f"v{i}" for i in range(104)]
+    rows = [(1, " ".join(words)), (2, " ".join(cut)), (3, " ".join(far)), (4, " ".join(far[:83]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()) == [1, 3, 4]

@@ -130,12 +130,12 @@ def common_shingles(docs: DataFrame, text: str = "text", size: int = SIZE, commo
     return np.sort(rows["v"].to_numpy().astype(np.uint32))
 
 
-def leading(n: np.ndarray) -> np.ndarray:
+def leading(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """How many leading shingles a set of n must offer."""
-    return n - (PERCENT * n + 99) // 100 + 1
+    return n - (percent * n + 99) // 100 + 1
 
 
-def leading_sets(docs: DataFrame, often, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+def leading_sets(docs: DataFrame, often, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n, sig (identity of the set), lead (leading shingles), n_common (of the leading ones), last (place of the last one in the order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +151,9 @@ def leading_sets(docs: DataFrame, often, key: str = "doc_id", text: str = "text"
             sig = mix(sums[off[1:]] - sums[off[:-1]] + n.astype(np.uint64)).view(np.int64)
             order = np.lexsort((hot, owner))
             place = np.arange(len(h)) - off[:-1][owner]
-            take = place < leading(n)[owner]
+            take = place < leading(n, percent)[owner]
             lead, hot_lead = h[order][take], hot[order][take]
-            p = np.where(n > 0, leading(n), 0)
+            p = np.where(n > 0, leading(n, percent), 0)
             ends = np.cumsum(p)
             ranks = (hot_lead.astype(np.uint64) << np.uint64(63)) | (lead >> np.uint64(1))
             last = np.zeros(len(n), np.int64)
@@ -168,7 +168,7 @@ def leading_sets(docs: DataFrame, often, key: str = "doc_id", text: str = "text"
 _ENTRY = np.dtype([("h", "<u8"), ("sig", "<i8"), ("last", "<i8"), ("n", "<u4"), ("common", "<u4")])
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
+def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) between sets that may link, and from sets to the leader of each common leading shingle they have."""
     spark = sets.sparkSession
     ranges = partitions(spark)
@@ -214,15 +214,15 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         c = e[~hot]
         common = common[~hot]
         n = c["n"].astype(np.int64)
-        rest = n - leading(n)
+        rest = n - leading(n, percent)
         for d in range(1, len(c)):
             i = np.flatnonzero(c["h"][d:] == c["h"][:-d])
             if not len(i):
                 break
             j = i + d
-            fits = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+            fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             i, j = i[fits], j[fits]
-            need = (PERCENT * (n[i] + n[j]) + PERCENT + 99) // (PERCENT + 100)
+            need = (percent * (n[i] + n[j]) + percent + 99) // (percent + 100)
             after = np.where(c["last"][i] < c["last"][j], rest[i], np.where(c["last"][i] > c["last"][j], rest[j], np.maximum(rest[i], rest[j])))
             found.append(np.stack((c["sig"][i], c["sig"][j], np.maximum(1, need - np.minimum(common[i], common[j]) - after)), axis=1))
         rows = np.concatenate(found)
@@ -242,7 +242,8 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 class Region:
     """Exact join of a region's sets: pivots, Voronoi cells, triangle windows, recursion."""
 
-    def __init__(self, values: np.ndarray, offsets: np.ndarray):
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, percent: int = PERCENT):
+        self.percent, self.radius = percent, 1 - percent / 100
         _, self.token = np.unique(values, return_inverse=True)
         self.off, self.n = offsets, np.diff(offsets)
         self.width = int(self.token.max()) + 1 if len(values) else 1
@@ -278,7 +279,7 @@ class Region:
         """Distances from p; links found on the way are kept."""
         both = self.shared(p, members)
         union = self.n[p] + self.n[members] - both
-        for j in members[(100 * both >= PERCENT * union) & (members != p)].tolist():
+        for j in members[(100 * both >= self.percent * union) & (members != p)].tolist():
             a, b = self._find(p), self._find(j)
             if a != b:
                 self.root[max(a, b)] = min(a, b)
@@ -297,7 +298,7 @@ class Region:
             if len(np.unique(self._roots()[cell])) == 1 or len(pivots) == len(cell):
                 continue
             own = far.min(axis=0)
-            cells = [cell[near & ~np.isin(cell, pivots)] for near in far <= own + 2 * RADIUS + 1e-9]
+            cells = [cell[near & ~np.isin(cell, pivots)] for near in far <= own + 2 * self.radius + 1e-9]
             if len(cell) <= LEAF or max(map(len, cells)) > 0.7 * len(cell):
                 self._windows(cell, far, set(pivots.tolist()))
             else:
@@ -309,14 +310,14 @@ class Region:
         for k in ordinary:
             roots = self._roots()
             later = np.arange(k + 1, len(cell))
-            near = (np.abs(far[:, later] - far[:, k, None]) <= RADIUS + 1e-9).all(axis=0) & (roots[cell[later]] != roots[cell[k]])
+            near = (np.abs(far[:, later] - far[:, k, None]) <= self.radius + 1e-9).all(axis=0) & (roots[cell[later]] != roots[cell[k]])
             size, n = self.n[cell[later]], self.n[cell[k]]
-            near &= 100 * np.minimum(size, n) >= PERCENT * np.maximum(size, n)
+            near &= 100 * np.minimum(size, n) >= self.percent * np.maximum(size, n)
             if near.any():
                 self.measure(int(cell[k]), cell[later[near]])
 
 
-def region_links(docs: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+def region_links(docs: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that span the components of each region. ``members``: key, sig and root of one document per set."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     block = F.least(F.greatest(F.ceil(F.col("m") / 16), F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
@@ -335,7 +336,7 @@ def region_links(docs: DataFrame, members: DataFrame, key: str = "doc_id", text:
         real = mix(sums[off[1:]] - sums[off[:-1]] + n.astype(np.uint64)).view(np.int64) == sig
         _, first = np.unique(np.where(real, sig, 0), return_index=True)
         rows = np.sort(first[real[first]])
-        region = Region(np.concatenate([h[off[i] : off[i + 1]] for i in rows]) if len(rows) else h[:0], np.concatenate(([0], np.cumsum(n[rows]))))
+        region = Region(np.concatenate([h[off[i] : off[i + 1]] for i in rows]) if len(rows) else h[:0], np.concatenate(([0], np.cumsum(n[rows]))), percent)
         region.join(np.arange(len(rows)))
         a, b = (np.array([x[k] for x in region.links], np.int64) for k in (0, 1))
         yield pa.RecordBatch.from_pydict({"a": pa.array(sig[rows][a]), "b": pa.array(sig[rows][b])})
@@ -344,17 +345,17 @@ def region_links(docs: DataFrame, members: DataFrame, key: str = "doc_id", text:
         return stage(by_group(dealt, ["root", "i", "j"], run, "a long, b long"), "links")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles and component_id (the smallest key reachable by links)."""
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """Per row: key, n_shingles and component_id (the smallest key reachable by links of ``percent`` or more over shingles of ``size`` words)."""
     spark = docs.sparkSession
     docs = docs.select(key, text)
-    often = spark.sparkContext.broadcast(common_shingles(docs, text))
+    often = spark.sparkContext.broadcast(common_shingles(docs, text, size))
     with batches_of(spark, 1000):
-        sets = stage(leading_sets(docs, often, key, text), "sets")
-    regions = components(candidate_edges(sets))
+        sets = stage(leading_sets(docs, often, key, text, size, percent), "sets")
+    regions = components(candidate_edges(sets, percent))
     least = stage(sets.filter("n > 0").groupBy("sig").agg(F.min(key).alias(key)), "least")
     members = stage(least.filter(F.col(key).isNotNull()).join(regions.withColumnRenamed("node", "sig"), "sig"), "members")
-    joined = components(region_links(docs, members, key, text)).withColumnRenamed("node", "sig")
+    joined = components(region_links(docs, members, key, text, size, percent)).withColumnRenamed("node", "sig")
     rooted = least.join(joined, "sig", "left").select("sig", key, F.coalesce("root", "sig").alias("root"))
     heads = rooted.groupBy("root").agg(F.min(key).alias("component_id"))
     named = stage(rooted.join(heads, "root").select("sig", "component_id"), "named")
