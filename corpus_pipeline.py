@@ -5,8 +5,9 @@ before kept, and returns a DataFrame that is written as Parquet and read again
 as the next one's docs. All but the last return the columns of documents.
 
 Defined results: documents without any letter, and those that no learned
-language fits, go in the first stage; of documents that repeat a doc_id the
-one with the least text stays in the second (rows without doc_id all stay);
+language fits, go in the first stage; of each group of near-copies the one
+with the least doc_id stays in the second (null last; documents that only share
+a doc_id, or have none, are no copies, and rows equal in all columns are one);
 contaminated documents go in the third; the fourth changes text and n_chars;
 empty tables give empty results.
 """
@@ -36,11 +37,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.near_groups(docs, size=NEAR_SIZE, percent=NEAR_PERCENT)
-    heads = groups.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), "lang", "source", "n_chars")
-    named = docs.filter(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return named.select(*COLUMNS).unionAll(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
+    keyed = docs.withColumn("_key", F.xxhash64(*COLUMNS))
+    groups = jaccard.near_groups(keyed, "_key", size=NEAR_SIZE, percent=NEAR_PERCENT).select("_key", "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
+    heads = keyed.select("doc_id", "_key").join(groups, "_key").groupBy("component_id").agg(least.alias("head")).select(F.col("head._key").alias("_key"))
+    # rows of one key are equal in all columns
+    once = Window.partitionBy("_key").orderBy("doc_id")
+    return keyed.join(heads, "_key", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,3 +131,11 @@ def test_pipeline_near_copies_by_five_words_and_four_fifths(spark, sf):
     rows = [(1, " ".join(words)), (2, " ".join(cut)), (3, " ".join(far)), (4, " ".join(far[:83]))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()) == [1, 3, 4]
+
+
+def test_pipeline_near_copies_go_by_text_not_by_id(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (None, c), (None, c + " more"), (3, c), (None, "alone " + " ".join("xyz")), (2, None), (5, ""), (4, b), (4, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, c), (None, "alone x y z"), (2, None), (5, "")], key=str)
