@@ -76,6 +76,12 @@ def test_empty_and_single(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_an_id_may_have_several_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.05]), (3, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_long_lists_are_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_LEAST", 8)
     m = data(3, 300)

@@ -21,32 +21,45 @@ FOLDS = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return set_dir.rstrip("/") if set_dir else os.path.join(tempfile.gettempdir(), "textstrata-shared")
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (one machine, as in tests) gets a folder of its own; a cluster gets an
+    error, as its machines would not see each other's files.
+    """
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if set_dir:
+        return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "textstrata-shared")
+
+
+def _path(spark: SparkSession, path: str):
+    """The path's Hadoop file system and Path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later reads survive lost executors.
 
-    The folder is deleted when the driver's file system closes.
+    ``drop_stage`` deletes the folder; at the latest it goes when the driver's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _path(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Delete a table that ``stage`` wrote, once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(file)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def drop_stage(*staged: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote, once nothing will read them again."""
+    for df in staged:
+        files, where = _path(df.sparkSession, df.staged_at)
+        files.delete(where, True)
 
 
 def fold_of(doc_id) -> int:
@@ -87,10 +100,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, tasks: int = 0) -> DataFrame:
     """``run`` on the rows of each key, in sorted partitions and so with one key's rows in memory at a time.
 
-    Callers bound the rows of a key; many small keys cost no task or worker of their own.
+    Callers bound the rows of a key; many small keys cost no task or worker of their own. ``tasks``: so many at least.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +127,7 @@ def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table], Iterable[
         if kept:
             yield from run(pa.Table.from_batches(kept))
 
-    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+    return df.repartition(max(tasks, partitions(df.sparkSession)), *keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -123,7 +136,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     root is the smallest node reachable. Rounds alternate a large star (each
     node's greater neighbours move to its least one) and a small star (a node's
     lesser neighbours move to the least). Every step is a min-aggregation per
-    node and a join, so a hub is a join key that can be split, never an array.
+    node, combined before its shuffle, and a join: a hub's edges are rows of one
+    join key, which adaptive execution splits where they are many, never an array.
     Each round is written to the shared folder; it has settled when the number
     and the hash sum of its edges stay. Nulls, loops and repeated edges are
     ignored; an empty input gives an empty result.

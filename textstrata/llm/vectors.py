@@ -1,6 +1,7 @@
 """Operator 10, embedding near-duplicates through a pivot-permutation index.
 
-Reference points are vectors chosen by a hash of vec_id (a bounded sample; every
+Reference points are vectors chosen by a hash of their components (the square
+root of their number, so that lists keep their length as the table grows; every
 vector is indexed), no two of them at cosine ``APART`` or more. A vector is
 described by its ordered nearest points (``nearest_of``), and is entered in the
 inverted list of each pair of them, so vectors that meet in a list share two
@@ -14,15 +15,17 @@ the vectors about it are found exactly: they are compared with each other and
 with every vector that the triangle inequality lets link with one of them.
 Only links between vectors outside all crowds rest on shared points.
 
-Equal vectors are one entry with a count. Long lists are dealt in pairs of
+Equal vectors are one entry with a count and a number of its own; ids take no
+part in the search, so an id that repeats with other vectors mixes nothing up.
+Long lists are dealt in pairs of
 blocks. Lists give the numbers of links and a spanning subset of them; pairs
 are never listed.
 
 Defined results: null and empty vectors, zero vectors, and vectors with a null
 or non-finite component link with nothing, as do vectors of a dimension that
 differs (dimensions are indexed apart); rows with a null vec_id link with
-nothing and have no component; repeated rows are other vectors and link; a
-vector's own component is its vec_id if nothing else is reachable; an empty
+nothing and have no component; repeated rows are other vectors and link; rows
+of one id with different vectors are vectors of their own; a vector's own component is its vec_id if nothing else is reachable; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -38,11 +41,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import batches_of, by_group, components, stage
+from .common import batches_of, by_group, components, drop_stage, stage
 
 COSINE = 0.9
-#: Sampled vectors: the square root of the number of vectors within these bounds; nearest points that describe a vector, up to about 100 points.
-POINTS_LEAST, POINTS_MOST, NEAREST = 32, 1024, 6
+#: Sampled vectors: the square root of the number of vectors, so many at least; nearest points that describe a vector, up to about 100 points.
+POINTS_LEAST, NEAREST = 32, 6
 #: Sampled vectors at this cosine of a reference point are none themselves; a point with so many of them (itself included) leads a crowd.
 APART, CROWD = 0.7, 3
 #: Vectors of a list that are verified in one task: blocks of so many at least and at most; pairs that are held at a time.
@@ -61,33 +64,34 @@ class Points:
 
     at: np.ndarray
     crowd: np.ndarray
-    gap: np.ndarray
 
 
-def spread_points(sample: np.ndarray, cosine: float = COSINE) -> Points:
+def spread_points(sample: np.ndarray) -> Points:
     """Points kept in the sample's order where none before is near; those with ``CROWD`` sampled vectors at least lead a crowd."""
-    near = sample @ sample.T
-    kept = np.zeros(0, int)
-    for i in range(len(sample)):
-        if not (near[i, kept] >= APART).any():
-            kept = np.append(kept, i)
-    close = near[:, kept].argmax(axis=1)
-    at = sample[kept]
-    crowd = np.bincount(close, minlength=len(kept)) >= CROWD
-    # how much nearer another point may be to a vector that links with a vector whose nearest point this is
-    gap = np.sqrt(np.maximum(2 - 2 * near[np.ix_(kept, kept)], 0)) * math.sqrt(2 - 2 * cosine) + 1e-6
-    return Points(at, crowd, gap)
-
-
-def reference_points(unique: DataFrame, cosine: float = COSINE) -> dict[int, Points]:
-    """Per dimension, its reference points, from a bounded sample by a hash of the id."""
+    at = np.empty_like(sample)
+    kept = 0
+    for row in sample:
+        if not (at[:kept] @ row >= APART).any():
+            at[kept] = row
+            kept += 1
+    at = at[:kept].copy()
+    close = np.concatenate([(sample[i : i + 512] @ at.T).argmax(axis=1) for i in range(0, len(sample), 512)])
+    return Points(at, np.bincount(close, minlength=kept) >= CROWD)
+
+
+def gaps(one: np.ndarray, other: np.ndarray, cosine: float = COSINE) -> np.ndarray:
+    """Per pair of points: how much nearer the second may be to a vector that links with a vector whose nearest point is the first."""
+    return np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", one, other), 0)) * math.sqrt(2 - 2 * cosine) + 1e-6
+
+
+def reference_points(unique: DataFrame) -> dict[int, Points]:
+    """Per dimension, its reference points, from a sample by a hash of the vector."""
     counts = {r["d"]: r["count"] for r in unique.groupBy(F.size("v").alias("d")).count().collect()}
     out = {}
     for d, n in counts.items():
-        want = min(POINTS_MOST, max(POINTS_LEAST, math.isqrt(n)))
-        rows = unique.filter(F.size("v") == d).select("rep", "v").orderBy(F.xxhash64("rep", F.lit(10)), "rep").limit(want).collect()
+        rows = unique.filter(F.size("v") == d).select("v").orderBy(F.xxhash64("v", F.lit(10)), "v").limit(max(POINTS_LEAST, math.isqrt(n))).collect()
         m = np.array([r["v"] for r in rows], np.float64)
-        out[d] = spread_points(m / np.linalg.norm(m, axis=1, keepdims=True), cosine)
+        out[d] = spread_points(unit(m))
     return out
 
 
@@ -117,12 +121,12 @@ def crowd_places(v: np.ndarray, points: Points, cosine: float = COSINE) -> tuple
     reach = math.cos(min(math.pi, math.acos(APART) + math.acos(cosine))) - 1e-6
     row, which = np.nonzero((near[:, leads] >= reach) & ((home[:, None] < 0) | (home[:, None] >= leads)))
     c = leads[which]
-    fits = (home[row] == c) | (near[row, c] >= best[row] - points.gap[c, first[row]])
+    fits = (home[row] == c) | (near[row, c] >= best[row] - gaps(points.at[c], points.at[first[row]], cosine))
     return home, row[fits], c[fits]
 
 
 def index_lists(unique: DataFrame, points: dict[int, Points], cosine: float = COSINE) -> DataFrame:
-    """Rows (d, p, q, home, rep, copies, near, v): with q = -1 for each crowd p that a vector may link into; for vectors outside crowds, also one for each pair p < q of the nearest points."""
+    """Rows (d, p, q, home, node, copies, near, v): with q = -1 for each crowd p that a vector may link into; for vectors outside crowds, also one for each pair p < q of the nearest points."""
     spark = unique.sparkSession
     shared = spark.sparkContext.broadcast(points)
     kind = number_type(unique)
@@ -143,14 +147,14 @@ def index_lists(unique: DataFrame, points: dict[int, Points], cosine: float = CO
                 p, q = np.minimum(near[lone][:, a], near[lone][:, b]), np.maximum(near[lone][:, a], near[lone][:, b])
                 row = np.concatenate((np.repeat(lone, len(a)), guest))
                 p, q = np.concatenate((p.ravel(), crowd)), np.concatenate((q.ravel(), np.full(len(crowd), -1)))
-                packed = [near[i].astype("<i2").tobytes() for i in range(rows.num_rows)]
+                packed = [near[i].astype("<i4").tobytes() for i in range(rows.num_rows)]
                 raw = [stored[i].tobytes() for i in range(rows.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), d, np.int32)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(home[row].astype(np.int32)), rows.column("rep").take(pa.array(row)), rows.column("copies").take(pa.array(row)), pa.array([packed[i] for i in row], pa.binary()), pa.array([raw[i] for i in row], pa.binary())],
-                    names=["d", "p", "q", "home", "rep", "copies", "near", "v"],
+                    [pa.array(np.full(len(row), d, np.int32)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(home[row].astype(np.int32)), rows.column("node").take(pa.array(row)), rows.column("copies").take(pa.array(row)), pa.array([packed[i] for i in row], pa.binary()), pa.array([raw[i] for i in row], pa.binary())],
+                    names=["d", "p", "q", "home", "node", "copies", "near", "v"],
                 )
 
-    return unique.select("rep", "copies", "v").mapInArrow(run, "d int, p int, q int, home int, rep long, copies long, near binary, v binary")
+    return unique.select("node", "copies", "v").mapInArrow(run, "d int, p int, q int, home int, node long, copies long, near binary, v binary")
 
 
 def number_type(unique: DataFrame) -> type:
@@ -181,20 +185,19 @@ def list_links(lists: DataFrame, cosine: float = COSINE, kind: type = np.float64
     """Rows (a, b, n): with b null, vector a has n more links (copies counted); else a link of a spanning subset."""
     sizes = lists.groupBy("d", "p", "q").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 2 * BLOCK_LEAST)
     block = F.least(F.greatest(F.ceil(F.col("m") / 8), F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
-    # at most one row per pair of reference points: bounded by POINTS_MOST
     long = sizes.select("d", "p", "q", F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    cut = lists.join(F.broadcast(long), ["d", "p", "q"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("nb")).cast("int")
-    dealt = cut.withColumn("own", own).select("d", "p", "q", "home", "rep", "copies", "near", "v", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("k"))
-    dealt = dealt.select("d", "p", "q", F.col("k.i").alias("i"), F.col("k.j").alias("j"), "own", "home", "rep", "copies", "near", "v")
+    cut = lists.join(long, ["d", "p", "q"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int")
+    dealt = cut.withColumn("own", own).select("d", "p", "q", "home", "node", "copies", "near", "v", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("k"))
+    dealt = dealt.select("d", "p", "q", F.col("k.i").alias("i"), F.col("k.j").alias("j"), "own", "home", "node", "copies", "near", "v")
 
     def run(table: pa.Table) -> Iterable[pa.RecordBatch]:
         p, q, i, j = (table[c][0].as_py() for c in ("p", "q", "i", "j"))
         v = unit(np.frombuffer(b"".join(table["v"].to_pylist()), kind).reshape(table.num_rows, -1))
-        near = np.frombuffer(b"".join(table["near"].to_pylist()), "<i2").reshape(table.num_rows, -1)
-        rep, copies, own, home = (table[c].to_numpy() for c in ("rep", "copies", "own", "home"))
+        near = np.frombuffer(b"".join(table["near"].to_pylist()), "<i4").reshape(table.num_rows, -1)
+        node, copies, own, home = (table[c].to_numpy() for c in ("node", "copies", "own", "home"))
         one, other = (np.flatnonzero(own == x) for x in (i, j))
-        n, label = np.zeros(len(rep)), np.arange(len(rep))
+        n, label = np.zeros(len(node)), np.arange(len(node))
         step = max(1, CELLS // max(1, len(other)))
         for s in range(0, len(one), step):
             x = one[s : s + step]
@@ -220,7 +223,7 @@ def list_links(lists: DataFrame, cosine: float = COSINE, kind: type = np.float64
         some = np.flatnonzero(n)
         tied = some[label[some] != some]
         yield pa.RecordBatch.from_pydict({
-            "a": pa.array(np.concatenate((rep[some], rep[tied]))), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rep[label[tied]])]),
+            "a": pa.array(np.concatenate((node[some], node[tied]))), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(node[label[tied]])]),
             "n": pa.array(np.concatenate((n[some].astype(np.int64), np.zeros(len(tied), np.int64)))),
         })
 
@@ -231,14 +234,18 @@ def list_links(lists: DataFrame, cosine: float = COSINE, kind: type = np.float64
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per row: key, n_links, component_id, kept."""
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), (usable(vector) & F.col(key).isNotNull()).alias("ok"))
-    unique = stage(rows.filter("ok").groupBy("v").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    # written once, the numbers stay as they are
+    unique = stage(rows.filter("ok").groupBy("v").agg(F.min("id").cast("long").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     with batches_of(df.sparkSession, 2000):
         lists = stage(index_lists(unique, reference_points(unique)), "lists")
     found = list_links(lists, kind=number_type(unique))
-    roots = components(found.filter("b IS NOT NULL"))
+    drop_stage(lists)
+    roots = components(found.filter("b IS NOT NULL")).withColumnRenamed("root", "r")
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
-    known = unique.join(counts, unique.rep == counts.a, "left").join(roots, unique.rep == roots.node, "left")
-    heads = stage(known.select(F.col("v").alias("hv"), F.xxhash64("v").alias("hh"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "heads")
+    known = unique.join(counts, unique.node == counts.a, "left").join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").withColumn("root", F.coalesce("r", "node"))
+    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    heads = stage(known.join(named, "root").select(F.col("v").alias("hv"), F.xxhash64("v").alias("hh"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "heads")
+    drop_stage(unique, found)
     out = rows.withColumn("h", F.when(F.col("ok"), F.xxhash64("v"))).join(heads, (F.col("h") == F.col("hh")) & (F.col("v") == F.col("hv")), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
