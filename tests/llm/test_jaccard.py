@@ -95,3 +95,30 @@ def test_shingle_counts(spark):
     rows = [t for _, t in texts(9)]
     h, off = shingle_sets(pa.array(rows), 4)
     assert [len(shingle_set(t)) for t in rows] == np.diff(off).tolist()
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_regular_structure_do_not_meet(spark):
+    """Words of equal letter counts at every power of two: hashes that are polynomials modulo 2^64 can't tell them apart."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, other), (3, f"{one} x y z"), (4, f"{other} x y z"), (5, one)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.near_groups(df).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 1)]
+
+
+def test_one_id_may_have_many_texts(spark):
+    w = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(1, w(f"t{i}")) for i in range(30)] + [(1, w("t0") + " more"), (2, w("t7") + " more"), (3, w("t9") + " other")] + [(4, w("q"))] * 20
+    got = jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted({(r.doc_id, r.component_id) for r in got}) == [(1, 1), (2, 1), (3, 1), (4, 4)] and len(got) == len(rows)
+
+
+def test_large_groups_of_uncommon_shingles_hang_on_a_leader(spark, folder, monkeypatch):
+    rows = texts(8)
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    monkeypatch.setattr(jaccard, "COMMON", 1 << 40)
+    d = folder(documents=(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.op4_jaccard(spark, d).collect()) == groups(rows)

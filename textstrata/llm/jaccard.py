@@ -5,14 +5,16 @@ distance is a metric, and documents link at distance ``RADIUS`` or less. Almost
 all pairs of texts share nothing and lie at distance 1 from each other and from
 any pivot, so the space is first cut where it is empty:
 
-1. All shingles are counted (as 32 bits each); those in more than ``COMMON``
-   documents are common. Shingles are ordered uncommon first. Two linked sets
-   share one within the first n - ceil(0.85 n) + 1 of each.
-2. Equal sets become one. Sets that share an uncommon leading shingle are
-   paired (usually ``COMMON`` - 1 partners a shingle at most), and kept if the number of
-   leading shingles they share, with all that may follow, allows a link. Sets
-   that share a common leading shingle hang on one leader, without pairs.
-   Connected sets form a region; every link lies inside one.
+1. All shingles are counted (as 32 bits each); the most frequent ones (in more
+   than ``COMMON`` documents, ``BROADCAST`` at most) are common. Shingles are
+   ordered uncommon first. Two linked sets share one within the first
+   n - ceil(0.85 n) + 1 of each, whatever the order is.
+2. Equal sets (by two 64-bit identities, sums over their shingles) become one.
+   Sets that share an uncommon leading shingle are paired if they are
+   ``GROUP`` or fewer, and kept if the number of leading shingles they share,
+   with all that may follow, allows a link. Larger groups, and sets that share
+   a common leading shingle, hang on one leader, without pairs. Connected sets
+   form a region; every link lies inside one.
 3. A region is joined exactly: pivots are chosen, each set belongs to the cell
    of its nearest pivot (Voronoi), and it is also dealt to every cell whose
    pivot is at most 2 * RADIUS farther (triangle inequality). Cells recurse; one
@@ -23,6 +25,9 @@ Links join into components by the union of a spanning subset of them; sets that
 an earlier link has joined aren't compared again, so no link between different
 components is missed and pairs are never all listed.
 
+A shingle is compared as a hash of 64 bits: two sets' intersection is wrong
+only if different shingles of just these two sets agree in all of them.
+
 Defined results: null text, and text without words, has an empty set and is its
 own component; documents with equal sets are linked; rows with a null id have
 their set's size and a null component; repeated rows give repeated results; an
@@ -40,13 +45,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, by_group, components, partitions, stage
-from .shingles import mix, shingle_sets
+from .common import batches_of, by_group, components, drop_stage, partitions, stage
+from .shingles import identities, mix, shingle_sets
 
 SIZE, PERCENT = 4, 85
 RADIUS = 1 - PERCENT / 100
-#: Documents that an uncommon shingle may have; common shingles that are broadcast at most (4 bytes each).
+#: A shingle in so many documents or fewer is uncommon; common shingles that are broadcast at most (4 bytes each): both only order a set's shingles.
 COMMON, BROADCAST = 8, 4_000_000
+#: Sets that share a leading shingle and are compared pair by pair at most.
+GROUP = 32
+#: Bytes of text whose shingles a worker sorts at once.
+RANGE_BYTES = 32 << 20
 #: Sets of a region that are joined in one task: blocks of so many at least and at most.
 BLOCK_LEAST, BLOCK_MOST = 96, 2048
 #: Pivots of a cell, and the size at which a cell is finished without recursion.
@@ -72,14 +81,19 @@ def _by_range(h: np.ndarray, ranges: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def common_shingles(docs: DataFrame, text: str = "text", size: int = SIZE, common: int = COMMON) -> np.ndarray:
-    """Upper 32 bits of the shingles in more than ``common`` documents, sorted; in more documents if they exceed ``BROADCAST`` so.
+def ranges_of(docs: DataFrame, text: str = "text") -> int:
+    """How many ranges of hashes the shingles are dealt to: they grow with the text, so that one range fits in a worker."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))
+
+
+def common_shingles(docs: DataFrame, ranges: int, text: str = "text", size: int = SIZE, common: int = COMMON) -> np.ndarray:
+    """Upper 32 bits of the most frequent shingles, ``BROADCAST`` at most, of those in more than ``common`` documents; sorted.
 
     Counts cover all documents. Workers count what they have read, and send sorted
     values as differences, by ranges of the hash.
     """
     spark = docs.sparkSession
-    ranges = partitions(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
@@ -122,11 +136,12 @@ def common_shingles(docs: DataFrame, text: str = "text", size: int = SIZE, commo
         yield pa.RecordBatch.from_pydict({"v": pa.array(v[often].astype(np.int64)), "n": pa.array(t[often]), "total": pa.array(np.where(np.arange(often.sum()) == 0, sum(table["total"].to_pylist()), 0), pa.int64())})
 
     with batches_of(spark, 64):
-        found = stage(by_group(docs.select(text).mapInArrow(count, "r int, steps binary, far binary, times binary, total long"), ["r"], merge, "v long, n long, total long"), "common")
+        found = stage(by_group(docs.select(text).mapInArrow(count, "r int, steps binary, far binary, times binary, total long"), ["r"], merge, "v long, n long, total long", ranges), "common")
         total = found.agg(F.sum("total")).first()[0] or 0
         # Fewer than total / x values can occur more than x times: what reaches the driver is bounded either way.
         least = common if found.count() <= BROADCAST else max(common, total // BROADCAST)
         rows = found.filter(F.col("n") > least).select("v").toArrow()
+        drop_stage(found)
     return np.sort(rows["v"].to_numpy().astype(np.uint32))
 
 
@@ -136,7 +151,7 @@ def leading(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def leading_sets(docs: DataFrame, often, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Per row: key, n, sig (identity of the set), lead (leading shingles), n_common (of the leading ones), last (place of the last one in the order)."""
+    """Per row: key, th (hash of the text), n, sig and sig2 (identities of the set), lead (leading shingles), n_common (of the leading ones), last (place of the last one in the order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = often.value
@@ -147,8 +162,7 @@ def leading_sets(docs: DataFrame, often, key: str = "doc_id", text: str = "text"
             top = (h >> np.uint64(32)).astype(np.uint32)
             at = np.minimum(np.searchsorted(values, top), max(0, len(values) - 1))
             hot = values[at] == top if len(values) else np.zeros(len(h), bool)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
-            sig = mix(sums[off[1:]] - sums[off[:-1]] + n.astype(np.uint64)).view(np.int64)
+            sig, sig2 = identities(h, off)
             order = np.lexsort((hot, owner))
             place = np.arange(len(h)) - off[:-1][owner]
             take = place < leading(n, percent)[owner]
@@ -160,33 +174,29 @@ def leading_sets(docs: DataFrame, often, key: str = "doc_id", text: str = "text"
             last[n > 0] = (ranks[ends[n > 0] - 1] >> np.uint64(1)).astype(np.int64)
             common = np.bincount(owner[take], hot_lead, len(n)).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(lead.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(key), pa.array(n, pa.int64()), pa.array(sig), lists, pa.array(common), pa.array(last)], names=[key, "n", "sig", "lead", "n_common", "last"])
+            yield pa.RecordBatch.from_arrays([rows.column(key), rows.column("th"), pa.array(n, pa.int64()), pa.array(sig), pa.array(sig2), lists, pa.array(common), pa.array(last)], names=[key, "th", "n", "sig", "sig2", "lead", "n_common", "last"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, sig long, lead array<long>, n_common long, last long")
+    return docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, th long, n long, sig long, sig2 long, lead array<long>, n_common long, last long")
 
 
-_ENTRY = np.dtype([("h", "<u8"), ("sig", "<i8"), ("last", "<i8"), ("n", "<u4"), ("common", "<u4")])
+_ENTRY = np.dtype([("h", "<u8"), ("node", "<i8"), ("last", "<i8"), ("n", "<u4"), ("common", "<u4")])
 
 
-def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) between sets that may link, and from sets to the leader of each common leading shingle they have."""
+def candidate_edges(sets: DataFrame, ranges: int, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b) between sets that may link, and from sets to the leader of each large group of sets that share a leading shingle.
+
+    ``sets``: one row per distinct set, with its node.
+    """
     spark = sets.sparkSession
-    ranges = partitions(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for rows in itertools.chain.from_iterable((b.slice(at, 2000) for at in range(0, b.num_rows, 2000)) for b in batches):
-            sig, n = rows.column("sig").to_numpy(), rows.column("n").to_numpy()
-            fresh = np.array([bool(k) and s not in seen and not seen.add(s) for s, k in zip(sig.tolist(), n.tolist(), strict=True)], bool)
-            if len(seen) > 1_000_000:
-                seen = set()
-            rows = rows.filter(pa.array(fresh))
             lead = rows.column("lead")
             size = lead.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             out = np.empty(int(size.sum()), _ENTRY)
             out["h"] = lead.flatten().to_numpy().view(np.uint64)
-            for name, column in (("sig", "sig"), ("last", "last"), ("n", "n")):
-                out[name] = np.repeat(rows.column(column).to_numpy(), size)
+            for name in ("node", "last", "n"):
+                out[name] = np.repeat(rows.column(name).to_numpy(), size)
             # common leading shingles come last in a set
             out["common"] = np.repeat(rows.column("n_common").to_numpy(), size)
             place = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
@@ -201,18 +211,15 @@ def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def pair(table: pa.Table) -> Iterable[pa.RecordBatch]:
         e = np.frombuffer(b"".join(table["e"].to_pylist()), _ENTRY)
-        e = e[np.lexsort((e["sig"], e["h"]))]
-        same = (e["h"][1:] == e["h"][:-1]) & (e["sig"][1:] == e["sig"][:-1])
-        e = e[np.concatenate(([True], ~same))]
-        hot = (e["common"] >> np.uint32(31)).astype(bool)
+        e = e[np.lexsort((e["node"], e["h"]))]
         common = (e["common"] & np.uint32(0x7FFFFFFF)).astype(np.int64)
-        found: list[np.ndarray] = []
-        begins = np.concatenate(([True], e["h"][1:] != e["h"][:-1]))
-        leader = e["sig"][np.maximum.accumulate(np.where(begins, np.arange(len(e)), 0))]
-        hang = hot & ~begins
-        found.append(np.stack((leader[hang], e["sig"][hang], np.zeros(hang.sum(), np.int64)), axis=1))
-        c = e[~hot]
-        common = common[~hot]
+        begins = np.flatnonzero(np.concatenate(([True], e["h"][1:] != e["h"][:-1])))
+        members = np.diff(np.concatenate((begins, [len(e)])))
+        hot = (e["common"] >> np.uint32(31)).astype(bool) | (np.repeat(members, members) > GROUP)
+        leader = np.repeat(e["node"][begins], members)
+        hang = hot & (leader != e["node"])
+        found = [np.stack((leader[hang], e["node"][hang], np.zeros(hang.sum(), np.int64)), axis=1)]
+        c, common = e[~hot], common[~hot]
         n = c["n"].astype(np.int64)
         rest = n - leading(n, percent)
         for d in range(1, len(c)):
@@ -224,7 +231,7 @@ def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             i, j = i[fits], j[fits]
             need = (percent * (n[i] + n[j]) + percent + 99) // (percent + 100)
             after = np.where(c["last"][i] < c["last"][j], rest[i], np.where(c["last"][i] > c["last"][j], rest[j], np.maximum(rest[i], rest[j])))
-            found.append(np.stack((c["sig"][i], c["sig"][j], np.maximum(1, need - np.minimum(common[i], common[j]) - after)), axis=1))
+            found.append(np.stack((c["node"][i], c["node"][j], np.maximum(1, need - np.minimum(common[i], common[j]) - after)), axis=1))
         rows = np.concatenate(found)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         first = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))) if len(rows) else np.zeros(0, int)
@@ -233,8 +240,8 @@ def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1]), "c": pa.array(times), "need": pa.array(rows[:, 2])})
 
     with batches_of(spark, 256):
-        dealt = sets.filter("n > 0").mapInArrow(deal, "r int, e binary")
-        pairs = by_group(dealt, ["r"], pair, "a long, b long, c long, need long")
+        dealt = sets.select("node", "n", "lead", "n_common", "last").mapInArrow(deal, "r int, e binary")
+        pairs = by_group(dealt, ["r"], pair, "a long, b long, c long, need long", ranges)
         kept = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).filter(F.col("c") >= F.col("need"))
         return stage(kept.select("a", "b"), "candidates")
 
@@ -318,28 +325,31 @@ class Region:
 
 
 def region_links(docs: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that span the components of each region. ``members``: key, sig and root of one document per set."""
+    """Links (a, b) that span the components of each region. ``members``: key, th, node, sig, sig2 and root of one document per set."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     block = F.least(F.greatest(F.ceil(F.col("m") / 16), F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
     cut = members.join(sizes, "root").filter("m > 1").withColumn("nb", F.when(F.col("m") <= 2 * BLOCK_LEAST, 1).otherwise(F.ceil(F.col("m") / block)).cast("int"))
     own = F.pmod(F.xxhash64("sig", F.lit(4)), F.col("nb")).cast("int")
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    placed = cut.select(F.col(key).alias("_key"), "sig", "root", "nb", own.alias("own")).hint("merge").join(texts, "_key").select("sig", "root", "_text", F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("k"))
-    dealt = placed.select("root", F.col("k.i").alias("i"), F.col("k.j").alias("j"), "sig", "_text")
+    own_text = cut.select(F.col(key).alias("_key"), "th", "node", "sig", "sig2", "root", "nb", own.alias("own"))
+    # equal rows of one document count once: its text goes along with its set as one row
+    texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("th"), F.col(text).alias("_text"))
+    texts = texts.join(own_text.select("_key", "th").hint("merge"), ["_key", "th"], "left_semi").groupBy("_key", "th").agg(F.first("_text").alias("_text"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    placed = own_text.hint("merge").join(texts, ["_key", "th"]).select("node", "sig", "sig2", "root", "_text", F.explode(blocks).alias("k"))
+    dealt = placed.select("root", F.col("k.i").alias("i"), F.col("k.j").alias("j"), "node", "sig", "sig2", "_text")
 
     def run(table: pa.Table) -> Iterable[pa.RecordBatch]:
         table = table.combine_chunks()
         h, off = shingle_sets(table["_text"], size)
-        sig = table["sig"].to_numpy()
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
-        n = np.diff(off)
-        real = mix(sums[off[1:]] - sums[off[:-1]] + n.astype(np.uint64)).view(np.int64) == sig
-        _, first = np.unique(np.where(real, sig, 0), return_index=True)
+        node, n = table["node"].to_numpy(), np.diff(off)
+        # should hashes of two texts of one key agree, only that whose set is the node's counts
+        real = np.logical_and(*(own == table[name].to_numpy() for own, name in zip(identities(h, off), ("sig", "sig2"), strict=True)))
+        _, first = np.unique(np.where(real, node, -1), return_index=True)
         rows = np.sort(first[real[first]])
         region = Region(np.concatenate([h[off[i] : off[i + 1]] for i in rows]) if len(rows) else h[:0], np.concatenate(([0], np.cumsum(n[rows]))), percent)
         region.join(np.arange(len(rows)))
         a, b = (np.array([x[k] for x in region.links], np.int64) for k in (0, 1))
-        yield pa.RecordBatch.from_pydict({"a": pa.array(sig[rows][a]), "b": pa.array(sig[rows][b])})
+        yield pa.RecordBatch.from_pydict({"a": pa.array(node[rows][a]), "b": pa.array(node[rows][b])})
 
     with batches_of(docs.sparkSession, 256):
         return stage(by_group(dealt, ["root", "i", "j"], run, "a long, b long"), "links")
@@ -349,17 +359,23 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """Per row: key, n_shingles and component_id (the smallest key reachable by links of ``percent`` or more over shingles of ``size`` words)."""
     spark = docs.sparkSession
     docs = docs.select(key, text)
-    often = spark.sparkContext.broadcast(common_shingles(docs, text, size))
+    ranges = ranges_of(docs, text)
+    often = spark.sparkContext.broadcast(common_shingles(docs, ranges, text, size))
     with batches_of(spark, 1000):
         sets = stage(leading_sets(docs, often, key, text, size, percent), "sets")
-    regions = components(candidate_edges(sets, percent))
-    least = stage(sets.filter("n > 0").groupBy("sig").agg(F.min(key).alias(key)), "least")
-    members = stage(least.filter(F.col(key).isNotNull()).join(regions.withColumnRenamed("node", "sig"), "sig"), "members")
-    joined = components(region_links(docs, members, key, text, size, percent)).withColumnRenamed("node", "sig")
-    rooted = least.join(joined, "sig", "left").select("sig", key, F.coalesce("root", "sig").alias("root"))
+    shape = [F.first(c).alias(c) for c in ("n", "lead", "n_common", "last")]
+    # written once, the numbers stay as they are
+    nodes = stage(sets.filter("n > 0").groupBy("sig", "sig2").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"), "th")).alias("least"), *shape).withColumn("node", F.monotonically_increasing_id()).select("*", F.col("least.key").alias(key), "least.th"), "nodes")
+    candidates = candidate_edges(nodes, ranges, percent)
+    regions = components(candidates)
+    members = stage(nodes.filter(F.col(key).isNotNull()).select(key, "th", "node", "sig", "sig2").join(regions, "node"), "members")
+    links = region_links(docs, members, key, text, size, percent)
+    joined = components(links)
+    rooted = nodes.select("node", "sig", "sig2", key).join(joined, "node", "left").select("sig", "sig2", key, F.coalesce("root", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min(key).alias("component_id"))
-    named = stage(rooted.join(heads, "root").select("sig", "component_id"), "named")
-    out = sets.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
+    named = stage(rooted.join(heads, "root").select("sig", "sig2", "component_id"), "named")
+    drop_stage(candidates, members, links, nodes)
+    out = sets.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"), "sig2").join(named, ["sig", "sig2"], "left")
     return out.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
 
 

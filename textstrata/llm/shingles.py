@@ -6,14 +6,14 @@ import numpy as np
 import pyarrow as pa
 
 _RNG = np.random.default_rng(20240229)
-#: A random 64-bit value per byte (A-Z as a-z), and an odd multiplier for places.
+#: A random 64-bit value per byte (A-Z as a-z), and an odd multiplier.
 BYTE_VALUES = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
 ODD = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(ODD), -1, 2**64))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNK = 1 << 20
+#: What a set's two identities are mixed with.
+IDENTITIES = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,20 +23,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2 ** 64."""
-    key = str(base)
-    if key not in _POWERS or len(_POWERS[key]) < n:
-        size = max(n, CHUNK)
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        _POWERS[key] = np.multiply.accumulate(p)
-    return _POWERS[key][:n]
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -65,9 +51,12 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     finishes = word.copy()
     finishes[:-1] &= space[1:] | border[1:n]
     stops = np.flatnonzero(finishes) + 1
-    terms = BYTE_VALUES[raw] * _powers(ODD, n)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-    hashes = mix((total[stops] - total[starts]) * _powers(INVERSE, n)[starts] + (stops - starts).astype(np.uint64))
+    # Byte and place in the word are mixed before they are added: sums of such values have no structure that a text could meet.
+    begun = np.zeros(n, np.int64)
+    begun[starts] = starts
+    place = (np.arange(n) - np.maximum.accumulate(begun)).astype(np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(BYTE_VALUES[raw] + place * ODD), dtype=np.uint64)))
+    hashes = mix(total[stops] - total[starts] + (stops - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, offsets)
 
 
@@ -94,3 +83,13 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[keep], owner[keep]
     return h, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=rows)))).astype(np.int64)
+
+
+def identities(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit identities of each row's set, whatever its order: 128 bits in all."""
+    n = np.diff(offsets).astype(np.uint64)
+    out = []
+    for salt in IDENTITIES:
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ salt), dtype=np.uint64)))
+        out.append(mix(sums[offsets[1:]] - sums[offsets[:-1]] + n).view(np.int64))
+    return out[0], out[1]
