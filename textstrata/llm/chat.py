@@ -4,7 +4,8 @@ A pair has a chosen and a rejected conversation. Their longest common prefix of
 turns (equal role and text) is rendered once as the prompt; each rest is
 rendered as a completion with the character spans that count in the loss: the
 assistant's texts with their end mark. Plain DataFrame functions; the only
-shuffle gathers the turns of a pair.
+shuffle gathers the turns of a pair, as its texts are one row of the result: a
+pair must fit in a row, as a document must.
 
 Pairing for the query: conversations 2k and 2k + 1 form pair k, the even one is
 chosen. The key has two conversations at most, so a first turn that many
@@ -13,8 +14,8 @@ conversations share makes no group.
 Defined results: a null role is ``unknown``, a null text is empty; turns sort by
 turn (nulls first), role and text, and repeated rows are repeated turns; a
 conversation without partner gives a pair whose missing side is empty and whose
-``status`` says so; rows without conversation id form one pair by themselves
-only if there are any (key null); an empty table gives an empty result; other
+``status`` says so; rows without conversation id are the chosen side of one pair
+of their own (key null), if there are any; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -72,11 +73,11 @@ def format_preferences(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
 def paired(turns: DataFrame) -> DataFrame:
     """Pairs of conversations 2k (chosen) and 2k + 1 (rejected) from rows (conv_id, turn, role, text)."""
     rows = turns.select(
-        F.floor(F.col("conv_id") / 2).alias("pair_id"),
-        F.struct(F.pmod(F.col("conv_id"), F.lit(2)).alias("side"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
+        F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"),
+        F.struct(F.coalesce(F.pmod(F.col("conv_id"), F.lit(2)), F.lit(0)).cast("int").alias("side"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
     both = rows.groupBy("pair_id").agg(F.array_sort(F.collect_list("t")).alias("all"))
-    side = lambda k: F.transform(F.filter("all", lambda t: F.coalesce(t["side"], F.lit(0)) == k), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    side = lambda k: F.transform(F.filter("all", lambda t: t["side"] == k), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return both.select("pair_id", side(0).alias("chosen"), side(1).alias("rejected"))
 
 
@@ -88,10 +89,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH t AS (SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 AS side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, coalesce((conv_id % 2 + 2) % 2, 0) AS side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
 eq AS (SELECT a.pair_id, a.i, bool_and(a.role = b.role AND a.text = b.text) OVER (PARTITION BY a.pair_id ORDER BY a.i) AS same
-       FROM n a JOIN n b ON a.pair_id = b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1),
+       FROM n a JOIN n b ON a.pair_id IS NOT DISTINCT FROM b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1),
 p AS (SELECT pair_id, count(*) FILTER (same) AS n FROM eq GROUP BY 1),
 r AS (SELECT n.*, coalesce(p.n, 0) AS k, '<|' || role || '|>' || chr(10) AS h, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM n LEFT JOIN p USING (pair_id)),
 o AS (SELECT *, coalesce(sum(length(s)) FILTER (i > k) OVER (PARTITION BY pair_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM r)
