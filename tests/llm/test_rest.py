@@ -7,6 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from brute import base_spans, groups
+from compare import compare
 from pyspark.sql import functions as F
 
 from textstrata.llm import chat, decontamination, pii, sharding
@@ -48,6 +49,21 @@ def test_slot_maps():
     assert max(by.values()) <= 1.03 * sum(by.values()) / 40 and sum(x != y for x, y in zip(a, even)) < sharding.SLOTS // 4
 
 
+def test_maps_are_stored_and_edited(spark, tmp_path):
+    path, df = f"{tmp_path}/maps", spark.createDataFrame(ROWS, "doc_id long, text string")
+    sharding.shard_by_key(df, "doc_id", "text", 40, path)
+    version, grown = sharding.stored_map(spark, path)
+    assert version == 2 and grown == sharding.grow(sharding.stored_map(spark, path, 1)[1], 40)
+    loads = sharding.slot_bytes(df, "doc_id", "text")
+    assert sum(loads.values()) == sum(len((t or "").encode()) + 16 for _, t in ROWS)
+    assert sharding.edit_map(spark, path, lambda a: sharding.rebalance(a, loads)) == 3
+    assert sharding.stored_map(spark, path)[1] == sharding.rebalance(grown, loads) and sharding.stored_map(spark, path, 2)[1] == grown
+    with pytest.raises(Exception, match="exists"):
+        sharding.store_map(spark, path, grown, 3)
+    shards = {r.doc_id: r.shard for r in sharding.shard_by_map(df, "doc_id", "text", sharding.map_versions(spark, path), 3).collect()}
+    assert shards[8] == sharding.stored_map(spark, path)[1][next(r.vslot for r in sharding.placed_rows(df.filter("doc_id = 8"), "doc_id", "text").collect())]
+
+
 def test_chat_by_brute_force(spark, folder):
     r = random.Random(0)
     rows = []
@@ -67,6 +83,10 @@ def test_chat_by_brute_force(spark, folder):
         for mask, text, turns in ((x.chosen_mask, x.chosen, a[n:]), (x.rejected_mask, x.rejected, b[n:])):
             cut = [text[int(s.split(":")[0]) : int(s.split(":")[1])] for s in mask.split(",") if s]
             assert cut == [f"{t}<|end|>\n" for role, t in turns if role == "assistant"]
+    odd = [(2**60, 0, "user", "x"), (2**60 + 1, 0, "user", "x"), (2**60 + 2, 0, "user", "y"), (None, 0, "user", "n"), (-1, 0, "user", "m"), (-2, 0, "user", "m")]
+    d = folder(conversations=(odd, "conv_id long, turn long, role string, text string"))
+    assert compare(spark, d, "op7", chat.op7_chat, chat.SQL).startswith("ok")
+    assert {x.pair_id: x.status for x in chat.op7_chat(spark, d).collect()} == {2**59: "equal", 2**59 + 1: "no rejected", None: "no rejected", -1: "equal"}
     assert chat.format_preferences(chat.paired(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 

@@ -2,8 +2,13 @@
 
 Records are hashed into a fixed number of virtual slots (thousands). Bytes and
 rows are aggregated per slot, and a small versioned map says which shard holds
-each slot. Growing or rebalancing edits the map, never the hash: only the rows
-of the slots that change hands move.
+each slot. The map is stored, a Parquet folder per version: ``store_map`` writes
+one, ``stored_map`` reads one, ``edit_map`` stores an edited copy of the last one
+as the next version. Growing or rebalancing edits the map, never the hash: only
+the rows of the slots that change hands move.
+
+Rows of one slot are numbered in ``BUCKETS`` buckets by their text's CRC, so that
+many rows of one id, or without one, are no single window.
 
 Defined results: a null id hashes as the empty string; a null text has no bytes
 and the CRC of the empty text; repeated rows each get a place of their own; an
@@ -13,14 +18,18 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import shared_dir, stage
 
 #: Fixed number of virtual slots; the map's size, and so all that is broadcast, is bounded by it.
 SLOTS = 8192
+#: Buckets of a slot whose rows are numbered apart; the table of their sizes, SLOTS * BUCKETS rows, is broadcast.
+BUCKETS = 16
 #: Bytes added to each record for its framing.
 OVERHEAD = 16
 
@@ -79,51 +88,87 @@ def rebalance(assignment: list[int], slot_bytes: dict[int, int], tolerance: floa
     return edited
 
 
-def map_frame(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """All versions of the map as rows (version, vslot, shard); built from string literals, so without Python or RDD code."""
-    frames = [
-        spark.range(1).select(F.lit(v).alias("version"), F.posexplode(F.split(F.lit(",".join(map(str, a))), ",")).alias("vslot", "s")).select("version", "vslot", F.col("s").cast("int").alias("shard"))
-        for v, a in enumerate(versions)
-    ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+def _map_rows(spark: SparkSession, assignment: list[int]) -> DataFrame:
+    """A map as rows (vslot, shard); built from a string literal, so without Python or RDD code."""
+    return spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, assignment))), ",")).alias("vslot", "s")).select("vslot", F.col("s").cast("int").alias("shard"))
+
+
+def store_map(spark: SparkSession, path: str, assignment: list[int], version: int = 1) -> int:
+    """Write a map as a version of the store at ``path``; a version that is there already is an error, never overwritten."""
+    _map_rows(spark, assignment).coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+    return version
+
+
+def map_versions(spark: SparkSession, path: str) -> DataFrame:
+    """All stored versions: (vslot, shard, version); at most ``SLOTS`` rows each."""
+    return spark.read.parquet(path).select("vslot", "shard", F.col("version").cast("int").alias("version"))
+
+
+def stored_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """A stored version, the last one by default: its number and its shard per slot."""
+    maps = map_versions(spark, path)
+    version = maps.agg(F.max("version")).first()[0] if version is None else version
+    return version, [r["shard"] for r in maps.filter(F.col("version") == version).orderBy("vslot").collect()]
+
+
+def edit_map(spark: SparkSession, path: str, edit: Callable[[list[int]], list[int]]) -> int:
+    """Store ``edit`` of the last version as the next one; of two edits of one version, the second fails."""
+    version, assignment = stored_map(spark, path)
+    return store_map(spark, path, edit(assignment), version + 1)
+
 
+def placed_rows(df: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFrame:
+    """Per row: doc_id (the key), size, text_crc32, vslot and bucket."""
+    crc = F.crc32(F.coalesce(F.col(text), F.lit("")))
+    return df.select(
+        F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD).alias("size"), crc.alias("text_crc32"),
+        slot_of(key, slots).alias("vslot"), (crc % BUCKETS).cast("int").alias("bucket"),
+    )
 
-def slot_loads(df: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFrame:
-    """Rows and bytes per virtual slot: (vslot, rows, bytes); at most ``slots`` rows."""
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
-    return df.groupBy(slot_of(key, slots).alias("vslot")).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
 
+def slot_loads(rows: DataFrame) -> DataFrame:
+    """Rows and bytes per bucket of a virtual slot: (vslot, bucket, rows, bytes)."""
+    return rows.groupBy("vslot", "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
 
-def shard_by_key(df: DataFrame, key: str, text: str, shards: int, slots: int = SLOTS) -> DataFrame:
-    """Each row's shard under ``shards`` shards, its place there and its shard under one more.
 
-    The two map versions, joined with the loads of their slots, are stored in the
-    shared folder (at most 2 * ``slots`` rows) and broadcast. A row's place in its
-    shard is the number of rows in the shard's earlier slots plus its place in
-    its own slot, so no window spans a whole shard.
+def slot_bytes(df: DataFrame, key: str, text: str, slots: int = SLOTS) -> dict[int, int]:
+    """Bytes per virtual slot, what ``rebalance`` weighs; at most ``slots`` entries."""
+    return {r["vslot"]: r["bytes"] for r in placed_rows(df, key, text, slots).groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()}
+
+
+def shard_by_map(df: DataFrame, key: str, text: str, maps: DataFrame, version: int) -> DataFrame:
+    """Each row's shard under a version of the maps, its place there and its shard under the next version.
+
+    The versions, joined with the loads of their slots, are stored (at most
+    ``SLOTS * BUCKETS`` rows) and broadcast. A row's place in its shard is the
+    number of rows in the shard's earlier buckets plus its place in its own, so no
+    window spans a whole shard.
     """
-    spark = df.sparkSession
-    base = first_map(shards, slots)
-    versions = map_frame(spark, [base, grow(base, shards)])
-    wide = versions.groupBy("vslot").agg(F.max(F.when(F.col("version") == 0, F.col("shard"))).alias("shard"), F.max(F.when(F.col("version") == 1, F.col("shard"))).alias("grown_shard"))
-    loads = wide.join(slot_loads(df, key, text, slots), "vslot", "left").na.fill(0, ["rows", "bytes"])
-    earlier = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    stored = stage(loads.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))), "slot_map")
-    rows = df.select(
-        F.col(key).alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD).alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
-        slot_of(key, slots).alias("vslot"),
-    )
-    inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    return rows.withColumn("place", F.row_number().over(inside)).join(F.broadcast(stored), "vslot").select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place") - 1).alias("slot"), "grown_shard", "vslot", F.col("bytes").alias("vslot_bytes")
+    both = maps.filter(F.col("version").isin(version, version + 1))
+    wide = both.groupBy("vslot").agg(F.max(F.when(F.col("version") == version, F.col("shard"))).alias("shard"), F.max(F.when(F.col("version") == version + 1, F.col("shard"))).alias("grown_shard"))
+    rows = placed_rows(df, key, text)
+    earlier = Window.partitionBy("shard").orderBy("vslot", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("vslot")
+    loads = slot_loads(rows).join(F.broadcast(wide), "vslot").select("vslot", "bucket", "shard", "grown_shard", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"), F.sum("bytes").over(whole).alias("vslot_bytes"))
+    stored = stage(loads, "slot_loads")
+    inside = Window.partitionBy("vslot", "bucket").orderBy("doc_id", "text_crc32", "size")
+    return rows.withColumn("place", F.row_number().over(inside)).join(F.broadcast(stored), ["vslot", "bucket"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place") - 1).alias("slot"), "grown_shard", "vslot", "vslot_bytes"
     )
 
 
+def shard_by_key(df: DataFrame, key: str, text: str, shards: int, path: str | None = None) -> DataFrame:
+    """``shard_by_map`` under the ``key`` law: version 1 is the map of ``shards`` shards, version 2 its stored copy grown by one shard.
+
+    ``path``: the store of the maps, kept there for later edits; by default one of this call's own in the shared folder.
+    """
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/slot_map-{uuid.uuid4().hex}"
+    first = store_map(spark, path, first_map(shards))
+    edit_map(spark, path, lambda assignment: grow(assignment, shards))
+    return shard_by_map(df, key, text, map_versions(spark, path), first)
+
+
 SHARDS = 40
 
 
@@ -150,5 +195,5 @@ d AS (SELECT doc_id, strlen(coalesce(text, '')) + {OVERHEAD} AS size,
         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {SLOTS})::INT AS vslot FROM documents),
 c AS (SELECT doc_id, size::BIGINT AS size, vslot, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda a, x: xor(a >> 8, t[(xor(a & 255, x) + 1)::INT])), 4294967295::BIGINT) AS text_crc32, m0[vslot + 1]::INT AS shard, m1[vslot + 1]::INT AS grown_shard FROM d, m)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard, vslot,
+  (row_number() OVER (PARTITION BY shard ORDER BY vslot, text_crc32 % {BUCKETS}, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard, vslot,
   sum(size) OVER (PARTITION BY vslot)::BIGINT AS vslot_bytes FROM c"""
