@@ -78,6 +78,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def slices_of(batches: Iterator[pa.RecordBatch], text: str | int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text; one longer text is a slice of its own."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            begun = size[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, begun + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def ascii_lower(col):
     """Lower-case A-Z only; other letters stay as they are."""
     plain = F.octet_length(col) == F.char_length(col)

@@ -41,11 +41,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, by_group, components, drop_stage, partitions, stage
+from .common import batches_of, by_group, components, drop_stage, partitions, slices_of, stage
 from .shingles import identities, mix, shingle_sets
 
 SIZE, PERCENT = 4, 85
@@ -64,18 +63,6 @@ PIVOTS, LEAF = 6, 48
 GATHER = 2_000_000
 
 
-def _rows(batches: Iterator[pa.RecordBatch], text: str | int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` bytes of text; one longer text is a slice of its own."""
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            begun = size[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(size, begun + most, "right")))
-            yield batch.slice(at, stop - at)
-            at = stop
-
-
 def _by_range(h: np.ndarray, ranges: int) -> np.ndarray:
     """Range of a hash: its upper 32 bits, scaled."""
     return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
@@ -111,7 +98,7 @@ def common_shingles(docs: DataFrame, ranges: int, text: str = "text", size: int
             yield pa.RecordBatch.from_pydict({k: [x[i] for x in rows] for i, k in enumerate(("r", "steps", "far", "times", "total"))}, schema=schema)
 
         schema = pa.schema([("r", pa.int32()), ("steps", pa.binary()), ("far", pa.binary()), ("times", pa.binary()), ("total", pa.int64())])
-        for rows in _rows(batches, 0):
+        for rows in slices_of(batches, 0):
             h, _ = shingle_sets(rows.column(0), size)
             kept.append((h >> np.uint64(32)).astype(np.uint32))
             n += len(h)
@@ -155,7 +142,7 @@ def leading_sets(docs: DataFrame, often, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = often.value
-        for rows in _rows(batches, text):
+        for rows in slices_of(batches, text):
             h, off = shingle_sets(rows.column(text), size)
             n = np.diff(off)
             owner = np.repeat(np.arange(len(n)), n)

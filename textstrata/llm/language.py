@@ -1,17 +1,22 @@
 """Operator 5, language ID by a bidirectional gated recurrent network over bytes.
 
-The network reads bytes in both directions and gives every position a label
-distribution. It is trained in numpy by backpropagation through time, with the
-document's language as the label of each of its positions. Its state starts
-anew at every white space (and after ``SPAN`` bytes of a longer run), so the
-result of a run of bytes depends on that run alone and is remembered while a
-worker lives; a full memory is emptied and filled again, which changes no
-result. A document's probabilities pool the mean log-probabilities of the
-positions of all its runs, whole texts throughout.
+The network reads bytes in both directions, across words and lines, and gives
+every position a distribution over the learned languages and one class more,
+``no language``. It is trained in numpy by backpropagation through time, with
+the document's language as the label of each of its positions; what stands for
+``no language`` is made up: random letters, characters of other scripts, and
+training texts with their characters in random order.
+
+A text is read whole, in windows of ``WINDOW`` bytes. Each direction starts
+``CONTEXT`` bytes outside its window, so that the window's positions are read
+with their surroundings (blanks beyond the text's ends). A document's
+probabilities are the means of its letters' probabilities: the score is the
+mean probability of its best language, whatever the text's length, and is low
+for text in no learned language.
 
 The network is fitted on a bounded sample of labelled rows: about
-``TRAIN_DOCS`` documents a language, chosen by a hash of doc_id, of those
-outside the held-out fold. lang, source and doc_id are never inputs.
+``TRAIN_DOCS`` documents a language, chosen by a hash of doc_id and text, of
+those outside the held-out fold. lang, source and doc_id are never inputs.
 
 Defined results: null text, and text without any letter, is ``und`` with score
 0; repeated rows give repeated results; ties go to the language that sorts
@@ -21,7 +26,6 @@ carried through, the added ones win a clash.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,137 +34,147 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_col, small_batches
+from .common import fold_col, slices_of, small_batches
+from .shingles import text_buffers
 
-#: Bounds of the fit: documents a language (expected), runs a language, hidden units a direction.
-TRAIN_DOCS, TRAIN_RUNS, HIDDEN, STEPS, BATCH = 250, 20_000, 16, 1100, 256
-#: Longest run of bytes that is read at once; runs remembered by a worker.
-SPAN, MEMORY = 30, 200_000
+#: Bounds of the fit: documents a language (expected), hidden units a direction, steps, windows a step, bytes a window.
+TRAIN_DOCS, HIDDEN, STEPS, BATCH, TRAIN_WINDOW = 250, 12, 450, 96, 64
+#: Bytes of a window, bytes read around it, windows read at once.
+WINDOW, CONTEXT, TOGETHER = 256, 16, 512
 UNKNOWN = "und"
-
-
-def runs_of(raw: bytes) -> list[bytes]:
-    """The text's runs between ASCII white space, those over SPAN bytes cut."""
-    words = raw.split()
-    if words and max(map(len, words)) > SPAN:
-        words = [w[i : i + SPAN] for w in words for i in range(0, len(w), SPAN)]
-    return words
-
-
-def _padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes (n, longest + 2), each run between two blanks and padded with 0, and lengths with the blanks."""
-    lengths = np.array([len(r) + 2 for r in runs])
-    width = int(lengths.max())
-    raw = b"".join([(b" " + r + b" ").ljust(width, b"\0") for r in runs])
-    return np.frombuffer(raw, np.uint8).reshape(len(runs), width), lengths
+#: A-Z count as a-z; positions that are pooled: ASCII letters and all bytes of other characters.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+LETTER = np.zeros(256, bool)
+LETTER[97:123] = LETTER[65:91] = LETTER[128:] = True
+#: First and last letters of other scripts, for made-up text in no learned language.
+SCRIPTS = ((0x0391, 0x03C9), (0x0410, 0x044F), (0x05D0, 0x05EA), (0x0621, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E30), (0x3041, 0x30FA), (0x4E00, 0x9FA0), (0xAC00, 0xD7A3))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    return 1 / (1 + np.exp(-x))
 
 
 class ByteGru:
-    """Bidirectional GRU over bytes with a softmax layer at every position."""
+    """Bidirectional GRU over bytes with a softmax layer at every position; its last class is no language."""
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.labels, self.hidden = labels, hidden
         draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-        self.p = {"out": draw(2 * hidden, len(labels)), "bias": np.zeros(len(labels), np.float32)}
-        for d in "fb":
-            # in: a row of gate inputs for each byte; rec: recurrent weights of reset, update and candidate
-            self.p |= {f"in{d}": draw(256, 3 * hidden), f"rec{d}": draw(hidden, 3 * hidden), f"nb{d}": np.zeros(hidden, np.float32)}
-
-    def _direction(self, d: str, x: np.ndarray, alive: np.ndarray, keep: bool):
-        """States after each step (time first). ``alive``: which positions are real; a dead position leaves the state at rest."""
-        h3, p, n = self.hidden, self.p, len(x)
-        h = np.zeros((n, h3), np.float32)
-        states, saved = np.empty((x.shape[1], n, h3), np.float32), []
+        # in: gate inputs for each byte and direction; rec: recurrent weights of reset, update and candidate
+        self.p = {
+            "in": draw(512, 3 * hidden), "rec": draw(2, hidden, 3 * hidden), "nb": np.zeros((2, 1, hidden), np.float32),
+            "out": draw(2, hidden, len(labels) + 1), "bias": np.zeros(len(labels) + 1, np.float32),
+        }
+
+    def _states(self, x: np.ndarray, keep: bool = False):
+        """States of both directions at every position (time, direction, row, unit), the second direction in its own time."""
+        h3, p = self.hidden, self.p
+        seq = np.stack((x.T, x.T[::-1]), axis=1).astype(np.intp)
+        seq[:, 1] += 256
+        h = np.zeros((2, len(x), h3), p["rec"].dtype)
+        states, saved = np.empty((x.shape[1], *h.shape), h.dtype), []
         for t in range(x.shape[1]):
-            gx, gh = p[f"in{d}"][x[:, t]], h @ p[f"rec{d}"]
-            gates = _sigmoid(gx[:, : 2 * h3] + gh[:, : 2 * h3])
-            r, z = gates[:, :h3], gates[:, h3:]
-            u = gh[:, 2 * h3 :] + p[f"nb{d}"]
-            c = np.tanh(gx[:, 2 * h3 :] + r * u)
-            new = c + z * (h - c)
-            if alive is not None:
-                new = np.where(alive[:, t, None], new, h)
+            gx, gh = p["in"][seq[t]], h @ p["rec"]
+            gates = _sigmoid(gx[..., : 2 * h3] + gh[..., : 2 * h3])
+            r, z = gates[..., :h3], gates[..., h3:]
+            u = gh[..., 2 * h3 :] + p["nb"]
+            c = np.tanh(gx[..., 2 * h3 :] + r * u)
             if keep:
                 saved.append((h, r, z, u, c))
-            h = new
+            h = c + z * (h - c)
             states[t] = h
-        return states, saved
-
-    def _logits(self, x: np.ndarray, alive: np.ndarray | None, keep: bool = False):
-        back = None if alive is None else alive[:, ::-1]
-        f, sf = self._direction("f", x, alive, keep)
-        b, sb = self._direction("b", x[:, ::-1], back, keep)
-        both = np.concatenate((f, b[::-1]), axis=2)
-        return both @ self.p["out"] + self.p["bias"], both, sf, sb
-
-    def run_scores(self, runs: list[bytes]) -> np.ndarray:
-        """Mean log-probability over each run's own positions: (n, labels). Runs of one length go together, unpadded."""
-        out = np.empty((len(runs), len(self.labels)), np.float32)
-        by_length: dict[int, list[int]] = {}
-        for i, r in enumerate(runs):
-            by_length.setdefault(len(r), []).append(i)
-        for group in by_length.values():
-            for at in range(0, len(group), 4096):
-                part = group[at : at + 4096]
-                logits = self._logits(_padded([runs[i] for i in part])[0], None)[0][1:-1]
-                logits -= logits.max(axis=2, keepdims=True)
-                logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
-                out[part] = np.maximum(logits, -9.0).mean(axis=0)
-        return out
-
-    def step(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradients of a batch by backpropagation through time."""
-        alive = np.arange(x.shape[1])[None, :] < lengths[:, None]
-        logits, both, sf, sb = self._logits(x, alive, keep=True)
-        logits -= logits.max(axis=2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=2, keepdims=True)
-        mask = alive.T[:, :, None].astype(np.float32)
-        total = mask.sum()
+        return states, seq, saved
+
+    def _probabilities(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+        z = f @ self.p["out"][0] + b @ self.p["out"][1] + self.p["bias"]
+        z -= z.max(axis=-1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=-1, keepdims=True)
+        return z
+
+    def read(self, x: np.ndarray, context: int) -> np.ndarray:
+        """Probabilities (position, class, row) of the positions that are ``context`` or more away from both ends.
+
+        The recurrence of ``_states`` with units first and in place, which is faster; the second direction is turned back to the text's order.
+        """
+        h3, p, n = self.hidden, self.p, x.shape[1]
+        enter = np.ascontiguousarray(p["in"].reshape(2, 256, 3 * h3).transpose(0, 2, 1))
+        rec, nb = np.ascontiguousarray(p["rec"].transpose(0, 2, 1)), p["nb"].transpose(0, 2, 1)
+        seq = np.ascontiguousarray(x.T).astype(np.intp)
+        h, gx, gh = (np.zeros((2, k, len(x)), np.float32) for k in (h3, 3 * h3, 3 * h3))
+        states = np.empty((2, n - 2 * context, h3, len(x)), np.float32)
+        for t in range(n - context):
+            np.take(enter[0], seq[t], axis=1, out=gx[0], mode="clip")
+            np.take(enter[1], seq[n - 1 - t], axis=1, out=gx[1], mode="clip")
+            np.matmul(rec, h, out=gh)
+            gates, c = gx[:, : 2 * h3], gh[:, 2 * h3 :]
+            gates += gh[:, : 2 * h3]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            c += nb
+            c *= gates[:, :h3]
+            c += gx[:, 2 * h3 :]
+            np.tanh(c, out=c)
+            h -= c
+            h *= gates[:, h3:]
+            h += c
+            if t >= context:
+                states[:, t - context] = h
+        z = p["out"][0].T @ states[0]
+        z += p["out"][1].T @ states[1, ::-1]
+        z += p["bias"][:, None]
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
+
+    def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss over the positions in ``mask`` and gradients of a batch by backpropagation through time."""
+        states, seq, saved = self._states(x, keep=True)
+        f, b = states[:, 0], states[::-1, 1]
+        err = self._probabilities(f, b)
+        weight = (mask.T / max(1, mask.sum())).astype(err.dtype)
         rows = np.arange(len(x))
-        loss = float(-(np.log(prob[:, rows, y] + 1e-9) * mask[:, :, 0]).sum() / total)
-        err = prob
+        loss = float(-(np.log(err[:, rows, y] + 1e-9) * weight).sum())
         err[:, rows, y] -= 1
-        err *= mask / total
-        grad = {"out": np.einsum("tnh,tnl->hl", both, err, optimize=True), "bias": err.sum(axis=(0, 1))}
-        up = err @ self.p["out"].T
-        h3 = self.hidden
-        for d, saved, seq, live, part in (("f", sf, x, alive, up[:, :, :h3]), ("b", sb, x[:, ::-1], alive[:, ::-1], up[::-1, :, h3:])):
-            g_in, g_rec, g_nb = np.zeros_like(self.p[f"in{d}"]), np.zeros_like(self.p[f"rec{d}"]), np.zeros_like(self.p[f"nb{d}"])
-            dh = np.zeros((len(x), h3), np.float32)
-            for t in range(x.shape[1] - 1, -1, -1):
-                h, r, z, u, c = saved[t]
-                dh = dh + part[t]
-                on = live[:, t, None]
-                dn = np.where(on, dh, 0)
-                dc = dn * (1 - z) * (1 - c * c)
-                dz = dn * (h - c) * z * (1 - z)
-                dr = dc * u * r * (1 - r)
-                du = dc * r
-                g_x = np.concatenate((dr, dz, dc), axis=1)
-                g_h = np.concatenate((dr, dz, du), axis=1)
-                np.add.at(g_in, seq[:, t], g_x)
-                g_rec += h.T @ g_h
-                g_nb += du.sum(axis=0)
-                dh = np.where(on, dn * z + g_h @ self.p[f"rec{d}"].T, dh)
-            grad |= {f"in{d}": g_in, f"rec{d}": g_rec, f"nb{d}": g_nb}
-        return loss, grad
-
-    def fit(self, runs: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 11) -> list[float]:
-        """Adam with a falling rate over random batches; returns the losses."""
-        rng = np.random.default_rng(seed)
+        err *= weight[:, :, None]
+        flat = err.reshape(-1, err.shape[2])
+        grad = {"out": np.stack([s.reshape(-1, self.hidden).T @ flat for s in (f, b)]), "bias": flat.sum(axis=0)}
+        up = np.stack((err @ self.p["out"][0].T, (err @ self.p["out"][1].T)[::-1]), axis=1)
+        g_rec, g_nb = np.zeros_like(self.p["rec"]), np.zeros_like(self.p["nb"])
+        g_x = np.empty((*seq.shape, 3 * self.hidden), err.dtype)
+        dh = np.zeros_like(states[0])
+        back = self.p["rec"].transpose(0, 2, 1)
+        for t in range(len(seq) - 1, -1, -1):
+            h, r, z, u, c = saved[t]
+            dh = dh + up[t]
+            dc = dh * (1 - z) * (1 - c * c)
+            dz = dh * (h - c) * z * (1 - z)
+            dr = dc * u * r * (1 - r)
+            du = dc * r
+            g_x[t] = np.concatenate((dr, dz, dc), axis=2)
+            g_h = np.concatenate((dr, dz, du), axis=2)
+            g_rec += h.transpose(0, 2, 1) @ g_h
+            g_nb += du.sum(axis=1, keepdims=True)
+            dh = dh * z + g_h @ back
+        at = seq.ravel()
+        order = np.argsort(at, kind="stable")
+        kinds, first = np.unique(at[order], return_index=True)
+        g_in = np.zeros_like(self.p["in"])
+        g_in[kinds] = np.add.reduceat(g_x.reshape(-1, 3 * self.hidden)[order], first, axis=0)
+        return loss, grad | {"in": g_in, "rec": g_rec, "nb": g_nb}
+
+    def fit(self, draw, steps: int = STEPS, rate: float = 0.02) -> list[float]:
+        """Adam with a falling rate over the batches (x, mask, y) that ``draw`` gives; returns the losses."""
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         losses = []
         for i in range(1, steps + 1):
-            pick = rng.integers(0, len(runs), batch)
-            x, lengths = _padded([runs[j] for j in pick])
-            loss, grad = self.step(x, lengths, y[pick])
+            loss, grad = self.step(*draw())
             losses.append(loss)
             size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             lr = rate * (1 - 0.95 * i / steps)
@@ -173,7 +187,7 @@ class ByteGru:
 
 
 def training_rows(docs: DataFrame, per_label: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """About ``per_label`` (text, lang) rows a language, outside the held-out fold, by a hash of doc_id; at most twice that."""
+    """About ``per_label`` distinct (text, lang) rows a language, outside the held-out fold, by a hash of doc_id and text."""
     usable = docs.filter((fold_col() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
@@ -181,64 +195,77 @@ def training_rows(docs: DataFrame, per_label: int = TRAIN_DOCS) -> list[tuple[st
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, -(-1_000_000 * per_label // n)))).otherwise(share)
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share).select("doc_id", "text", "lang")
-    rows = sorted({(r["lang"], r["doc_id"], r["text"]) for r in chosen.limit(2 * per_label * len(counts)).collect()})
-    return [(text, lang) for lang, _, text in rows]
+    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1_000_000)) < share).select("text", "lang").distinct()
+    return [(text, lang) for lang, text in sorted((r["lang"], r["text"]) for r in chosen.collect())]
+
+
+def _no_language(rng: np.random.Generator, texts: list[str]) -> str:
+    """A made-up passage: random letters, another script, or a text's characters in random order."""
+    kind = int(rng.integers(0, 3))
+    if kind == 2:
+        text = texts[int(rng.integers(0, len(texts)))]
+        at = int(rng.integers(0, max(1, len(text) - 200)))
+        return "".join(rng.permutation(list(text[at : at + 200]))) or " "
+    low, high = (97, 122) if kind == 0 else SCRIPTS[int(rng.integers(0, len(SCRIPTS)))]
+    words = ["".join(map(chr, rng.integers(low, high + 1, int(n)))) for n in rng.integers(2, 10, 30)]
+    return (" " if rng.random() < 0.7 else "").join(words)
 
 
-def train(rows: list[tuple[str, str]], steps: int = STEPS, runs_per_label: int = TRAIN_RUNS) -> ByteGru | None:
-    """A network fitted on the runs of the rows' texts; None without rows."""
+def train(rows: list[tuple[str, str]], steps: int = STEPS, batch: int = BATCH, window: int = TRAIN_WINDOW) -> ByteGru | None:
+    """A network fitted on windows of the rows' texts, the languages in equal shares; None without rows."""
     labels = sorted({lang for _, lang in rows})
     if not labels:
         return None
     rng = np.random.default_rng(3)
-    runs, y = [], []
-    for k, label in enumerate(labels):
-        counts = Counter(r for text, lang in dict.fromkeys(rows) if lang == label for r in runs_of(text.encode()))
-        # frequent runs count by the root of their number, so that rare ones are learned from too
-        words = sorted(counts)
-        if not words:
-            continue
-        weight = np.sqrt([counts[w] for w in words])
-        pick = rng.choice(len(words), runs_per_label, p=weight / weight.sum())
-        runs += [words[i] for i in pick]
-        y += [k] * runs_per_label
+    texts = [text for text, _ in rows]
+    made_up = " ".join(_no_language(rng, texts) for _ in range(400))
+    joined = ["\n".join(dict.fromkeys(text for text, lang in rows if lang == label)) for label in labels]
+    # blanks on both sides: a window may begin before the first text, as in reading; every third window is a short text between blanks
+    streams = [FOLD[np.frombuffer(b" " * window + t.encode() + b" " * window, np.uint8)] for t in [*joined, made_up]]
+
+    def draw():
+        y = rng.integers(0, len(streams), batch)
+        starts = [int(rng.integers(0, len(streams[k]) - window + 1)) for k in y]
+        x = np.stack([streams[k][s : s + window] for k, s in zip(y, starts, strict=True)])
+        short, begin, size = rng.random(batch) < 1 / 3, rng.integers(0, window // 2, batch), rng.integers(4, window // 2 + 1, batch)
+        place = np.arange(window)
+        x[short[:, None] & ((place < begin[:, None]) | (place >= (begin + size)[:, None]))] = 32
+        return x, LETTER[x], y
+
     model = ByteGru(labels)
-    if runs:
-        model.fit(runs, np.array(y), steps)
+    model.fit(draw, steps)
     return model
 
 
-class Scorer:
-    """Documents' pooled probabilities, with a bounded memory of runs."""
-
-    def __init__(self, model: ByteGru):
-        self.model, self.place, self.scores = model, {}, np.zeros((0, len(model.labels)), np.float32)
-
-    def document_scores(self, raws: list[bytes]) -> np.ndarray:
-        split = [runs_of(r) for r in raws]
-        fresh = list({w for words in split for w in words} - self.place.keys())
-        if len(self.place) + len(fresh) > MEMORY:
-            self.place, self.scores = {}, self.scores[:0]
-            fresh = list({w for words in split for w in words})
-        if fresh:
-            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-            self.scores = np.concatenate((self.scores, self.model.run_scores(fresh)))
-        place = self.place
-        flat = np.array([place[w] for words in split for w in words], np.int64)
-        owner = np.repeat(np.arange(len(split)), [len(words) for words in split])
-        out = np.empty((len(split), len(self.model.labels)))
-        for k in range(out.shape[1]):
-            out[:, k] = np.bincount(owner, self.scores[flat, k] if len(flat) else None, len(split))
-        return out
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        seen = [t is not None and any(map(str.isalpha, t)) for t in texts]
-        z = self.document_scores([t.encode() if s else b"" for t, s in zip(texts, seen, strict=True)])
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        best = z.argmax(axis=1)
-        return [self.model.labels[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)], [float(z[i, b]) if seen[i] else 0.0 for i, b in enumerate(best)]
+def document_scores(model: ByteGru, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the mean probability of each class over its letters, and their number. Rows are raw[offsets[i]:offsets[i + 1]]."""
+    size = np.diff(offsets)
+    windows = -(-size // WINDOW)
+    row = np.repeat(np.arange(len(size)), windows)
+    start = offsets[:-1][row] + WINDOW * (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows))
+    total, letters = np.zeros((len(size), len(model.labels) + 1)), np.zeros(len(size))
+    for at in range(0, len(row), TOGETHER):
+        r, s = row[at : at + TOGETHER], start[at : at + TOGETHER]
+        place = s[:, None] + np.arange(-CONTEXT, WINDOW + CONTEXT)
+        inside = (place >= offsets[r][:, None]) & (place < offsets[r + 1][:, None])
+        x = np.where(inside, FOLD[raw[np.clip(place, 0, len(raw) - 1)]], np.uint8(32))
+        mask = LETTER[x[:, CONTEXT : CONTEXT + WINDOW]].T
+        sums = (model.read(x, CONTEXT) * mask[:, None]).sum(axis=0, dtype=np.float64).T
+        np.add.at(total, r, sums)
+        np.add.at(letters, r, mask.sum(axis=0))
+    return total / np.maximum(letters, 1)[:, None], letters
+
+
+def predict(model: ByteGru, texts: pa.Array) -> tuple[list[str], list[float]]:
+    raw, offsets = text_buffers(texts)
+    mean, letters = document_scores(model, raw, offsets)
+    ascii_letters = np.concatenate(([0], np.cumsum(LETTER[raw] & (raw < 128))))[offsets]
+    plain = np.diff(ascii_letters) > 0
+    # bytes beyond ASCII may be signs only
+    seen = [bool(p) or (n > 0 and any(map(str.isalpha, texts[i].as_py()))) for i, (p, n) in enumerate(zip(plain, letters, strict=True))]
+    known = mean[:, : len(model.labels)]
+    best = known.argmax(axis=1)
+    return [model.labels[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)], [float(min(1.0, known[i, b])) if seen[i] else 0.0 for i, b in enumerate(best)]
 
 
 def identify(df: DataFrame, model: ByteGru | None, text: str = "text") -> DataFrame:
@@ -248,13 +275,9 @@ def identify(df: DataFrame, model: ByteGru | None, text: str = "text") -> DataFr
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model) if model else None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                rows = batch.slice(at, 250)
-                texts = rows.column(text).to_pylist()
-                names, scores = scorer.predict(texts) if scorer else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in kept], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
+        for rows in slices_of(batches, text):
+            names, scores = predict(model, rows.column(text)) if model else ([UNKNOWN] * rows.num_rows, [0.0] * rows.num_rows)
+            yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in kept], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
