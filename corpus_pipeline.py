@@ -31,12 +31,14 @@ ORACLE_SQL = None
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose best language has a mean probability of ``LEAST_SCORE`` or more over their letters; those without letters go."""
     model = language.train(language.training_rows(docs))
     told = language.identify(docs, model)
     return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies: that of the least doc_id, null last."""
     keyed = docs.withColumn("_key", F.xxhash64(*COLUMNS))
     groups = jaccard.near_groups(keyed, "_key", size=NEAR_SIZE, percent=NEAR_PERCENT).select("_key", "component_id").distinct()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
@@ -47,16 +49,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a hit of any benchmark item."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     hit = decontamination.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_key").filter("n_hit > 0").select("_key")
     return keyed.join(hit, "_key", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by [KIND] and n_chars counted anew."""
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as token ids, with digests of the ids and of the decoded bytes."""
     out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.octet_length("decoded").cast("long").alias("n_bytes"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
