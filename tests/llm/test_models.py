@@ -105,8 +105,23 @@ def test_hidden_words_are_features():
     f = toxicity.Features({})
     plain, hidden = toxicity.NAMES.index("lexicon_log"), toxicity.NAMES.index("hidden")
     assert f.row("you idiot")[plain] > 0 and f.row("you idiot")[hidden] == 0
-    for t in ("1d10t", "you st*pid", "i d i o t", "mor0n", "idiooooot"):
-        assert f.row(f"well {t} there")[hidden] > 0 or t in ("you st*pid", "1d10t"), t
+    for t in ("1d10t", "you st*pid", "st*pid!", "5tupid", "i d i o t", "mor0n", "idiooooot", "(1d10t),", "a$$hole", "id!ot"):
+        assert f.row(f"well {t} there")[hidden] > 0, t
+    for t in ("1999", "a1", "x_y", "hello!", "10:30", "$5", "st*", "e-mail", "really?!", "***", "no.1"):
+        assert f.row(f"well {t} there")[hidden] == 0, t
+
+
+def test_features_take_long_texts_in_linear_time():
+    import time
+
+    f = toxicity.Features({})
+    for text in ("you idiot ", "x", "1", "a1", "*", "i d i o t ", "aaa!"):
+        took = []
+        for times in (40_000, 160_000):
+            began = time.perf_counter()
+            f.row(text * times)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.5, (text, took)
 
 
 def test_isotonic_is_monotone():

@@ -8,13 +8,15 @@ probability.
 
 Labels are learned only from rows outside the held-out fold, from a bounded
 sample chosen by a hash of doc_id: about ``TRAIN_ROWS`` rows of either label,
-weighted back to the labels' real shares. Folds 1 and 2 give the learned
-lexicon, 3 the trees, 4 the calibration; where a part has under ``LEAST``
-rows of either label, all parts learn from all rows. labels, lang, source and
-doc_id are never inputs of a score.
+weighted back to the labels' real shares. Nothing is learned and judged on the
+same rows: each of the four learning folds gets its lexicon features from a
+lexicon of the other three, and its margins, which fit the calibration, from
+trees of the other three. The lexicon and trees that score are then fitted on
+all of them. labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: null text scores as the empty text; rows with null labels
-teach nothing, repeated labels of a document count once (the highest);
+teach nothing, repeated labels of a document count once (the highest),
+and of repeated documents the least text teaches;
 repeated rows get equal scores; without labels of both kinds the score is the
 share of label 1 (0 if there is none); an empty table gives an empty result;
 other columns are carried through, the added ones win a clash.
@@ -33,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_col, fold_of, small_batches
+from .common import FOLDS, fold_col, fold_of, slices_of, small_batches
 
 #: Bounds of the fit.
-TRAIN_ROWS, LEAST, TREES, DEPTH, BINS, RATE = 3000, 25, 60, 3, 32, 0.2
+TRAIN_ROWS, TREES, DEPTH, BINS, RATE = 3000, 60, 3, 32, 0.2
 #: A learned word, or head of words of so many letters, is in at least so many label-1 documents, at so large a log-odds ratio.
 HEADS, WORD_DOCS, WORD_ODDS = (4, 5, 6), 5, 2.5
 
@@ -55,7 +57,8 @@ SECOND = frozenset("you your yours yourself ya u du dich dir dein deine ihr euch
 SIGNS = str.maketrans({"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t", "8": "b", "*": None, ".": None, "-": None, "_": None, "​": None, "‌": None, "‍": None})
 
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"(?<!\S)[^\W\d_]*[^\W\d_][0-9@$!*_​-‍][0-9@$!*_​-‍]?[^\W\d_]\S*")
+#: A run of signs that begins with letters, or none, and then has a digit or sign.
+MIXED = re.compile(r"(?<!\S)[^\w\s@$*]*+[^\W\d_]*+[0-9@$!*_\u200b-\u200d]\S*")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 NAMES = ("lexicon", "lexicon_log", "learned", "learned_max", "learned_kinds", "near_second", "second", "capitals", "shouted", "exclaims", "questions", "piled", "mixed", "hidden", "stretched", "log_words", "word_length")
@@ -77,6 +80,7 @@ class Features:
         self.learned = learned
         self.all = LEXICON | learned.keys()
         self.squeezed = {_squeeze(w) for w in self.all if len(w) > 3}
+        self.starred = {w[:i] + "*" + w[i + 1 :] for w in self.all if len(w) > 3 and "*" not in w for i in range(len(w))}
 
     def row(self, text: str | None) -> list[float]:
         text = text or ""
@@ -92,11 +96,10 @@ class Features:
         second = sum(counts[w] for w in SECOND & counts.keys())
         near = 0
         if hits and second:
-            places = [i for i, w in enumerate(words) if w in SECOND]
-            at = np.array(places)
-            near = sum(bool(len(at[(at >= i - 3) & (at <= i + 3)])) for i, w in enumerate(words) if w in hits)
-        mixed = MIXED.findall(low)
-        hidden = sum(any(w in self.all for w in WORD.findall(m.translate(SIGNS))) for m in mixed)
+            at, found = (np.array([i for i, w in enumerate(words) if w in kind]) for kind in (SECOND, hits))
+            near = int((np.searchsorted(at, found + 3, "right") > np.searchsorted(at, found - 3)).sum())
+        mixed = [m for m in (m.strip(_EDGES) for m in MIXED.findall(low)) if not m.isalpha() and any(map(str.isalpha, m))]
+        hidden = sum(m in self.starred or any(w in self.all for w in WORD.findall(m.translate(SIGNS))) for m in mixed)
         hidden += sum(re.sub(r"[ .\-_*]", "", m) in self.all for m in SPELLED.findall(low))
         stretched = [w for w in counts if STRETCHED.search(w)] if STRETCHED.search(low) else []
         hidden += sum(counts[w] for w in stretched if _squeeze(w) in self.squeezed)
@@ -112,6 +115,8 @@ class Features:
         return np.array([self.row(t) for t in texts], np.float64).reshape(len(texts), len(NAMES))
 
 
+#: Signs at the ends of a run that hide nothing.
+_EDGES = "!?.,;:()[]{}\"'*_-%&#"
 _NO_CAPITALS = str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -142,7 +147,7 @@ class Boosted:
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Boosted:
         self.edges = [np.unique(np.quantile(c[c != 0], np.linspace(0, 1, self.bins - 1)) if (c != 0).any() else np.zeros(0)) for c in x.T]
         b = self._binned(x)
-        share = float((weight * y).sum() / weight.sum())
+        share = float((weight * y).sum() / weight.sum()) if len(y) else 0.5
         self.base = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
         margin = np.full(len(x), self.base)
         for _ in range(self.trees):
@@ -212,16 +217,16 @@ class Model:
             return
         texts = [t or "" for _, t, _ in rows]
         fold = np.array([fold_of(d) for d, _, _ in rows])
-        parts = [np.flatnonzero(np.isin(fold, f)) for f in ((1, 2), (3,), (4,))]
-        if min((y_all[p] == k).sum() for p in parts for k in (0, 1)) < LEAST:
-            parts = [np.arange(len(rows))] * 3
-        words, trees, calibration = parts
-        self.features = Features(learn_words([texts[i] for i in words], y_all[words]))
-        x = self.features.matrix(texts)
         weight = np.where(y_all == 1, shares[1] / max(1, (y_all == 1).sum()), shares[0] / max(1, (y_all == 0).sum()))
         weight = weight / weight.mean()
-        self.trees = Boosted().fit(x[trees], y_all[trees], weight[trees])
-        self.knots = isotonic(self.trees.margin(x[calibration]), y_all[calibration], weight[calibration])
+        x, margin = np.zeros((len(rows), len(NAMES))), np.zeros(len(rows))
+        for own, rest in ((np.flatnonzero(fold == f), np.flatnonzero(fold != f)) for f in range(1, FOLDS)):
+            x[own] = Features(learn_words([texts[i] for i in rest], y_all[rest])).matrix([texts[i] for i in own])
+        for own, rest in ((np.flatnonzero(fold == f), np.flatnonzero(fold != f)) for f in range(1, FOLDS)):
+            margin[own] = Boosted().fit(x[rest], y_all[rest], weight[rest]).margin(x[own])
+        self.features = Features(learn_words(texts, y_all))
+        self.trees = Boosted().fit(x, y_all, weight)
+        self.knots = isotonic(margin, y_all, weight)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
@@ -236,8 +241,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     share = F.lit(0)
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1_000_000, -(-1_000_000 * most // n)))).otherwise(share)
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < share).limit(4 * most)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(4 * most).collect()
+    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < share)
+    # about 2 * most rows: each document of the labels once, as equal rows are one
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted({(r["doc_id"], r["text"] or "", int(r["toxic"])) for r in found})
     return rows, (float(counts.get(0, 0)), float(counts.get(1, 0)))
 
@@ -249,7 +255,7 @@ def rate(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in slices_of(batches, text, 1 << 22):
             score = model.score(rows.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in kept], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[f.name for f in schema.fields])
 
