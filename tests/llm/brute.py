@@ -65,3 +65,47 @@ def spans_text(spans):
 
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def _valid(k, x):
+    d = re.sub("[^0-9]", "", x)
+    return (True, all(int(p) <= 255 for p in x.split(".")) if k == 1 else True, 14 <= len(d) <= 19 and luhn(d), 10 <= len(d) <= 15)[k]
+
+
+def proposals(t, pii):
+    """Every match that is no base span: (start, k, stop, votes, shape)."""
+    out = []
+    for wide, patterns in ((False, KINDS), (True, pii.WIDE)):
+        for kind, p in patterns.items():
+            k, last = list(KINDS).index(kind), 0
+            for m in re.finditer(p, t or ""):
+                x, gap = m[0], t[last : m.start()]
+                last = m.end()
+                if not wide and (_valid(k, x) or k == 2 and len(re.sub("[^0-9]", "", x)) < 14):
+                    continue
+                d = re.sub("[^0-9]", "", x)
+                if k == 0:
+                    g = 1 if re.search("[A-Za-z0-9-]*$", x)[0].lower() in pii.TOP_DOMAINS else -1
+                elif k == 1:
+                    first = re.match(r"0*([0-9]{1,3})[.]", x)
+                    g = 0 if not first else 1 if 1 <= int(first[1]) <= 223 else -1
+                elif k == 2:
+                    g = 1 if d.startswith(tuple(pii.ISSUERS)) else -1
+                else:
+                    g = 1 if (d.startswith(tuple(pii.COUNTRY_CODES)) if x[0] == "+" else re.match("[2-9](?!11)[0-9]{2}[2-9]", d)) else -1
+                before = gap[-40:]
+                votes = (0 if wide else -1, g, int(bool(re.search(pii.CUES[kind], before.lower()))), -1 if gap and gap[-1].isalnum() else 1)
+                marks = set(re.findall(r"[\x20().:@-]", x))
+                shape = (min(len(x) // 8, 5), min(len(marks), 2), int(bool(re.search(r"([0-9])\1\1\1", x))), int(bool(re.search(r"[^\W\d_][^a-zA-Zé]{0,3}\Z", before))), int(not gap or gap[-1] in "\n\t|"))
+                out.append((m.start(), k, m.end(), votes, shape))
+    return out
+
+
+def all_spans(t, pii, weights):
+    base = base_spans(t)
+    more = []
+    for start, k, stop, votes, shape in proposals(t, pii):
+        z = sum(a * b for a, b in zip(pii._row(votes, shape), weights[k]))
+        if 1 / (1 + 2.718281828459045**-z) >= pii.ACCEPT and not any(a < stop and start < b for a, _, b in base):
+            more.append((start, k, stop))
+    return sorted(base + more)

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The held-out fold: rows whose crc32(doc_id as text) mod FOLDS is 0 are never learned from.
@@ -108,6 +108,36 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+#: Elements that one fold over an array handles; folds copy what they build at every step, so longer arrays are folded in blocks.
+FOLD_BLOCK = 128
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once (a lambda's variable is bound to it)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """Per place of an array<int>, ``combine`` (sum or maximum) over all places before it, and over all of them at the end: one element more.
+
+    Two levels of blocks: the work grows with the array's length, not with its square.
+    """
+    first = F.lit(start)
+
+    def fold(part: Column) -> Column:
+        """(all, before): the combination of the part, and those before each of its places."""
+        zero = F.struct(first.alias("all"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(part, zero, lambda a, v: F.struct(combine(a["all"], v).alias("all"), F.concat(a["before"], F.array(a["all"])).alias("before")))
+
+    def joined(values: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor(F.size(values) / FOLD_BLOCK).cast("int"))
+        blocks = F.transform(cuts, lambda b: fold(F.slice(values, b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK))))
+        return bound(blocks, lambda parts: bound(fold(F.transform(parts, lambda x: x["all"])), lambda ahead: F.concat(
+            F.flatten(F.transform(parts, lambda x, b: F.transform(x["before"], lambda v: combine(F.get(ahead["before"], b), v)))), F.array(ahead["all"]))))
+
+    return bound(values, joined)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

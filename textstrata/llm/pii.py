@@ -9,11 +9,13 @@ candidate is judged by labelers that vote 1, -1 or 0 (abstain):
 * ``context``: cue words in the 40 characters before;
 * ``edge``: no letter or digit touches the span.
 
-Votes are counted per kind and vote pattern over all documents (at most
-4 * 81 rows reach the driver). Expectation-maximisation estimates each
-labeler's reliability and the candidates' posteriors, and a logistic span
-classifier is trained on them. It scores candidates as a plain expression; those
-at ``ACCEPT`` or more that overlap no base span are added.
+Candidates are counted per kind, vote pattern and shape (length, separators,
+repeated digits, words around, all in a few classes) over all documents: at most 4 * 81 * 144
+rows reach the driver. Expectation-maximisation estimates each labeler's
+reliability and the candidates' posteriors from the votes; a logistic span
+classifier is trained on the posteriors, from votes and shape. It scores
+candidates as a plain expression; those at ``ACCEPT`` or more that overlap no
+base span are added.
 
 The texts are read once: spans and votes are written to the shared folder.
 
@@ -27,14 +29,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bound, running, stage
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
 LABELERS = ("strict", "gazetteer", "context", "edge")
+#: What the span classifier sees besides the votes, and the number of its classes: the match's length (by eights), its
+#: separators (none, one kind, more kinds), whether a digit comes four times in a row, whether a letter stands before it and whether a line begins there.
+SHAPES = {"size": 6, "marks": 3, "same": 2, "worded": 2, "leads": 2}
 
 #: The base patterns, made linear: a match can only begin where a run begins or the last match ended, and runs are possessive.
 BASE = {
@@ -103,33 +109,31 @@ def _gazetteer(kind: str, x: Column) -> Column:
 def _matches(text: Column, kind: str, pattern: str, wide: bool) -> Column:
     """Array of structs (start, k, stop, base, votes...) of the non-overlapping matches, leftmost first."""
     k = KINDS.index(kind)
-    kind_of = "array<struct<start:int,k:int,stop:int,base:boolean,strict:int,gazetteer:int,context:int,edge:int>>"
+    kind_of = "array<struct<start:int,k:int,stop:int,base:boolean,strict:int,gazetteer:int,context:int,edge:int,size:int,marks:int,same:int,worded:int,leads:int>>"
 
     def found(text: Column) -> Column:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-        def spans(hits: Column) -> Column:
-            return F.aggregate(
-                F.arrays_zip(F.split(text, pattern, -1).alias("p"), hits.alias("x")),
-                F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out")),
-                lambda a, t: F.when(t["x"].isNull(), a).otherwise(F.struct((a["at"] + F.length(t["p"]) + F.length(t["x"])).alias("at"), F.concat(a["out"], F.array(one(a, t))).alias("out"))),
-                lambda a: a["out"],
-            )
-
-        def one(a: Column, t: Column) -> Column:
-            start = a["at"] + F.length(t["p"])
-            stop = start + F.length(t["x"])
-            ok = F.lit(False) if wide else _valid(kind, t["x"])
-            before = F.right(t["p"], F.lit(40))
-            touching = F.right(t["p"], F.lit(1)).rlike(r"[\p{L}\p{N}]")
+        def spans(hits: Column, parts: Column) -> Column:
+            ends = running(F.zip_with(F.slice(parts, F.lit(1), F.size(hits)), hits, lambda p, x: F.length(p) + F.length(x)), lambda a, v: a + v)
+            return bound(ends, lambda ends: F.transform(hits, lambda x, i: one(F.get(parts, i), x, F.get(ends, i + 1))))
+
+        def one(p: Column, x: Column, stop: Column) -> Column:
+            ok = F.lit(False) if wide else _valid(kind, x)
+            before = F.right(p, F.lit(40))
+            touching = F.right(p, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+            marks = F.size(F.array_distinct(F.split(F.regexp_replace(x, r"[^\x20().:@-]", ""), "")))
             return F.struct(
-                start.alias("start"), F.lit(k).alias("k"), stop.alias("stop"), ok.alias("base"),
-                (F.lit(0) if wide else F.when(ok, 1).otherwise(-1)).alias("strict"), _gazetteer(kind, t["x"]).alias("gazetteer"),
+                (stop - F.length(x)).alias("start"), F.lit(k).alias("k"), stop.alias("stop"), ok.alias("base"),
+                (F.lit(0) if wide else F.when(ok, 1).otherwise(-1)).alias("strict"), _gazetteer(kind, x).alias("gazetteer"),
                 F.when(F.lower(before).rlike(CUES[kind]), 1).otherwise(0).alias("context"), F.when(touching, -1).otherwise(1).alias("edge"),
+                F.least(F.floor(F.length(x) / 8), F.lit(SHAPES["size"] - 1)).cast("int").alias("size"),
+                F.when(F.length(F.regexp_replace(x, r"[^\x20().:@-]", "")) == 0, 0).when(marks == 1, 1).otherwise(2).alias("marks"),
+                x.rlike(r"([0-9])\1\1\1").cast("int").alias("same"), before.rlike(r"\p{L}[^\p{L}]{0,3}$").cast("int").alias("worded"),
+                ((F.length(p) == 0) | F.right(p, F.lit(1)).isin("\n", "\t", "|")).cast("int").alias("leads"),
             )
 
-        # A one-element array binds the matches to a name, so that the pattern runs once.
-        return F.get(F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, spans(h)).otherwise(F.array().cast(kind_of))), F.lit(0))
+        return bound(hits, lambda h: F.when(F.size(h) > 0, bound(F.split(text, pattern, -1), lambda p: spans(h, p))).otherwise(F.array().cast(kind_of)))
 
     need = None if wide else NEEDS.get(kind)
     return F.when(F.contains(text, F.lit(need)), found(text)).otherwise(F.array().cast(kind_of)) if need else found(text)
@@ -174,39 +178,47 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], float]], roun
     return prior, theta, post
 
 
-def span_classifier(patterns: list[tuple[tuple[int, ...], float]], posteriors: list[float], steps: int = 400, l2: float = 0.01) -> list[float]:
-    """Logistic regression on the votes, one weight per labeler and sign and a bias, fitted to the posteriors; patterns weigh log(1 + count)."""
-    rows = [([1.0] + [float(v == s) for v in votes for s in (1, -1)], p, math.log1p(n)) for (votes, n), p in zip(patterns, posteriors, strict=True)]
-    weights = [0.0] * (1 + 2 * len(LABELERS))
-    total = sum(n for _, _, n in rows) or 1.0
+def _row(votes: tuple[int, ...], shape: tuple[int, ...]) -> list[float]:
+    """A candidate as the classifier sees it: a bias, each labeler's votes for and against, each class of its shape."""
+    return [1.0, *[float(v == s) for v in votes for s in (1, -1)], *[float(c == k) for c, n in zip(shape, SHAPES.values(), strict=True) for k in range(n)]]
+
+
+def span_classifier(rows: list[tuple[tuple[int, ...], tuple[int, ...], float]], posteriors: dict[tuple[int, ...], float], steps: int = 400, l2: float = 0.01) -> list[float]:
+    """Logistic regression on votes and shapes with counts, fitted to the posteriors of the votes; rows weigh log(1 + count)."""
+    x = np.array([_row(votes, shape) for votes, shape, _ in rows])
+    target, weight = np.array([posteriors[votes] for votes, _, _ in rows]), np.log1p([n for _, _, n in rows])
+    weight /= weight.sum()
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        slope = [l2 * w for w in weights]
-        for x, p, n in rows:
-            z = sum(a * b for a, b in zip(weights, x, strict=True))
-            error = n / total * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p)
-            slope = [g + error * a for g, a in zip(slope, x, strict=True)]
-        weights = [w - 1.0 * g for w, g in zip(weights, slope, strict=True)]
-    return weights
+        w -= l2 * w + x.T @ (weight * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - target))
+    return w.tolist()
 
 
 def fit(found: DataFrame) -> dict[int, list[float]]:
-    """Weights per kind from the votes of all documents: one small aggregation, at most 81 rows a kind."""
-    votes = found.select(F.explode("found").alias("c")).groupBy("c.k", *[f"c.{n}" for n in LABELERS]).count().collect()
+    """Weights per kind from the candidates of all documents: one aggregation to votes and shapes, whose number is bounded."""
+    counted = found.select(F.explode("found").alias("c")).groupBy("c.k", *[f"c.{n}" for n in (*LABELERS, *SHAPES)]).count().collect()
     model = {}
     for k in range(len(KINDS)):
-        own = sorted((tuple(r[n] for n in LABELERS), float(r["count"])) for r in votes if r["k"] == k)
         # Each pattern of strict and gazetteer votes is there at least as a trace, so that the classifier is defined everywhere.
-        traces = {(s, g, c, e): 0.01 for s in (-1, 0, 1) for g in (-1, 0, 1) for c in (0, 1) for e in (-1, 1)}
-        own = sorted((traces | dict(own)).items())
-        _, _, post = expectation_maximisation(own)
-        model[k] = span_classifier(own, post)
+        traces = {((s, g, c, e), (2, 1, 0, 1, 0)): 0.01 for s in (-1, 0, 1) for g in (-1, 0, 1) for c in (0, 1) for e in (-1, 1)}
+        own = traces | {(tuple(r[n] for n in LABELERS), tuple(r[n] for n in SHAPES)): float(r["count"]) for r in counted if r["k"] == k}
+        by_votes: dict[tuple[int, ...], float] = {}
+        for (votes, _), n in sorted(own.items()):
+            by_votes[votes] = by_votes.get(votes, 0.0) + n
+        patterns = sorted(by_votes.items())
+        _, _, post = expectation_maximisation(patterns)
+        model[k] = span_classifier([(*key, n) for key, n in sorted(own.items())], dict(zip([v for v, _ in patterns], post, strict=True)))
     return model
 
 
 def _score(c: Column, weights: list[float]) -> Column:
-    z = F.lit(weights[0])
-    for i, name in enumerate(LABELERS):
-        z = z + F.when(c[name] == 1, weights[1 + 2 * i]).when(c[name] == -1, weights[2 + 2 * i]).otherwise(0.0)
+    z, at = F.lit(weights[0]), 1
+    for name in LABELERS:
+        z = z + F.when(c[name] == 1, weights[at]).when(c[name] == -1, weights[at + 1]).otherwise(0.0)
+        at += 2
+    for name, n in SHAPES.items():
+        z = z + F.element_at(F.array(*map(F.lit, weights[at : at + n])), c[name] + 1)
+        at += n
     return 1 / (1 + F.exp(-z))
 
 
@@ -224,29 +236,53 @@ def detect(df: DataFrame, text: str = "text", accept: float = ACCEPT, keep_text:
 
     plain = lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["stop"].alias("stop"))
     out = found.withColumn("base", F.transform(F.filter("found", lambda c: c["base"]), plain))
-    fresh = lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    more = F.transform(F.filter("found", lambda c: ~c["base"] & (score(c) >= accept) & fresh(c)), plain)
-    return out.withColumn("spans", F.when(F.forall("found", lambda c: c["base"]), F.col("base")).otherwise(F.array_sort(F.concat("base", more)))).drop("found")
+    # found is sorted by start: a candidate overlaps a base span if one before it stops after its start, or the next one starts before its end
+    far = 2**31 - 1
+    behind = running(F.transform("found", lambda c: F.when(c["base"], c["stop"]).otherwise(0)), F.greatest)
+    ahead = running(F.reverse(F.transform("found", lambda c: F.when(c["base"], c["start"]).otherwise(far))), F.least, far)
+
+    def more(behind: Column, ahead: Column) -> Column:
+        free = lambda c, i: ~c["base"] & (F.get(behind, i) <= c["start"]) & (F.get(ahead, F.size("found") - 1 - i) >= c["stop"]) & (score(c) >= accept)
+        return F.transform(F.filter("found", free), plain)
+
+    added = bound(behind, lambda x: bound(ahead, lambda y: more(x, y)))
+    return out.withColumn("spans", F.when(F.forall("found", lambda c: c["base"]), F.col("base")).otherwise(F.array_sort(F.concat("base", added)))).drop("found")
+
+
+#: Code points of a block of text that pieces are cut from.
+TEXT_BLOCK = 1024
+
+
+def _piece(blocks: Column, a: Column, b: Column) -> Column:
+    """The code points a to b of a text in blocks."""
+    i, j = F.floor(a / TEXT_BLOCK).cast("int"), F.floor(b / TEXT_BLOCK).cast("int")
+    first = F.coalesce(F.get(blocks, i), F.lit(""))
+    inside = F.substr(first, a - i * TEXT_BLOCK + 1, b - a)
+    across = F.concat(F.substr(first, a - i * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)), F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.substr(F.coalesce(F.get(blocks, j), F.lit("")), F.lit(1), b - j * TEXT_BLOCK))
+    return F.when(i == j, inside).otherwise(across)
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``detect`` with the text's spans replaced by [KIND]; overlapping spans are replaced as one, under the first one's kind."""
     kept = df.columns
     found = detect(df, text)
-    kind_of = "array<struct<start:int,k:int,stop:int>>"
-    merged = F.aggregate(
-        "spans", F.array().cast(kind_of),
-        lambda a, s: F.when(F.size(a) == 0, F.array(s)).when(
-            s["start"] < F.element_at(a, -1)["stop"],
-            F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.element_at(a, -1)["k"].alias("k"), F.greatest(F.element_at(a, -1)["stop"], s["stop"]).alias("stop")))),
-        ).otherwise(F.concat(a, F.array(s))),
-    )
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    cut = found.withColumn("_m", merged)
-    pieces = F.transform("_m", lambda s, i: F.concat(F.substr(F.col(text), F.when(i == 0, 1).otherwise(F.get(F.col("_m"), i - 1)["stop"] + 1), s["start"] - F.when(i == 0, 0).otherwise(F.get(F.col("_m"), i - 1)["stop"])), F.get(tags, s["k"])))
-    tail = F.substr(F.col(text), F.element_at("_m", -1)["stop"] + 1, F.length(text))
-    clean = F.when(F.size("_m") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text))
-    return cut.withColumn(text, clean).select(*kept)
+    # a span that starts before an earlier one ends belongs to the same replacement
+    def clean(reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda i: F.get(F.col("spans"), i)["start"] >= F.get(reach, i))
+
+        def cut(heads: Column, blocks: Column) -> Column:
+            def replaced(i: Column, at: Column) -> Column:
+                s = F.get(F.col("spans"), i)
+                return F.concat(_piece(blocks, F.get(reach, i), s["start"]), F.get(tags, s["k"]))
+
+            rest = _piece(blocks, F.element_at(reach, -1), F.length(text))
+            return F.concat(F.array_join(F.transform(heads, replaced), ""), rest)
+
+        return bound(heads, lambda h: bound(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0)), lambda b: cut(h, b)))
+
+    out = F.when(F.size("spans") > 0, bound(running(F.transform("spans", lambda s: s["stop"]), F.greatest), clean)).otherwise(F.col(text))
+    return found.withColumn(text, out).select(*kept)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
