@@ -14,10 +14,19 @@ def tables(seed=2):
     items = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(0, 14)))) for i in range(50)]
     items += [(100, None), (101, "..."), (102, "a b c d"), (102, "a b c d"), (103, "A-b-C d!")]
     docs += [(6000 + i, "x " * r.randint(0, 9) + (items[i][1] or "") + " é") for i in range(50)]
-    docs += [(5000, None), (5001, ""), (5002, "--- ..."), (7, "a b c"), (7, "a b c"), (8000, "the " * 40_000)]
+    docs += [(5000, None), (5001, ""), (5002, "--- ..."), (7, "a b c"), (7, "a b c"), (8000, "the " * 400)]
     return docs, items
 
 
+def test_long_texts_by_brute_force(spark):
+    """Long texts, also ones that are one benchmark passage over and over; SQL would copy the words once per place."""
+    w = [f"w{i % 997}" for i in range(60_000)]
+    item = [f"w{i}" for i in range(100, 130)]
+    docs = [(1, " ".join(w)), (2, " ".join(item * 2000)), (3, "the " * 40_000)]
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item)), (8, "the the")], "item_id long, text string")).collect()}
+    assert got == {1: (60_000, 30 * (60_000 // 997 + 1) - (0 if 60_000 % 997 >= 130 else 30), [7]), 2: (60_000, 60_000, [7]), 3: (40_000, 40_000, [8])}
+
+
 def test_short_items_nulls_repeats_and_long_texts(spark, folder):
     docs, items = tables()
     d = folder(documents=([(*r, 1) for r in docs], "doc_id long, text string, n_hit int"), benchmark=([(*r, 1) for r in items], "item_id long, text string, words int"))

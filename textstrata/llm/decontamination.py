@@ -4,15 +4,14 @@ Items are cut into windows of ``WINDOW`` words (a shorter item is one window).
 A document contains a window only if it contains all of its shingles of
 ``SHINGLE`` words, so one shingle per window is a sufficient prefix: the rarest
 one, by its number of occurrences in all documents. A window with a shingle
-that no document has cannot occur and is left out. Document shingles meet the
-prefixes in a hash join; the window must then fit between the document's ends
-(length and position bounds), and its words are compared one by one with the
-document's.
+that no document has cannot occur and is left out.
 
-The texts are read once: places of item shingles are written to the shared
-folder with the words around them; rarity, prefixes, bounds and the comparison
-follow from that table. Item shingles are broadcast as hashes, in blocks of at
-most ``BLOCK``; a larger benchmark takes more passes, and no row is left out.
+The documents' words and shingles (as 32-bit hashes, in their order) are written
+to the shared folder. A first pass over the hashes counts the items' shingles in
+all documents; a second one joins the prefixes alone. What meets must fit between the document's
+ends (length and position bounds), and then its words are compared one by one
+with the document's. Hashes are broadcast in blocks of at most ``BLOCK``; a
+larger benchmark takes more passes, and no row is left out.
 
 Defined results: null or empty text has no words; a null item, or one without
 words, has no window; repeated document rows give a row each; repeated items
@@ -26,34 +25,37 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, bound, drop_stage, stage
 
 WINDOW, SHINGLE = 10, 5
 #: Hashes that are broadcast at once.
 BLOCK = 500_000
 #: What separates words, after A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Hash of the row that every document has, so that documents without hits stay in the result.
-EVERY = -1
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAPS), "")
 
 
-def _shingle(words: Column, at: Column, size: int) -> Column:
-    """Hash of ``size`` words from the 0-based place ``at``; the size keeps lengths apart."""
-    return F.xxhash64(F.lit(size), *[F.get(words, at + k) for k in range(size)])
+def _shingles(words: Column, size: int) -> Column:
+    """Hashes (int) of the shingles of ``size`` words, by their places: each is hashed from two shorter ones, so no word is hashed twice. Null if there are fewer words."""
+    def step(one: Column, other: Column, of: int) -> Column:
+        n = F.least(F.size(one), F.size(other))
+        return F.zip_with(F.slice(one, F.lit(1), n), F.slice(other, F.lit(1), n), lambda x, y: (F.hash if of == size else F.xxhash64)(F.lit(of), x, y))
 
+    def later(h: Column, k: int) -> Column:
+        return F.slice(h, F.lit(k + 1), F.greatest(F.size(h) - k, F.lit(0)))
 
-def _shingles(words: Column, sizes: list[int]) -> Column:
-    """Array of structs (at, h): every shingle of the given sizes."""
-    def of(size: int) -> Column:
-        places = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), _shingle(words, i, size).alias("h")))
+    def of(one: Column) -> Column:
+        if size == 1:
+            return one
+        return bound(step(one, later(one, 1), 2), lambda two: two if size == 2 else step(two, later(one, 2), 3) if size == 3 else bound(
+            step(two, later(two, 2), 4), lambda four: four if size == 4 else step(four, later(one, 4), 5)))
 
-    return F.concat(*[of(s) for s in sizes]) if len(sizes) > 1 else of(sizes[0])
+    return F.when(F.size(words) >= size, bound(F.transform(words, lambda x: (F.hash if size == 1 else F.xxhash64)(F.lit(1), x)), of))
 
 
 def windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -72,50 +74,53 @@ def _blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
 def window_shingles(found: DataFrame) -> DataFrame:
     """Each window's shingles: (wid, words, items, at, h)."""
     size = F.least(F.size("words"), F.lit(SHINGLE))
-    of_window = F.when(size == SHINGLE, _shingles(F.col("words"), [SHINGLE]))
+    of_window = F.when(size == SHINGLE, _shingles(F.col("words"), SHINGLE))
     for s in range(1, SHINGLE):
-        of_window = of_window.when(size == s, _shingles(F.col("words"), [s]))
-    return found.select("wid", "words", "items", F.explode(of_window).alias("s")).select("wid", "words", "items", "s.at", "s.h")
+        of_window = of_window.when(size == s, _shingles(F.col("words"), s))
+    return found.select("wid", "words", "items", size.alias("size"), F.posexplode(of_window).alias("at", "h"))
 
 
-def meetings(rows: DataFrame, tokens: DataFrame, sizes: list[int], block: int = BLOCK) -> DataFrame:
-    """Places of item shingles in documents, with the words around that a window there can reach; and one row (place -1) per document.
+def shingle_counts(words: DataFrame, tokens: DataFrame, sizes: list[int], block: int = BLOCK) -> DataFrame:
+    """Occurrences in all documents (h, count) of the shingles ``tokens`` (h)."""
+    told = reduce(DataFrame.unionAll, [words.select(F.explode_outer(f"h{s}").alias("h")) for s in sizes])
+    return reduce(DataFrame.unionAll, [told.join(F.broadcast(b), "h").groupBy("h").count() for b in _blocks(tokens, "h", block)])
 
-    ``tokens`` (h) is broadcast block by block; each block is one pass over the documents.
-    """
-    every = F.struct(F.lit(-1).alias("at"), F.lit(EVERY).cast("long").alias("h"))
-    met = []
-    for i, b in enumerate(_blocks(tokens, "h", block)):
-        marks = F.concat(F.array(every), _shingles(F.col("w"), sizes)) if i == 0 else _shingles(F.col("w"), sizes)
-        side = b.select("h").unionAll(rows.sparkSession.range(1).select(F.lit(EVERY).cast("long"))) if i == 0 else b.select("h")
-        exploded = rows.select("rid", "key", F.size("w").alias("n_words"), "w", F.explode(marks).alias("m")).select("rid", "key", "n_words", "w", F.col("m.at").alias("place"), F.col("m.h").alias("h"))
-        low = F.greatest(F.col("place") - (WINDOW - 1), F.lit(0))
-        met.append(exploded.join(F.broadcast(side.distinct()), "h").select("rid", "key", "n_words", "place", "h", F.when(F.col("place") >= 0, F.slice("w", low + 1, F.lit(2 * WINDOW))).alias("around")))
-    return reduce(DataFrame.unionAll, met)
 
-
-def prefixes(parts: DataFrame, met: DataFrame) -> DataFrame:
-    """Each window's prefix: (words, items, h, at), its rarest shingle by occurrences in all documents; windows with an absent shingle are left out."""
-    counts = met.filter("place >= 0").groupBy("h").count()
+def prefixes(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each window's prefix: (wid, words, items, h, at), its rarest shingle by occurrences in all documents; windows with an absent shingle are left out."""
     rare = parts.join(counts, "h", "left").groupBy("wid").agg(
         F.first("words").alias("words"), F.first("items").alias("items"), F.min_by(F.struct("h", "at"), F.struct(F.coalesce("count", F.lit(0)), "h", "at")).alias("p"), F.count_if(F.col("count").isNull()).alias("absent")
     )
-    return rare.filter("absent = 0").select("words", "items", "p.h", "p.at")
+    return rare.filter("absent = 0").select("wid", "words", "items", "p.h", "p.at")
+
+
+def meetings(words: DataFrame, rare: DataFrame, sizes: list[int], block: int = BLOCK) -> DataFrame:
+    """Where a window may begin in a document, by its prefix and within the document's bounds: (rid, start, wid, n)."""
+    told = reduce(DataFrame.unionAll, [words.select("rid", "n_words", F.posexplode_outer(f"h{s}").alias("place", "h")) for s in sizes])
+    met = reduce(DataFrame.unionAll, [told.join(F.broadcast(b), "h") for b in _blocks(rare.select("h").distinct(), "h", block)])
+    start, n = F.col("place") - F.col("at"), F.size("words")
+    placed = met.join(rare.select("h", "at", "words", "wid"), "h").filter((start >= 0) & (start + n <= F.col("n_words")))
+    return placed.select("rid", start.alias("start"), "wid", n.alias("n"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per document row: key, n_words, spans (array<struct<start,stop>>, hit word ranges), n_hit, items (sorted ids)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), words_of(F.col(text)).alias("w"))
     parts = stage(window_shingles(windows(items, item_key, item_text)), "windows")
-    sizes = sorted(r[0] for r in parts.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
-    met = stage(meetings(rows, parts.select("h").distinct(), sizes, block), "meetings")
-    start = F.col("place") - F.col("at")
-    inside = start - F.greatest(F.col("place") - (WINDOW - 1), F.lit(0))
-    fits = (start >= 0) & (start + F.size("words") <= F.col("n_words")) & (F.slice("around", F.greatest(inside, F.lit(0)) + 1, F.size("words")) == F.col("words"))
-    hits = met.filter("place >= 0").join(prefixes(parts, met), "h").filter(fits).select("rid", "key", "n_words", F.struct(start.alias("start"), (start + F.size("words")).alias("stop")).alias("span"), "items")
-    every = met.filter("place < 0").select("rid", "key", "n_words", F.lit(None).cast("struct<start:int,stop:int>").alias("span"), F.lit(None).cast(hits.schema["items"].dataType).alias("items"))
-    grouped = hits.unionAll(every).groupBy("rid").agg(F.first("key").alias(key), F.first("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return grouped.select(key, "n_words", "spans", _covered(F.col("spans")).alias("n_hit"), "items")
+    sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())
+    cut = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), words_of(F.col(text)).alias("w"))
+    words = stage(cut.select("*", F.size("w").cast("long").alias("n_words"), *[_shingles(F.col("w"), s).alias(f"h{s}") for s in sizes]), "words")
+    if not sizes:
+        none = F.array().cast("array<struct<start:int,stop:int>>")
+        return words.select(F.col("key").alias(key), "n_words", none.alias("spans"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(T.ArrayType(items.schema[item_key].dataType)).alias("items"))
+    rare = stage(prefixes(parts, shingle_counts(words, parts.select("h").distinct(), sizes, block)), "prefixes")
+    met = stage(meetings(words, rare, sizes, block), "meetings")
+    read = met.join(words.select("rid", "w"), "rid").select("rid", "wid", "start", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("read"))
+    same = read.join(rare.select("wid", "words", "items"), "wid").filter("read = words")
+    found = same.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = stage(found, "hits")
+    drop_stage(parts, rare, met)
+    none = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
+    return words.select("rid", F.col("key").alias(key), "n_words").join(hits, "rid", "left").select(key, "n_words", none("spans"), F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")).alias("n_hit"), none("items"))
 
 
 def _covered(spans: Column) -> Column:
