@@ -114,7 +114,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         return words.select(F.col("key").alias(key), "n_words", none.alias("spans"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(T.ArrayType(items.schema[item_key].dataType)).alias("items"))
     rare = stage(prefixes(parts, shingle_counts(words, parts.select("h").distinct(), sizes, block)), "prefixes")
     met = stage(meetings(words, rare, sizes, block), "meetings")
-    # a row of met takes 32 bytes: so many are broadcast, more are sorted and merged with the words
+    # a broadcast row takes about 110 bytes: so many are broadcast, more are sorted and merged with the words
     few = F.broadcast(met) if met.count() <= block else met
     read = words.select("rid", "w").join(few, "rid").select("rid", "wid", "start", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("read"))
     same = read.join(rare.select("wid", "words", "items"), "wid").filter("read = words")
