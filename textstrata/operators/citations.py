@@ -12,63 +12,46 @@ from ..functions.arrow import arrow_udf
 from ..functions.values import CITATION_REACH, COUNTRY, LOCAL_NAMES
 from .structure import value_of
 
-MENTION = re.compile("第([一二三四五六七八九十百零〇两0-9]{1,8})条(?:之([一二三四五六七八九十百零〇两0-9]{1,3}))?")
-CANONICAL = re.compile("[零一二三四五六七八九十百千]+")
+NUMBER, SUB = "[一二三四五六七八九十百零〇两0-9]{1,8}", "[一二三四五六七八九十百零〇两0-9]{1,3}"
+CONVERTS = "[零一二三四五六七八九十百千]"
+#: A mention of an article; or, where 至 stands between two mentions without sub-numbers and no third one, a range of them.
+MENTIONS = re.compile(
+    f"第(?P<from>{CONVERTS}+)条(?!之{SUB})(?:(?!第{NUMBER}条)(?!至).)*至(?:(?!第{NUMBER}条).)*第(?P<to>{CONVERTS}+)条(?!之{CONVERTS})"
+    f"|第(?P<one>{NUMBER})条(?:之(?P<sub>{SUB}))?", re.S
+)
 RESULT = "array<struct<target:string,alias:string,evidence:string>>"
 
 
-def canonical(m: re.Match) -> str | None:
-    """Article number of a mention; only numerals that convert count."""
-    if not CANONICAL.fullmatch(m[1]):
-        return None
-    if m[2] is None:
-        return str(value_of(m[1]))
-    head = CANONICAL.match(m[2])
-    # a sub-number is read as far as it converts
-    return f"{value_of(m[1])}之{value_of(head[0])}" if head else str(value_of(m[1]))
-
-
-def mentions(window: str, name: str, alias: str | None) -> list[dict]:
-    """Citations in the words after a name; 至 between two plain numbers makes a range."""
-    found = [(m, canonical(m)) for m in MENTION.finditer(window)]
-    out, skip = [], False
-    for i, (m, number) in enumerate(found):
-        if skip or number is None:
-            skip = False
-            continue
-        after = found[i + 1] if i + 1 < len(found) else None
-        if after and "至" in window[m.end() : after[0].start()] and number.isdigit() and (after[1] or "").isdigit():
-            text = name + window[m.start() : after[0].end()]
-            out += [{"target": str(n), "alias": alias, "evidence": text} for n in range(int(number), int(after[1]) + 1)]
-            skip = True
-        else:
-            out.append({"target": number, "alias": alias, "evidence": name + m[0]})
-    return out
+def targets(m: re.Match) -> list[str]:
+    """Article numbers that a match names; none if its numeral doesn't convert. A sub-number is read as far as it converts."""
+    if m["to"]:
+        return [str(n) for n in range(value_of(m["from"]), value_of(m["to"]) + 1)]
+    if not re.fullmatch(f"{CONVERTS}+", m["one"]):
+        return []
+    sub = re.match(f"{CONVERTS}+", m["sub"] or "")
+    return [str(value_of(m["one"])) + (f"之{value_of(sub[0])}" if sub else "")]
+
+
+def following(name: str, longer: list[str], marks: str) -> re.Pattern:
+    """A name where no longer one begins, and, as group 1, the words after it up to a mark."""
+    none = f"(?!{'|'.join(map(re.escape, longer))})" if longer else ""
+    return re.compile(f"{none}{re.escape(name)}(?=((?:(?!{marks}).){{0,{CITATION_REACH}}}))", re.S)
 
 
 def extract(text: str | None, article: str | None, titles: list[str]) -> list[dict]:
     """Distinct citations of a provision's text: to its own law, to the article before, to named laws."""
     flat = re.sub(r"\s+", "", text or "")
-    aliases = sorted({t.removeprefix(COUNTRY): None for t in titles}, key=len, reverse=True)
-    stop = re.compile("|".join(["[。；;《]", *map(re.escape, filter(None, aliases))]))
-
-    def after(name: str, alias: str | None, at: int) -> list[dict]:
-        window = flat[at + len(name) : at + len(name) + CITATION_REACH]
-        cut = stop.search(window)
-        return mentions(window[: cut.start()] if cut else window, name, alias)
-
-    found = [c for name in LOCAL_NAMES for m in re.finditer(re.escape(name), flat) for c in after(name, None, m.start())]
-    if article and article.isdigit() and int(article) > 1 and "前条" in flat:
-        found.append({"target": str(int(article) - 1), "alias": None, "evidence": "前条"})
-    if aliases:
-        # at each place the longest name there
-        places: dict[str, list[int]] = {}
-        for m in re.finditer(f"(?=({'|'.join(map(re.escape, aliases))}))", flat):
-            kept = places.setdefault(m[1], [])
-            if not kept or m.start() >= kept[-1] + len(m[1]):
-                kept.append(m.start())
-        found += [c for a in aliases for at in places.get(a, []) for c in after(a, a, at)]
-    return list({(c["target"], c["alias"]): c for c in reversed(found)}.values())[::-1]
+    aliases = sorted({t.removeprefix(COUNTRY): None for t in titles if t.removeprefix(COUNTRY)}, key=len, reverse=True)
+    marks = "|".join(["[。；;《]", *map(re.escape, aliases)])
+    cited = [(name, None, following(name, [], marks)) for name in LOCAL_NAMES]
+    named = [(a, a, following(a, aliases[:i], marks)) for i, a in enumerate(aliases)]
+
+    def found(names) -> list[tuple[str, str | None, str]]:
+        return [(target, alias, name + m[0]) for name, alias, pattern in names for window in pattern.finditer(flat) for m in MENTIONS.finditer(window[1]) for target in targets(m)]
+
+    before = [(str(int(article) - 1), None, "前条")] if article and article.isdigit() and int(article) > 1 and "前条" in flat else []
+    distinct = pd.DataFrame([*found(cited), *before, *found(named)], columns=["target", "alias", "evidence"], dtype="object").drop_duplicates(["target", "alias"])
+    return distinct.to_dict("records")
 
 
 @arrow_udf(RESULT)

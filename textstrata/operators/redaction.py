@@ -6,6 +6,7 @@ expressions do not give; one Arrow UDF returns text, entities and spans together
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 
@@ -29,23 +30,36 @@ def pattern_detector(patterns: dict[str, str]) -> Detector:
 identifiers = pattern_detector({name: p for name, _, p in IDENTIFIERS})
 
 
+def apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of matches in order, those that begin where no kept one before reaches."""
+    kept: list[tuple[int, int, str]] = []
+    for match in found:
+        if not kept or kept[-1][1] <= match[0]:
+            kept.append(match)
+    return kept
+
+
+def placeholders(entities: list[tuple[str, str]], labels: dict[str, str]) -> list[str]:
+    """A placeholder for each distinct (type, value), numbered within its type in the given order."""
+    kinds = pd.Series([kind for kind, _ in entities], dtype="object")
+    return [f"[{labels.get(kind, kind)}_{n}]" for kind, n in zip(kinds, kinds.groupby(kinds).cumcount() + 1, strict=True)]
+
+
 def redact_text(text: str | None, detect: Detector = identifiers, labels: dict[str, str] = LABELS) -> dict:
-    """Placeholders numbered per type by first appearance, equal values alike; a match that begins inside an earlier one is skipped."""
+    """Spans first, then a placeholder for each distinct value by its first span, then the text with its spans exchanged."""
     text = text or ""
-    given: dict[tuple[str, str], str] = {}
-    numbers: dict[str, int] = {}
-    pieces, spans, at = [], [], 0
-    for start, stop, kind in detect(text):
-        if start >= at:
-            value = (kind, text[start:stop])
-            if value not in given:
-                numbers[kind] = numbers.get(kind, 0) + 1
-                given[value] = f"[{labels.get(kind, kind)}_{numbers[kind]}]"
-            pieces += [text[at:start], given[value]]
-            spans.append({"start": start, "stop": stop, "placeholder": given[value]})
-            at = stop
-    entities = [{"type": kind, "plaintext": value, "placeholder": mark} for (kind, value), mark in given.items()]
-    return {"redacted": "".join([*pieces, text[at:]]), "entities": entities, "spans": spans}
+    found = apart(detect(text))
+    if not found:
+        return {"redacted": text, "entities": [], "spans": []}
+    spans = pd.DataFrame(found, columns=["start", "stop", "type"])
+    spans["plaintext"] = [text[a:b] for a, b in zip(spans.start, spans.stop, strict=True)]
+    entities = spans[["type", "plaintext"]].drop_duplicates()
+    entities["placeholder"] = placeholders(list(entities.itertuples(index=False, name=None)), labels)
+    spans = spans.merge(entities, on=["type", "plaintext"], how="left")
+    borders = [0, *spans[["start", "stop"]].to_numpy().ravel().tolist(), len(text)]
+    between = [text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)]
+    whole = "".join(piece for both in itertools.zip_longest(between, spans.placeholder, fillvalue="") for piece in both)
+    return {"redacted": whole, "entities": entities.to_dict("records"), "spans": spans[["start", "stop", "placeholder"]].to_dict("records")}
 
 
 def redact_udf(detect: Detector = identifiers, labels: dict[str, str] = LABELS):
