@@ -4,6 +4,7 @@ import pytest
 from compare import compare
 
 from textstrata import catalogue
+from textstrata.plans.golden import CASES_OF
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
@@ -14,6 +15,17 @@ def test_matches_sql(spark, sf, name):
     assert said.startswith("ok"), said
 
 
+@pytest.mark.parametrize("name", sorted(CASES_OF))
+def test_known_cases(spark, sf, name):
+    query, sql = CASES_OF[name]
+    said = compare(spark, sf, name, query, sql)
+    assert said.startswith("ok"), said
+
+
+def test_known_cases_have_queries_over_tables():
+    assert set(CASES_OF) <= set(SQL)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0

@@ -85,7 +85,7 @@ def is_vague(c: Column) -> Column:
 def split_questions(c: Column) -> Column:
     """The separate questions of a text; the text itself if fewer than two have substance; empty if blank."""
     text = F.trim(F.coalesce(c, F.lit("")))
-    parts = F.filter(F.transform(F.split(text, "[？?；;]+"), F.trim), lambda p: F.length(substance(p)) >= LEAST_SUBSTANCE)
+    parts = F.filter(F.transform(F.split(text, "[？?；;]+"), lambda p: F.trim(p)), lambda p: F.length(substance(p)) >= LEAST_SUBSTANCE)
     return F.when(text == "", F.array().cast("array<string>")).when(F.size(parts) <= 1, F.array(text)).otherwise(parts)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -32,7 +33,8 @@ def targets(m: re.Match) -> list[str]:
     return [str(value_of(m["one"])) + (f"之{value_of(sub[0])}" if sub else "")]
 
 
-def following(name: str, longer: list[str], marks: str) -> re.Pattern:
+@functools.lru_cache(4096)
+def following(name: str, longer: tuple[str, ...], marks: str) -> re.Pattern:
     """A name where no longer one begins, and, as group 1, the words after it up to a mark."""
     none = f"(?!{'|'.join(map(re.escape, longer))})" if longer else ""
     return re.compile(f"{none}{re.escape(name)}(?=((?:(?!{marks}).){{0,{CITATION_REACH}}}))", re.S)
@@ -43,15 +45,17 @@ def extract(text: str | None, article: str | None, titles: list[str]) -> list[di
     flat = re.sub(r"\s+", "", text or "")
     aliases = sorted({t.removeprefix(COUNTRY): None for t in titles if t.removeprefix(COUNTRY)}, key=len, reverse=True)
     marks = "|".join(["[。；;《]", *map(re.escape, aliases)])
-    cited = [(name, None, following(name, [], marks)) for name in LOCAL_NAMES]
-    named = [(a, a, following(a, aliases[:i], marks)) for i, a in enumerate(aliases)]
+    cited = [(name, None, following(name, (), marks)) for name in LOCAL_NAMES]
+    named = [(a, a, following(a, tuple(aliases[:i]), marks)) for i, a in enumerate(aliases)]
 
     def found(names) -> list[tuple[str, str | None, str]]:
         return [(target, alias, name + m[0]) for name, alias, pattern in names for window in pattern.finditer(flat) for m in MENTIONS.finditer(window[1]) for target in targets(m)]
 
     before = [(str(int(article) - 1), None, "前条")] if article and article.isdigit() and int(article) > 1 and "前条" in flat else []
-    distinct = pd.DataFrame([*found(cited), *before, *found(named)], columns=["target", "alias", "evidence"], dtype="object").drop_duplicates(["target", "alias"])
-    return distinct.to_dict("records")
+    first: dict[tuple[str, str | None], str] = {}
+    for target, alias, evidence in [*found(cited), *before, *found(named)]:
+        first.setdefault((target, alias), evidence)
+    return [{"target": target, "alias": alias, "evidence": evidence} for (target, alias), evidence in first.items()]
 
 
 @arrow_udf(RESULT)

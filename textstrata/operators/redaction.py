@@ -6,6 +6,7 @@ expressions do not give; one Arrow UDF returns text, entities and spans together
 
 from __future__ import annotations
 
+import collections
 import itertools
 import re
 from collections.abc import Callable
@@ -41,25 +42,25 @@ def apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 def placeholders(entities: list[tuple[str, str]], labels: dict[str, str]) -> list[str]:
     """A placeholder for each distinct (type, value), numbered within its type in the given order."""
-    kinds = pd.Series([kind for kind, _ in entities], dtype="object")
-    return [f"[{labels.get(kind, kind)}_{n}]" for kind, n in zip(kinds, kinds.groupby(kinds).cumcount() + 1, strict=True)]
+    numbers = collections.defaultdict(lambda: itertools.count(1))
+    return [f"[{labels.get(kind, kind)}_{next(numbers[kind])}]" for kind, _ in entities]
 
 
 def redact_text(text: str | None, detect: Detector = identifiers, labels: dict[str, str] = LABELS) -> dict:
     """Spans first, then a placeholder for each distinct value by its first span, then the text with its spans exchanged."""
     text = text or ""
-    found = apart(detect(text))
-    if not found:
-        return {"redacted": text, "entities": [], "spans": []}
-    spans = pd.DataFrame(found, columns=["start", "stop", "type"])
-    spans["plaintext"] = [text[a:b] for a, b in zip(spans.start, spans.stop, strict=True)]
-    entities = spans[["type", "plaintext"]].drop_duplicates()
-    entities["placeholder"] = placeholders(list(entities.itertuples(index=False, name=None)), labels)
-    spans = spans.merge(entities, on=["type", "plaintext"], how="left")
-    borders = [0, *spans[["start", "stop"]].to_numpy().ravel().tolist(), len(text)]
+    spans = apart(detect(text))
+    values = [(kind, text[a:b]) for a, b, kind in spans]
+    entities = list(dict.fromkeys(values))
+    mark = dict(zip(entities, placeholders(entities, labels), strict=True))
+    borders = [0, *itertools.chain.from_iterable(s[:2] for s in spans), len(text)]
     between = [text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)]
-    whole = "".join(piece for both in itertools.zip_longest(between, spans.placeholder, fillvalue="") for piece in both)
-    return {"redacted": whole, "entities": entities.to_dict("records"), "spans": spans[["start", "stop", "placeholder"]].to_dict("records")}
+    whole = itertools.chain.from_iterable(itertools.zip_longest(between, map(mark.get, values), fillvalue=""))
+    return {
+        "redacted": "".join(whole),
+        "entities": [{"type": kind, "plaintext": value, "placeholder": mark[kind, value]} for kind, value in entities],
+        "spans": [{"start": a, "stop": b, "placeholder": mark[v]} for (a, b, _), v in zip(spans, values, strict=True)],
+    }
 
 
 def redact_udf(detect: Detector = identifiers, labels: dict[str, str] = LABELS):

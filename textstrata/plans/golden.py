@@ -1,4 +1,5 @@
-"""Golden queries: language-specific operators on fixed rows, against their known results. Not an independent computation."""
+"""Known cases: language-specific operators on fixed rows, with their known results. Tests hold the operators against them; the registered
+queries of the same names (``computed``) run over whole tables."""
 
 from __future__ import annotations
 
@@ -9,7 +10,19 @@ from pyspark.sql import functions as F
 from ..functions import legal, numerals, output
 from ..functions import text as X
 from ..operators import citations, evaluation, gates, redaction, structure
-from .base import query, spark_rows, values
+from .base import Query, spark_rows, values
+
+#: Case by name: the query on fixed rows, and its known rows as SQL.
+CASES_OF: dict[str, tuple[Query, str]] = {}
+
+
+def query(sql: str, name: str | None = None):
+    def keep(f: Query) -> Query:
+        CASES_OF[name or f.__name__] = (f, sql)
+        return f
+
+    return keep
+
 
 
 def golden(name: str, rows: list[tuple], column):
