@@ -17,6 +17,7 @@ def arrow_udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
         def call(*columns) -> Column:
             return F.pandas_udf(f, kind)(*columns)
 
+        call.udf = lambda: F.pandas_udf(f, kind)
         return call
 
     return wrap

@@ -37,13 +37,17 @@ def error_class(status: Column) -> Column:
 
 
 def job_fold(events: DataFrame, job: str = "job_id", order: str = "seq", most: int = 3) -> DataFrame:
-    """A job's state after all its events, one aggregation. Events: claim, complete, fail, fail_final, cancel.
+    """A job's state after all its events, one aggregation. Events: claim, heartbeat, complete, fail, fail_final, cancel.
 
-    Failures that may be retried lead to retry_wait until ``most`` attempts; the last event decides otherwise.
+    Failures that may be retried lead to retry_wait until ``most`` attempts; the last event but heartbeats decides
+    otherwise. ``lease_from``: the running job's last claim or heartbeat, from which its lease counts.
     """
-    own = events.groupBy(job).agg(F.count_if(F.col("event") == "claim").alias("attempts"), F.max_by("event", order).alias("last"), F.max(order).alias("seq"))
+    what = F.col("event")
+    last = F.max_by("event", F.when(what != "heartbeat", F.col(order)))
+    own = events.groupBy(job).agg(F.count_if(what == "claim").alias("attempts"), last.alias("last"), F.max(F.when(what.isin("claim", "heartbeat"), F.col(order))).alias("_lease"))
     state = F.when(F.col("last") == "claim", "running").when(F.col("last") == "complete", "succeeded").when(F.col("last") == "cancel", "cancelled").when(F.col("last") == "fail_final", "failed").when(F.col("attempts") < most, "retry_wait").otherwise("failed")
-    return own.select(job, "attempts", state.alias("status"))
+    state = F.when(F.col("last").isNotNull(), state)
+    return own.select(job, "attempts", F.when(F.col("last") == "claim", F.col("_lease")).alias("lease_from"), state.alias("status"))
 
 
 def reclaimed(jobs: DataFrame, now: Column, most: int = 3) -> DataFrame:
@@ -58,6 +62,16 @@ def next_jobs(jobs: DataFrame, now: Column, n: int) -> DataFrame:
     return due.orderBy("created_at", "job_id").limit(n)
 
 
+def claimed(jobs: DataFrame, now: Column, workers: list[str], n: int, lease: int) -> DataFrame:
+    """The next n jobs as their workers claim them, in turn: running, one attempt more, with a lease of so many seconds."""
+    turn = F.row_number().over(Window.orderBy("created_at", "job_id")) - 1
+    worker = F.element_at(F.array(*map(F.lit, workers)), F.pmod(turn, F.lit(len(workers))) + 1)
+    # at most n rows, cut before the numbering
+    return next_jobs(jobs, now, n).withColumns({
+        "worker": worker, "status": F.lit("running"), "attempt_count": F.col("attempt_count") + 1, "lease_expires_at": F.timestamp_seconds(F.unix_timestamp(now) + lease),
+    })
+
+
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
     """Sessions that end after a gap: (key, start, stop, n)."""
     got = events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))

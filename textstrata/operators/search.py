@@ -212,6 +212,13 @@ def star(provisions: DataFrame, identities: DataFrame, versions: DataFrame, inst
     return provisions.join(identities, "identity_id").join(versions, "version_id").join(instruments, "instrument_id").join(artifacts, "artifact_id")
 
 
+def default_order(rows: DataFrame, ties: tuple[str, ...]) -> DataFrame:
+    """Hits by title, version label and article, each as far as the rows have it; articles by their leading digits, then as text."""
+    have = [c for c in ("instrument_title", "version_label", "provision_number") if c in rows.columns]
+    order = [x for c in have for x in ([X.article_sort_key(F.col(c)).asc_nulls_last(), F.col(c)] if c == "provision_number" else [F.col(c)])]
+    return rows.orderBy(*order, *ties)
+
+
 def as_hits(rows: DataFrame, fields: list[str], citation: list[str]) -> DataFrame:
     """Rows as hits: some fields, and the source as one struct."""
     return rows.select(*fields, F.struct(*citation).alias("citation"))
@@ -227,7 +234,7 @@ def search_one(corpus: DataFrame, q: Query, vectors: DataFrame | None = None, en
     if q.keyword:
         return keyword(rows, q.keyword, text=text, ties=(key,), limit=q.limit), "keyword"
     if not q.semantic:
-        return rows.orderBy(key).limit(q.limit + 1), "exact"
+        return default_order(rows, (key,)).limit(q.limit + 1), "exact"
     asked = corpus.sparkSession.range(1).select(X.query_variants(F.lit(q.semantic)).alias("v")).first()["v"]
     flat = rows.withColumn("_flat", X.flatten_stored(F.col(text)))
     which = F.coalesce(*[F.when(reduce(lambda a, b: a & b, [F.col("_flat").like(f"%{t}%") for t in X.split_terms(v)]), F.lit(i)) for i, v in enumerate(asked) if X.split_terms(v)], F.lit(None).cast("int"))

@@ -160,11 +160,11 @@ def staleness_diff(spark, d):
     return corpus.flag_changes(old, _stale(spark, d))
 
 
-EDGES = "e AS (SELECT DISTINCT l_partkey AS source, l_suppkey AS target_identity FROM lineitem WHERE l_linenumber = 1 AND l_partkey <> l_suppkey)"
+EDGES = "e AS (SELECT DISTINCT l_partkey AS source, l_suppkey AS target_identity FROM lineitem WHERE l_partkey <> l_suppkey)"
 
 
 def _edges(spark, d):
-    cites = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("source"), F.lit("one").alias("instrument"), F.col("l_suppkey").alias("target"))
+    cites = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.lit("one").alias("instrument"), F.col("l_suppkey").alias("target"))
     named = table(spark, d, "supplier").select(F.col("s_suppkey").alias("identity"), F.lit("one").alias("instrument"), F.col("s_suppkey").alias("number"))
     return citations.linked(cites, named)
 
@@ -273,16 +273,27 @@ def state_changes(spark, d):
     return conversation.changes(table(spark, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "event_type")
 
 
-EVENT = "CASE event_type WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'fail_final' ELSE 'cancel' END"
+EVENT = "CASE event_type WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'fail_final' WHEN 'click' THEN 'heartbeat' ELSE 'cancel' END"
 
 
-@query(f"""WITH e AS (SELECT event_id % 500 AS job_id, event_id AS seq, {EVENT} AS event FROM events), f AS (SELECT job_id, count(*) FILTER (event = 'claim') AS attempts, arg_max(event, seq) AS last FROM e GROUP BY 1)
-SELECT job_id, attempts, CASE last WHEN 'claim' THEN 'running' WHEN 'complete' THEN 'succeeded' WHEN 'cancel' THEN 'cancelled' WHEN 'fail_final' THEN 'failed' ELSE CASE WHEN attempts < 3 THEN 'retry_wait' ELSE 'failed' END END AS status FROM f""")
+@query(f"""WITH e AS (SELECT event_id % 500 AS job_id, event_id AS seq, {EVENT} AS event FROM events), f AS (SELECT job_id, count(*) FILTER (event = 'claim') AS attempts, arg_max(event, seq) FILTER (event <> 'heartbeat') AS last, max(seq) FILTER (event IN ('claim', 'heartbeat')) AS lease_from FROM e GROUP BY 1)
+SELECT job_id, attempts, CASE WHEN last = 'claim' THEN lease_from END AS lease_from, CASE last WHEN 'claim' THEN 'running' WHEN 'complete' THEN 'succeeded' WHEN 'cancel' THEN 'cancelled' WHEN 'fail_final' THEN 'failed' ELSE CASE WHEN attempts < 3 THEN 'retry_wait' ELSE 'failed' END END AS status FROM f""")
 def job_fold(spark, d):
     e = table(spark, d, "events").select((F.col("event_id") % 500).alias("job_id"), F.col("event_id").alias("seq"), F.expr(EVENT).alias("event"))
     return conversation.job_fold(e)
 
 
+@query("""SELECT job_id, worker, attempt_count, lease FROM (SELECT event_id AS job_id, 'w' || (row_number() OVER (ORDER BY ts, event_id) - 1) % 4 AS worker, (event_id % 3 + 1)::INT AS attempt_count, 300 AS lease, row_number() OVER (ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('view', 'error')) WHERE r <= 40""")
+def claimed_jobs(spark, d):
+    """The 40 oldest waiting jobs, claimed by four workers."""
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_type").isin("view", "error"), "queued").otherwise("succeeded")
+    jobs = e.select(F.col("event_id").alias("job_id"), status.alias("status"), F.col("ts").alias("created_at"), F.col("ts").alias("available_at"), (F.col("event_id") % 3).cast("int").alias("attempt_count"))
+    now = F.lit("2100-01-01").cast("timestamp")
+    got = conversation.claimed(jobs, now, ["w0", "w1", "w2", "w3"], 40, 300)
+    return got.select("job_id", "worker", "attempt_count", (F.unix_timestamp("lease_expires_at") - F.unix_timestamp(now)).cast("int").alias("lease"))
+
+
 @query("SELECT event_id, least(600, 5 * pow(2, greatest(0, event_id % 12 - 1)))::BIGINT AS seconds FROM events")
 def backoff(spark, d):
     return table(spark, d, "events").select("event_id", X.backoff(F.col("event_id") % 12, 5, 600).alias("seconds"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import gates, redaction, structure
+from ..operators import gates, redaction, registered, structure
 from ..sources import files
 from .base import query, table
 
@@ -54,10 +54,15 @@ def _redacted(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", redact("text").alias("r"))
 
 
-@query()
+ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+@query(f"""SELECT doc_id, sha256(regexp_replace(text, '{ANY}', '[X]', 'g')) AS masked_sha256, len(list_distinct(regexp_extract_all(text, '{ANY}')))::INT AS n_entities, len(regexp_extract_all(text, '{ANY}'))::INT AS n_spans FROM documents""")
 def redact_pii(spark, d):
+    """The redacted text with its placeholders made alike: what a mask of all identifiers gives."""
     r = _redacted(spark, d)
-    return r.select("doc_id", F.sha2("r.redacted", 256).alias("redacted_sha256"), F.size("r.entities").alias("n_entities"), F.size("r.spans").alias("n_spans"))
+    masked = F.regexp_replace("r.redacted", rf"\[(?:{'|'.join(PATTERNS)})_[0-9]+\]", "[X]")
+    return r.select("doc_id", F.sha2(masked, 256).alias("masked_sha256"), F.size("r.entities").alias("n_entities"), F.size("r.spans").alias("n_spans"))
 
 
 @query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
@@ -102,6 +107,13 @@ def content_store(spark, d):
     return files.stored(table(spark, d, "documents").select(F.encode("text", "UTF-8").alias("content"))).select("sha256", "size")
 
 
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INT AS n_blocks FROM documents")
+def sql_functions(spark, d):
+    """An operator called from SQL, under its registered name."""
+    registered.register(spark)
+    return spark.sql("SELECT doc_id, size(ts_text_blocks(text)) AS n_blocks FROM {docs}", docs=table(spark, d, "documents"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id % 9 = 0")
 def integrity_rejects(spark, d):
     """Objects whose content isn't what was registered."""

@@ -28,6 +28,28 @@ def embedding_join(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "source").join(v, "doc_id")
 
 
+@query("""SELECT l_orderkey, l_linenumber, c_name, n_name, p_name, label FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN embeddings ON vec_id = l_partkey WHERE o_orderstatus = 'O'""")
+def embedding_star(spark, d):
+    """The star of a hit with the embeddings of its provisions."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("identity_id"), F.col("l_orderkey").alias("version_id"))  # noqa: E741
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("identity_id"), "p_name")
+    o = table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("instrument_id"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("instrument_id"), "c_name", F.col("c_nationkey").alias("artifact_id"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("artifact_id"), "n_name")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("identity_id"), "label")
+    return search.star(l.join(v, "identity_id"), p, o, c, n).select("l_orderkey", "l_linenumber", "c_name", "n_name", "p_name", "label")
+
+
+@query("""SELECT c_name AS instrument_title, strftime(o_orderdate, '%Y') AS version_label, l_linenumber || '之' || l_suppkey AS provision_number, l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+WHERE l_returnflag = 'R' ORDER BY instrument_title, version_label, l_linenumber, provision_number, l_orderkey LIMIT 201""")
+def search_default_order(spark, d):
+    """The first 200 hits in default order, and one more that tells truncation."""
+    c, o = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("instrument_title")), table(spark, d, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy").alias("version_label"))
+    l = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", F.concat("l_linenumber", F.lit("之"), "l_suppkey").alias("provision_number"))  # noqa: E741
+    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("instrument_title", "version_label", "provision_number", "l_orderkey")
+    return search.default_order(rows, ("l_orderkey",)).limit(201)
+
+
 @query("SELECT o_orderkey, s_name FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey")
 def left_outer(spark, d):
     return table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "supplier").select("s_suppkey", "s_name"), F.col("o_orderkey") == F.col("s_suppkey"), "left").select("o_orderkey", "s_name")
@@ -175,10 +197,10 @@ def review_marks(spark, d):
     return corpus.review_marks(runs, e.filter("event_type = 'click'").select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"))).select("run_id", F.col("at").alias("marked"), "applied")
 
 
-@query("SELECT sha256(text) AS sha256, 'parse:' || sha256(text) AS idempotency_key FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0) GROUP BY text")
+@query("SELECT sha256(text) AS sha256, 'parse:' || sha256(text) AS idempotency_key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0) GROUP BY text")
 def import_registration(spark, d):
     docs = table(spark, d, "documents")
-    incoming = docs.filter("doc_id % 2 = 1").select(F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    incoming = docs.select(F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
     known = docs.filter("doc_id % 5 = 0").select(F.sha2("text", 256).alias("sha256"))
     return files.registration(files.accepted(incoming), known, F.lit("2026-01-01").cast("timestamp"))["jobs"].select("sha256", "idempotency_key")
 

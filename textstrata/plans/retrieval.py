@@ -56,15 +56,28 @@ def _grams(c: str) -> str:
     return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-@query(f"""WITH b AS (SELECT item_id, {_grams('text')} AS g FROM benchmark), q AS (SELECT {_grams("'thering that stion'")} AS g)
-SELECT item_id, len(list_intersect(b.g, q.g))::DOUBLE / (len(b.g) + len(q.g) - len(list_intersect(b.g, q.g))) AS similarity FROM b, q""")
+def _likeness(key: str, text: str, rows: str, needle: str) -> str:
+    return f"""b AS (SELECT {key}, {_grams(text)} AS g FROM {rows}), q AS (SELECT {_grams(f"'{needle}'")} AS g),
+s AS (SELECT {key}, len(list_intersect(b.g, q.g))::DOUBLE / (len(b.g) + len(q.g) - len(list_intersect(b.g, q.g))) AS similarity FROM b, q)"""
+
+
+@query(f"WITH {_likeness('doc_id', 'text', 'documents', 'thering that stion')} SELECT * FROM s")
 def kw_trigram(spark, d):
-    return table(spark, d, "benchmark").select("item_id", X.jaccard(X.trigrams(F.col("text")), X.trigrams(F.lit("thering that stion"))).alias("similarity"))
+    return table(spark, d, "documents").select("doc_id", X.jaccard(X.trigrams(F.col("text")), X.trigrams(F.lit("thering that stion"))).alias("similarity"))
+
+
+@query(f"WITH {_likeness('p_partkey', 'p_name', 'part', 'small rings')}, r AS (SELECT p_partkey, round(similarity, 9) AS similarity, row_number() OVER (ORDER BY similarity DESC, p_partkey) AS rank FROM s WHERE similarity >= 0.3) SELECT * FROM r WHERE rank <= 101")
+def kw_trigram_ranked(spark, d):
+    """The 100 names most similar to a query among those that match it, and one more that tells truncation."""
+    likeness = X.jaccard(X.trigrams(F.col("p_name")), X.trigrams(F.lit("small rings")))
+    hits = search.keyword(table(spark, d, "part"), "small rings", "trigram", "p_name", ("p_partkey",), 100)
+    # at most 101 rows, cut before the numbering
+    return hits.select("p_partkey", F.round(likeness, 9).alias("similarity"), F.row_number().over(Window.orderBy(likeness.desc(), "p_partkey")).cast("long").alias("rank"))
 
 
 @query()
 def kw_word_trigram(spark, d):
-    return table(spark, d, "benchmark").select("item_id", X.word_similarity(F.lit("thering that"), F.col("text")).alias("similarity"))
+    return table(spark, d, "documents").select("doc_id", X.word_similarity(F.lit("thering that"), F.col("text")).alias("similarity"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id < 700 ORDER BY doc_id DESC LIMIT 25")
