@@ -40,7 +40,8 @@ def job_fold(events: DataFrame, job: str = "job_id", order: str = "seq", most: i
     """A job's state after all its events, one aggregation. Events: claim, heartbeat, complete, fail, fail_final, cancel.
 
     Failures that may be retried lead to retry_wait until ``most`` attempts; the last event but heartbeats decides
-    otherwise. ``lease_from``: the running job's last claim or heartbeat, from which its lease counts.
+    otherwise. ``lease_from``: the running job's last claim or heartbeat, from which its lease counts. A job with
+    heartbeats alone has no status.
     """
     what = F.col("event")
     last = F.max_by("event", F.when(what != "heartbeat", F.col(order)))

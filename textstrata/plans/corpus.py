@@ -277,7 +277,7 @@ EVENT = "CASE event_type WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'complete
 
 
 @query(f"""WITH e AS (SELECT event_id % 500 AS job_id, event_id AS seq, {EVENT} AS event FROM events), f AS (SELECT job_id, count(*) FILTER (event = 'claim') AS attempts, arg_max(event, seq) FILTER (event <> 'heartbeat') AS last, max(seq) FILTER (event IN ('claim', 'heartbeat')) AS lease_from FROM e GROUP BY 1)
-SELECT job_id, attempts, CASE WHEN last = 'claim' THEN lease_from END AS lease_from, CASE last WHEN 'claim' THEN 'running' WHEN 'complete' THEN 'succeeded' WHEN 'cancel' THEN 'cancelled' WHEN 'fail_final' THEN 'failed' ELSE CASE WHEN attempts < 3 THEN 'retry_wait' ELSE 'failed' END END AS status FROM f""")
+SELECT job_id, attempts, CASE WHEN last = 'claim' THEN lease_from END AS lease_from, CASE WHEN last IS NOT NULL THEN CASE last WHEN 'claim' THEN 'running' WHEN 'complete' THEN 'succeeded' WHEN 'cancel' THEN 'cancelled' WHEN 'fail_final' THEN 'failed' ELSE CASE WHEN attempts < 3 THEN 'retry_wait' ELSE 'failed' END END END AS status FROM f""")
 def job_fold(spark, d):
     e = table(spark, d, "events").select((F.col("event_id") % 500).alias("job_id"), F.col("event_id").alias("seq"), F.expr(EVENT).alias("event"))
     return conversation.job_fold(e)
