@@ -28,7 +28,7 @@ from .common import shared_dir, stage
 
 #: Fixed number of virtual slots; the map's size, and so all that is broadcast, is bounded by it.
 SLOTS = 8192
-#: Buckets of a slot whose rows are numbered apart; the table of their sizes, SLOTS * BUCKETS rows, is broadcast.
+#: Buckets of a slot whose rows are numbered apart; the table of their sizes has SLOTS * BUCKETS rows at most.
 BUCKETS = 16
 #: Bytes added to each record for its framing.
 OVERHEAD = 16
@@ -140,7 +140,8 @@ def shard_by_map(df: DataFrame, key: str, text: str, maps: DataFrame, version: i
     """Each row's shard under a version of the maps, its place there and its shard under the next version.
 
     The versions, joined with the loads of their slots, are stored (at most
-    ``SLOTS * BUCKETS`` rows) and broadcast. A row's place in its shard is the
+    ``SLOTS * BUCKETS`` rows) and merged with the rows, which the numbering has
+    dealt by slot and bucket already. A row's place in its shard is the
     number of rows in the shard's earlier buckets plus its place in its own, so no
     window spans a whole shard.
     """
@@ -152,7 +153,7 @@ def shard_by_map(df: DataFrame, key: str, text: str, maps: DataFrame, version: i
     loads = slot_loads(rows).join(F.broadcast(wide), "vslot").select("vslot", "bucket", "shard", "grown_shard", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"), F.sum("bytes").over(whole).alias("vslot_bytes"))
     stored = stage(loads, "slot_loads")
     inside = Window.partitionBy("vslot", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return rows.withColumn("place", F.row_number().over(inside)).join(F.broadcast(stored), ["vslot", "bucket"]).select(
+    return rows.withColumn("place", F.row_number().over(inside)).join(stored.hint("merge"), ["vslot", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place") - 1).alias("slot"), "grown_shard", "vslot", "vslot_bytes"
     )
 
