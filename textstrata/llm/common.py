@@ -96,6 +96,23 @@ def ascii_lower(col):
     return F.when(plain, F.lower(col)).otherwise(F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def crc_table() -> list[int]:
+    """The 256 steps of CRC-32, for SQL that lacks the function."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a string expression's UTF-8 bytes."""
+    table = ",".join(map(str, crc_table()))
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+  lambda a, x: xor(a >> 8, ([{table}]::BIGINT[])[(xor(a & 255, x) + 1)::INT])), 4294967295::BIGINT)"""
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for the jobs that run inside."""

@@ -1,13 +1,14 @@
-"""The ten operators' queries and DuckDB SQL."""
+"""The operators' queries and DuckDB SQL."""
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, jaccard, language, pii, sharding, token_counts, toxicity, vectors
+from . import bpe, chat, decontamination, jaccard, language, periodic, pii, sharding, token_counts, toxicity, vectors
 
 
 def queries():
     return {
         "op10_vectors": vectors.op10_vectors,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_bpe": bpe.op2_bpe,
         "op3_token_counts": token_counts.op3_token_counts,
@@ -21,4 +22,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontamination": decontamination.SQL, "op10_vectors": vectors.SQL, "op4_jaccard": jaccard.SQL, "op7_chat": chat.SQL, "op9_sharding": sharding.sql()}
+    return {"op1_decontamination": decontamination.SQL, "op10_vectors": vectors.SQL, "op13_periodic_runs": periodic.SQL, "op4_jaccard": jaccard.SQL, "op7_chat": chat.SQL, "op9_sharding": sharding.sql()}
