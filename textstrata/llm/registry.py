@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, jaccard, language, periodic, pii, sharding, token_counts, toxicity, vectors
+from . import bpe, chat, decontamination, jaccard, language, mixing, periodic, pii, sharding, spelling, token_counts, toxicity, vectors
 
 
 def queries():
     return {
         "op10_vectors": vectors.op10_vectors,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_mixing": mixing.op12_mixing,
         "op13_periodic_runs": periodic.op13_periodic_runs,
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_bpe": bpe.op2_bpe,
@@ -22,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontamination": decontamination.SQL, "op10_vectors": vectors.SQL, "op13_periodic_runs": periodic.SQL, "op4_jaccard": jaccard.SQL, "op7_chat": chat.SQL, "op9_sharding": sharding.sql()}
+    return {"op1_decontamination": decontamination.SQL, "op10_vectors": vectors.SQL, "op11_spelling": spelling.SQL, "op12_mixing": mixing.SQL, "op13_periodic_runs": periodic.SQL, "op4_jaccard": jaccard.SQL, "op7_chat": chat.SQL, "op9_sharding": sharding.sql()}
