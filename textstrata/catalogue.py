@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import base, computed, corpus, documents, golden, relations, retrieval, streams
+from .plans import base, computed, corpus, documents, golden, relations, retrieval, streams, transactions
 
-__all__ = ["computed", "corpus", "documents", "golden", "oracle_sql", "queries", "relations", "retrieval", "streams"]
+__all__ = ["computed", "corpus", "documents", "golden", "oracle_sql", "queries", "relations", "retrieval", "streams", "transactions"]
 
 
 def queries() -> dict[str, base.Query]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +84,74 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str =
     return got.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
+def activity(events: DataFrame, key: str, ts: str, idle: int, span: int = 86_400) -> DataFrame:
+    """(key, island, at): each event's time and that of the first event it is linked to by gaps under ``idle`` seconds, all in ms.
+
+    Events are compared within spans of time; only the spans' first and last times are compared over a whole key, so a key with a large share of
+    all events is many tasks' work. Events without a key or time are nobody's and left out.
+    """
+    rows = events.select(F.col(key).alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("at")).filter("key IS NOT NULL AND at IS NOT NULL").withColumn("span", F.floor(F.col("at") / (span * 1000)))
+    inside, over = Window.partitionBy("key", "span").orderBy("at"), Window.partitionBy("key").orderBy("span")
+    fresh = F.col("at") - F.lag("at").over(inside) >= idle * 1000
+    rows = rows.withColumn("begun", F.when(fresh, F.col("at"))).withColumn("begun_here", F.max("begun").over(inside))
+    ends = rows.groupBy("key", "span").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("begun").alias("inner"))
+    before = F.lag("last").over(over)
+    ends = ends.withColumn("opened", F.when(before.isNull() | (F.col("first") - before >= idle * 1000), F.col("first")))
+    carried = F.last(F.coalesce("inner", "opened"), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("key", "span", F.coalesce("opened", carried).alias("earlier"))
+    return rows.join(ends, ["key", "span"]).select("key", F.coalesce("begun_here", "earlier").alias("island"), "at")
+
+
+def limited_sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", idle: int = 1800, longest: int = 43_200) -> DataFrame:
+    """Sessions that end ``idle`` seconds after their last event, or ``longest`` after their first: (key, start, stop, n, ended: idle or age).
+
+    An event at the very end is too late and opens the next session. Where each session of a stretch of activity begins depends on the one
+    before, so a stretch is one task's, as a stream of times in constant memory; a step finds the end of a session in a sorted batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same, start, last, n, out = None, 0, 0, 0, []
+        for batch in batches:
+            keys, island, at = batch.column("key"), batch.column("island").to_numpy(), batch.column("at").to_numpy()
+            if not len(at):
+                continue
+            names = keys.dictionary_encode()
+            code = names.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (island[1:] != island[:-1])) + 1).tolist(), len(at)]
+            for a, b in itertools.pairwise(cuts):
+                own, times = (names.dictionary[int(code[a])].as_py(), int(island[a])), at[a:b]
+                if own != same:
+                    if same is not None:
+                        out.append((same[0], start, last, n))
+                    same, start, n = own, int(times[0]), 0
+                while True:
+                    stop = int(np.searchsorted(times, start + longest * 1000))
+                    if stop:
+                        last, n = int(times[stop - 1]), n + stop
+                    if stop == len(times):
+                        break
+                    out.append((same[0], start, last, n))
+                    times = times[stop:]
+                    start, n = int(times[0]), 0
+            yield told(out, keys.type)
+            out = []
+        if same is not None:
+            yield told([(same[0], start, last, n)], kind)
+
+    def told(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.record_batch([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], ["key", "start", "last", "n"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = activity(events, key, ts, idle)
+    kind = to_arrow_type(rows.schema["key"].dataType)
+    spans = rows.repartition("key", "island").sortWithinPartitions("key", "island", "at")
+    got = spans.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, start long, last long, n long")
+    quiet, old = F.col("last") + idle * 1000, F.col("start") + longest * 1000
+    return got.select(F.col("key").alias(key), F.timestamp_millis("start").alias("start"), F.timestamp_millis(F.least(quiet, old)).alias("stop"), "n", F.when(quiet <= old, "idle").otherwise("age").alias("ended"))
+
+
 def alive(cache: DataFrame, now: Column) -> DataFrame:
     """Entries that haven't expired; the newest of a key counts."""
     newest = Window.partitionBy("key").orderBy(F.col("put_at").desc())

@@ -48,6 +48,22 @@ def grant_changes(grants: DataFrame, wanted: DataFrame, keys: list[str]) -> Data
     return out.withColumn("outcome", outcome).drop("_there")
 
 
+def grant_transaction(grants: DataFrame, wanted: DataFrame, keys: list[str], actor: int) -> dict[str, DataFrame]:
+    """What one transaction writes for requests (keys, request): the grants after them, an audit row each, and an outbox event for each change.
+
+    Requests are audited whether or not they change anything; only changes are events. Of several requests of one grant the least text counts.
+    """
+    once = wanted.groupBy(*keys).agg(F.min("request").alias("request"))
+    told = grant_changes(grants, once, keys)
+    left = grants.select(*keys).join(told.filter("outcome = 'removed'").select(*keys), keys, "left_anti")
+    payload = F.to_json(F.struct(*keys, "outcome"))
+    return {
+        "grants": left.unionByName(told.filter("outcome = 'added'").select(*keys)),
+        "audit": told.select(F.concat(F.lit("grant."), "request").alias("action"), F.lit(actor).cast("long").alias("actor"), payload.alias("payload")),
+        "outbox": told.filter(F.col("outcome").isin("added", "removed")).select(F.concat(F.lit("grant."), "outcome").alias("event_type"), payload.alias("payload")),
+    }
+
+
 def manifest(files: DataFrame, key: str = "object_key", content: str = "content") -> DataFrame:
     """Backup manifest: (key, sha256, size)."""
     return files.select(key, F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("size"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.conversation import job_fold
+from ..sources.commits import shared_dir
 
 
 def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -29,10 +28,11 @@ def drained(stream: DataFrame, name: str, idle_batches: bool = True) -> DataFram
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle_batches).lower())
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "textstrata-shared")
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/table").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(files)
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
