@@ -1,5 +1,8 @@
 """Language ID and toxicity: gradients, held-out accuracy, edge cases."""
 
+import random
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -137,3 +140,34 @@ def test_isotonic_is_monotone():
 def test_trees_on_little(n):
     b = toxicity.Boosted(trees=2).fit(np.zeros((2, 3)), np.array([0.0, 1.0]), np.ones(2))
     assert len(b.margin(np.zeros((n, 3)))) == n
+
+
+def test_letters_only_by_brute_force():
+    r = random.Random(3)
+    signs = "aZé日–“”•…\U0001f600ไม้ि् 12-\n\t'ß́\U00020000"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(300)] + ["", None, "…", "a"]
+    raw, offsets, seen = language.letters_only(*language.text_buffers(pa.array(texts, pa.string())))
+    for i, t in enumerate(texts):
+        kept = "".join(c.lower() if c.isascii() else c if unicodedata.category(c)[0] in "LM" else "\0" for c in (t or ""))
+        want = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in kept)
+        while "  " in want:
+            want = want.replace("  ", " ")
+        assert raw[offsets[i] : offsets[i + 1]].tobytes().decode() == want
+        assert seen[i] == any(map(str.isalpha, t or ""))
+
+
+def test_signs_do_not_make_a_text_no_language(spark):
+    """Quotes, bullets, dashes, ellipses and emoji about the words of a clean text leave its score where it was."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(language.training_rows(docs))
+    rows = docs.filter("doc_id % 50 = 0 AND n_chars > 300").orderBy("doc_id").collect()
+    plain = [r.text[:300] for r in rows]
+    labels, scores = language.predict(model, pa.array(plain))
+    changes = [
+        str.upper, lambda t: " ".join(f"“{w}”" for w in t.split()), lambda t: "\n".join(f"• {w}" for w in t.split()), lambda t: "—" * 100 + t, lambda t: t + "\U0001f600" * 80,
+        lambda t: "…".join(t.split()), lambda t: " ".join(f"*{w}* 12345" for w in t.split()), lambda t: "\n".join(f"- {w}" for w in t.split()),
+    ]
+    for change in changes:
+        told, marks = language.predict(model, pa.array([change(t) for t in plain]))
+        assert told == labels and np.abs(np.array(marks) - scores).max() < 0.15, marks
+        assert all(m >= 0.5 for m, s in zip(marks, scores) if s >= 0.6)

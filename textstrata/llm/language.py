@@ -7,6 +7,9 @@ the document's language as the label of each of its positions; what stands for
 ``no language`` is made up: random letters, characters of other scripts, and
 training texts with their characters in random order.
 
+Texts are read as their letters (and the marks on them), with one blank for
+whatever stands between: signs, digits and emoji are neither read nor pooled,
+so that quotes, bullets or dashes do not make a text look like no language.
 A text is read whole, in windows of ``WINDOW`` bytes. Each direction starts
 ``CONTEXT`` bytes outside its window, so that the window's positions are read
 with their surroundings (blanks beyond the text's ends). A document's
@@ -26,6 +29,7 @@ carried through, the added ones win a clash.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +46,53 @@ TRAIN_DOCS, HIDDEN, STEPS, BATCH, TRAIN_WINDOW = 250, 12, 450, 96, 64
 #: Bytes of a window, bytes read around it, windows read at once.
 WINDOW, CONTEXT, TOGETHER = 256, 16, 512
 UNKNOWN = "und"
-#: A-Z count as a-z; positions that are pooled: ASCII letters and all bytes of other characters.
+#: A-Z count as a-z; positions that are pooled: ASCII letters and all bytes of other letters (``letters_only`` leaves no other characters).
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[65:91] = LETTER[128:] = True
+BLANK = 32
 #: First and last letters of other scripts, for made-up text in no learned language.
 SCRIPTS = ((0x0391, 0x03C9), (0x0410, 0x044F), (0x05D0, 0x05EA), (0x0621, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E30), (0x3041, 0x30FA), (0x4E00, 0x9FA0), (0xAC00, 0xD7A3))
 
 
+def _code_points(raw: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Code points of the characters of two bytes or more that begin at ``lead``; valid UTF-8 is assumed, as Arrow strings have it."""
+    b = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int32)
+    first, tail = b[lead], [b[lead + k] & 0x3F for k in (1, 2, 3)]
+    two, three = (first & 0x1F) << 6 | tail[0], (first & 0x0F) << 12 | tail[0] << 6 | tail[1]
+    return np.where(first < 0xE0, two, np.where(first < 0xF0, three, (first & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+
+
+def letters_only(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with A-Z folded and each stretch of other characters than letters and marks as one blank; and whether a row has a letter."""
+    kept = LETTER[raw] & (raw < 128)
+    letter = kept.copy()
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        points, which = np.unique(_code_points(raw, lead), return_inverse=True)
+        kinds = np.array([unicodedata.category(chr(c))[0] for c in points.tolist()])
+        size = np.where(raw[lead] < 0xE0, 2, np.where(raw[lead] < 0xF0, 3, 4))
+        letter[lead] = (kinds == "L")[which]
+        read = (kinds == "L") | (kinds == "M")
+        for k in range(4):
+            own = size > k
+            kept[lead[own] + k] = read[which][own]
+    row_starts = np.zeros(len(raw) + 1, bool)
+    row_starts[offsets] = True
+    # the first of a stretch of others stays, as a blank
+    before = np.concatenate([[True], kept[:-1]]) | row_starts[:-1]
+    stays = kept | before
+    ahead = np.concatenate([[0], np.cumsum(stays)])
+    seen = np.concatenate([[0], np.cumsum(letter)])[offsets]
+    return np.where(kept, FOLD[raw], np.uint8(BLANK))[stays], ahead[offsets], np.diff(seen) > 0
+
+
+def _letters_of(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return letters_only(raw, np.array([0, len(raw)]))[0]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -221,7 +263,7 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, batch: int = BATCH, w
     made_up = " ".join(_no_language(rng, texts) for _ in range(400))
     joined = ["\n".join(dict.fromkeys(text for text, lang in rows if lang == label)) for label in labels]
     # blanks on both sides: a window may begin before the first text, as in reading; every third window is a short text between blanks
-    streams = [FOLD[np.frombuffer(b" " * window + t.encode() + b" " * window, np.uint8)] for t in [*joined, made_up]]
+    streams = [np.pad(_letters_of(t), window, constant_values=BLANK) for t in [*joined, made_up]]
 
     def draw():
         y = rng.integers(0, len(streams), batch)
@@ -237,8 +279,8 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, batch: int = BATCH, w
     return model
 
 
-def document_scores(model: ByteGru, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row, the mean probability of each class over its letters, and their number. Rows are raw[offsets[i]:offsets[i + 1]]."""
+def document_scores(model: ByteGru, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per row, the mean probability of each class over its letters. Rows are raw[offsets[i]:offsets[i + 1]], as ``letters_only`` gives them."""
     size = np.diff(offsets)
     windows = -(-size // WINDOW)
     row = np.repeat(np.arange(len(size)), windows)
@@ -248,21 +290,17 @@ def document_scores(model: ByteGru, raw: np.ndarray, offsets: np.ndarray) -> tup
         r, s = row[at : at + TOGETHER], start[at : at + TOGETHER]
         place = s[:, None] + np.arange(-CONTEXT, WINDOW + CONTEXT)
         inside = (place >= offsets[r][:, None]) & (place < offsets[r + 1][:, None])
-        x = np.where(inside, FOLD[raw[np.clip(place, 0, len(raw) - 1)]], np.uint8(32))
+        x = np.where(inside, raw[np.clip(place, 0, len(raw) - 1)], np.uint8(BLANK))
         mask = LETTER[x[:, CONTEXT : CONTEXT + WINDOW]].T
         sums = (model.read(x, CONTEXT) * mask[:, None]).sum(axis=0, dtype=np.float64).T
         np.add.at(total, r, sums)
         np.add.at(letters, r, mask.sum(axis=0))
-    return total / np.maximum(letters, 1)[:, None], letters
+    return total / np.maximum(letters, 1)[:, None]
 
 
 def predict(model: ByteGru, texts: pa.Array) -> tuple[list[str], list[float]]:
-    raw, offsets = text_buffers(texts)
-    mean, letters = document_scores(model, raw, offsets)
-    ascii_letters = np.concatenate(([0], np.cumsum(LETTER[raw] & (raw < 128))))[offsets]
-    plain = np.diff(ascii_letters) > 0
-    # bytes beyond ASCII may be signs only
-    seen = [bool(p) or (n > 0 and any(map(str.isalpha, texts[i].as_py()))) for i, (p, n) in enumerate(zip(plain, letters, strict=True))]
+    raw, offsets, seen = letters_only(*text_buffers(texts))
+    mean = document_scores(model, raw, offsets)
     known = mean[:, : len(model.labels)]
     best = known.argmax(axis=1)
     return [model.labels[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)], [float(min(1.0, known[i, b])) if seen[i] else 0.0 for i, b in enumerate(best)]
