@@ -190,9 +190,27 @@ def test_greedy_budget():
     assert gates.take_greedily([5, 10, 3], 9) == [True, False, True] and gates.take_greedily([0], -1) == [False]
 
 
-def test_quotes():
-    assert gates.quote_found("《法》第十五条 社会救助分为若干种", ["社会救助 分为若干种类。"])
-    assert not gates.quote_found("工资", ["工资"]) and not gates.quote_found("从未出现的一句话", ["别的文字"])
+def test_quotes(spark):
+    held = "社会救助 分为若干种类。"
+    rows = [
+        (1, "《法》第十五条 社会救助分为若干种", [held], True), (2, "工资", ["工资"], False), (3, "从未出现的一句话", ["别的文字"], False),
+        (4, "别的；社会救助分为若干；别的", [None, held], True), (5, "别的；社会救助分；别的", [held], False), (6, "《法》第十五条第一条", [held], True), (7, "《法》第十五条", [], False),
+        (8, None, [held], False), (9, "社会救助分为", None, False), (10, "《法》短。句", ["前《法》短。句后"], True), (11, "（第五条）《法》第五条之1分为若干种类", [held], True),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, quote string, texts array<string>")
+    got = {r.id: r.found for r in df.select("id", gates.quote_in_evidence(F.col("quote"), F.col("texts")).alias("found")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
+def test_slices_show_no_value():
+    text = "电话13800138000，又13900139000完"
+    r = redaction.redact_text(text)
+    for a in range(len(text) + 1):
+        for b in range(a, len(text) + 1):
+            part = redaction.slice_text(text, r["spans"], a, b)
+            assert not any(c.isdigit() for c in part.replace("_1]", "").replace("_2]", "")), part
+            assert part.count("[") == sum(a <= s["start"] < b for s in r["spans"])
+    assert redaction.slice_text(text, r["spans"], 5, 5) == ""
 
 
 def test_citation_window_stops():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 import pandas as pd
@@ -15,13 +16,14 @@ from .values import STATUS_LABELS
 CLAIMS = "struct<claims:array<struct<text:string,evidence_ids:array<string>>>,missing_facts:array<string>,conflicts:array<string>,repaired:boolean,error:string>"
 
 
+#: A whole in a code fence: the fence's first line, and the closing fence if there is one. A first line without an end leaves nothing.
+FENCED = re.compile(r"\A\s*```[^\n]*(?:\n|\Z)(.*?)(?:```)?\s*\Z", re.DOTALL)
+
+
 def unfenced(raw: str | None) -> str:
     """Without a code fence around the whole."""
-    text = (raw or "").strip()
-    if text.startswith("```"):
-        text = text.partition("\n")[2].rstrip()
-        text = text.removesuffix("```")
-    return text.strip()
+    fenced = FENCED.match(raw or "")
+    return (fenced[1] if fenced else raw or "").strip()
 
 
 def objects_in(text: str) -> list[dict]:
@@ -51,15 +53,14 @@ def parse_claims(raw: str | None) -> dict:
     """Claims of a model's answer; several objects are merged in order. ``error`` tells why there are none."""
     empty = {"claims": None, "missing_facts": None, "conflicts": None, "repaired": False}
     text = unfenced(raw)
-    if not text:
-        return empty | {"error": "empty"}
+    repaired = False
     try:
-        loaded, repaired = json.loads(text), False
+        loaded = json.loads(text or "[]")
         found = [x for x in (loaded if isinstance(loaded, list) else [loaded]) if isinstance(x, dict)]
     except json.JSONDecodeError:
         found, repaired = objects_in(text), True
     if not found:
-        return empty | {"repaired": repaired, "error": "no_object"}
+        return empty | {"repaired": repaired, "error": "no_object" if text else "empty"}
     merged = {k: [x for f in found if isinstance(f.get(k), list) for x in f[k]] for k in ("claims", "missing_facts", "conflicts")}
     claims = [{"text": c["text"], "evidence_ids": strings(c.get("evidence_ids"))} if isinstance(c, dict) and isinstance(c.get("text"), str) else None for c in merged["claims"]]
     lists = [strings(merged[k]) for k in ("missing_facts", "conflicts")]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrow import arrow_udf
 from .values import EMPTY_WORDS, FORMAL_TERMS, LEAST_SUBSTANCE, QUESTION_PHRASES
+from .wordgrams import best_stretch, ordered_grams
 
 #: Any Unicode white space; the ideographic space is one.
 BLANK = r"(?U)\s+"
@@ -125,27 +127,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _trigram_list(text: str) -> list[str]:
-    import re
-
-    return [p[i : i + 3] for w in re.findall(r"[^\W_]+", text.lower()) for p in [f"  {w} "] for i in range(len(p) - 2)]
-
-
 def best_extent(needle: str, text: str) -> float:
     """The needle's greatest trigram similarity to any run of the text's trigrams."""
-    wanted, seen = set(_trigram_list(needle)), _trigram_list(text)
-    places = [i for i, t in enumerate(seen) if t in wanted]
-    best = 0.0
-    for a, low in enumerate(places):
-        # only runs that begin and end with a wanted trigram can be best
-        run, shared, at = set(), 0, low
-        for high in places[a:]:
-            fresh = set(seen[at : high + 1]) - run
-            shared += len(fresh & wanted)
-            run |= fresh
-            at = high + 1
-            best = max(best, shared / (len(wanted) + len(run) - shared))
-    return best
+    return best_stretch(ordered_grams(text), np.unique(ordered_grams(needle)))
 
 
 @arrow_udf("double")

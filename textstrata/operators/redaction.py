@@ -78,13 +78,12 @@ redact = redact_udf()
 
 def slice_text(text: str, spans: list[dict], start: int, stop: int) -> str:
     """Redacted form of text[start:stop]: a placeholder belongs to the slice in which it starts, and no part of a value shows."""
-    out, at = [], start
-    for s in spans:
-        if s["stop"] > start and s["start"] < stop:
-            if s["start"] >= start:
-                out += [text[at : s["start"]], s["placeholder"]]
-            at = max(at, s["stop"])
-    return "".join([*out, text[at:stop]] if at < stop else out)
+    inside = [s for s in spans if start < s["stop"] and s["start"] < stop]
+    clipped = [(max(start, s["start"]), min(stop, s["stop"])) for s in inside]
+    marks = [s["placeholder"] * (s["start"] >= start) for s in inside]
+    borders = [start, *itertools.chain.from_iterable(clipped), max(start, stop)]
+    between = [text[a:b] for a, b in itertools.batched(borders, 2)]
+    return "".join(itertools.chain.from_iterable(itertools.zip_longest(between, marks, fillvalue="")))
 
 
 @arrow_udf("string")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import access, evaluation, search
+from ..operators import access, evaluation, search, wordsearch
 from .base import query, spark_rows, table, values
 
 FLAT = r"regexp_replace(text, '[\s\x{3000}]+', '', 'g')"
@@ -80,6 +80,33 @@ def kw_word_trigram(spark, d):
     return table(spark, d, "documents").select("doc_id", X.word_similarity(F.lit("thering that"), F.col("text")).alias("similarity"))
 
 
+PHRASES = [(1, "thering that"), (2, "stion of the"), (3, "zzzzzz"), (4, "de la"), (5, "schung und")]
+
+
+@query()
+def word_search(spark, d):
+    """All documents with a stretch like one of the phrases."""
+    return wordsearch.word_search(table(spark, d, "documents"), spark_rows(spark, PHRASES, "query_id long, q string"))
+
+
+NAMES = [(1, "small ring"), (2, "brass"), (3, "large steel polished")]
+
+
+def _ordered(c: str) -> str:
+    words = f"list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+
+
+@query(f"""WITH q AS (SELECT query_id::BIGINT AS query_id, list_distinct({_ordered('q')}) AS g FROM ({values(NAMES, 'query_id, q')})), t AS (SELECT p_partkey, {_ordered('p_name')} AS s FROM part),
+e AS (SELECT p_partkey, list_distinct(list_slice(s, a::BIGINT, b::BIGINT)) AS x FROM t, unnest(range(1, len(s) + 1)) AS u(a), unnest(range(1, len(s) + 1)) AS v(b) WHERE a <= b),
+l AS (SELECT query_id, p_partkey, max(len(list_intersect(x, g))::DOUBLE / (len(x) + len(g) - len(list_intersect(x, g)))) AS similarity FROM e, q GROUP BY 1, 2)
+SELECT query_id, p_partkey, round(similarity, 9) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, p_partkey) AS rank FROM l WHERE similarity >= 0.6 QUALIFY rank <= 31""")
+def word_search_names(spark, d):
+    """A top-k report over all part names: the 30 most like each phrase, and one more."""
+    top = wordsearch.ranked_word_search(table(spark, d, "part"), spark_rows(spark, NAMES, "query_id long, q string"), 30, text="p_name", key="p_partkey")
+    return top.select("query_id", "p_partkey", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id < 700 ORDER BY doc_id DESC LIMIT 25")
 def keyset_page(spark, d):
     """A page of 25 below a key."""
