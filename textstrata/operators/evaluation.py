@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerals import mentioned_articles
 from ..functions.text import flatten, short_title
 from ..functions.values import ABSTAINS, FLAGS
+from ..sources.commits import staged
 
 LOWER_IS_BETTER = ("forbidden_rate", "over_abstain_rate")
 
@@ -107,11 +110,57 @@ def case_problems(cases: DataFrame) -> DataFrame:
     return cases.withColumn("problems", problems).filter(F.size("problems") > 0).select("id", "problems")
 
 
+#: Parts of a quantile sketch, how far about a rank its range reaches, and spans that a range is counted by.
+SKETCH, MARGIN, SPANS = 1000, 0.002, 256
+
+
+def _selected(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(k, share, value) by range counts: the value of the rank in [low, high], or null if the rank lies outside. bounds: k and sought (share, rank, low, high)."""
+    placed = rows.join(bounds, "k").select("k", "v", F.explode(F.filter("sought", lambda s: F.col("v") <= s["high"])).alias("s"))
+    inside = F.col("v") >= F.col("s.low")
+    part = F.floor((F.col("v") - F.col("s.low")) / F.nullif(F.col("s.high") - F.col("s.low"), F.lit(0)) * SPANS)
+    # values below the range are one group; infinite ends leave no parts, which is right, if coarse
+    span = F.when(~inside, -1).when(F.col("v") == F.col("s.high"), SPANS).when(part.between(0, SPANS - 1), part).otherwise(0).cast("int")
+    counts = placed.select("k", "s.share", "s.rank", span.alias("span"), F.when(inside, F.col("v")).alias("v")).groupBy("k", "share", "rank", "span", "v").agg(F.count(F.lit(1)).alias("c"))
+    sums = counts.groupBy("k", "share", "rank", "span").agg(F.sum("c").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("k", "share").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    home = sums.withColumn("before", before).filter((F.col("before") < F.col("rank")) & (F.col("before") + F.col("c") >= F.col("rank")) & (F.col("span") >= 0)).select("k", "share", "span", "before")
+    so_far = F.col("before") + F.sum("c").over(Window.partitionBy("k", "share").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    told = counts.join(home, ["k", "share", "span"]).withColumn("so_far", so_far).filter(F.col("so_far") >= F.col("rank")).groupBy("k", "share").agg(F.min("v").alias("value"))
+    every = bounds.select("k", F.explode("sought").alias("s")).select("k", "s.share")
+    return every.join(told, ["k", "share"], "left")
+
+
+def order_statistics(rows: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """Per key k of rows (k, v) and share p: the exact value of rank ceil(p * n) (nearest rank; nulls don't count, NaN is the greatest), as (k, share, value).
+
+    Two passes: quantile sketches, which combine before their shuffle, give a range about each rank; then range counts find the rank: how many
+    values are below, how many are in each span of the range, and, of the one span that holds it, how often each value occurs. Only that
+    span's distinct values are ordered, so a key with all rows is no single task's work. A sketch may err: where the counts show that a rank
+    lies outside its range, it is sought among all values.
+    """
+    valid = rows.filter("v IS NOT NULL")
+    steps = F.array(*[F.lit(i / SKETCH) for i in range(SKETCH + 1)])
+    sketches = valid.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", steps, 10 * SKETCH).alias("cuts"), F.min("v").alias("least"), F.max("v").alias("most"))
+    cut = lambda i: F.get("cuts", F.lit(int(min(SKETCH, max(0, i)))))
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * p)).cast("long")
+    sought = [F.struct(F.lit(p).alias("share"), rank(p).alias("rank"), cut(math.floor((p - MARGIN) * SKETCH)).alias("low"), cut(math.ceil((p + MARGIN) * SKETCH)).alias("high")) for p in shares]
+    sketched = staged(sketches.select("k", F.array(*sought).alias("sought"), "least", "most"), "sketches")
+    found = staged(_selected(valid, sketched.select("k", "sought")), "ranks")
+    missed = found.filter("value IS NULL").select("k").distinct()
+    if missed.isEmpty():
+        return found
+    whole = F.transform("sought", lambda s: F.struct(s["share"].alias("share"), s["rank"].alias("rank"), F.col("least").alias("low"), F.col("most").alias("high")))
+    return found.join(missed, "k", "left_anti").unionByName(_selected(valid, sketched.join(missed, "k", "left_semi").select("k", whole.alias("sought"))))
+
+
 def percentiles(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """n, mean, nearest-rank p50 and p95, max."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    aggregates = [F.count(value).alias("n"), F.avg(value).alias("mean"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.max(value).alias("max")]
-    return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
+    """n, mean, nearest-rank p50 and p95, max, exact; without values n is 0 and the rest null."""
+    keyed = df.select(F.struct(*by).alias("k") if by else F.struct(F.lit(0).alias("all")).alias("k"), F.col(value).alias("v"))
+    aggregates = [F.count("v").alias("n"), F.avg("v").alias("mean"), F.max("v").alias("max")]
+    whole = keyed.groupBy("k").agg(*aggregates) if by else keyed.agg(*aggregates).withColumn("k", F.struct(F.lit(0).alias("all")))
+    ranks = order_statistics(keyed, (0.5, 0.95)).groupBy("k").agg(*[F.max(F.when(F.col("share") == p, F.col("value"))).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"))])
+    return whole.join(ranks, "k", "left").select(*[F.col(f"k.{b}").alias(b) for b in by], "n", "mean", "p50", "p95", "max")
 
 
 def stage_times(marks: DataFrame, run: str = "run_id", state: str = "state", ts: str = "ts", end: str = "total") -> DataFrame:

@@ -169,19 +169,26 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return out.orderBy("distance", key).limit(k)
 
 
+def _near_pairs(vectors: DataFrame, queries: DataFrame, key: str, vector: str, farthest: float | None) -> DataFrame:
+    """(query_id, key, distance) of a stated table of queries and all vectors; queries are broadcast in blocks of a bounded size."""
+    blocks = max(1, -(-queries.count() // 1000))
+    parts = [queries.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    near = reduce(DataFrame.unionAll, [vectors.join(F.broadcast(p)).select("query_id", key, cosine_distance(F.col(vector), F.col("query")).alias("distance")) for p in parts])
+    return near if farthest is None else near.filter(F.col("distance") <= farthest)
+
+
+def within_many(vectors: DataFrame, queries: DataFrame, farthest: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """All vectors within a distance of a stated table of queries (query_id, query): (query_id, key, distance)."""
+    return _near_pairs(vectors, queries, key, vector, farthest)
+
+
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", farthest: float | None = None) -> DataFrame:
     """Exact nearest neighbours of a stated table of queries (query_id, query), broadcast in blocks: (query_id, key, distance, rank).
 
     Each partition keeps its own k per query before the shuffle (the rank filter is pushed below it).
     """
-    n = queries.count()
-    blocks = max(1, -(-n // 1000))
-    parts = [queries.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    near = reduce(DataFrame.unionAll, [vectors.join(F.broadcast(p)).select("query_id", key, cosine_distance(F.col(vector), F.col("query")).alias("distance")) for p in parts])
-    if farthest is not None:
-        near = near.filter(F.col("distance") <= farthest)
     order = Window.partitionBy("query_id").orderBy("distance", key)
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _near_pairs(vectors, queries, key, vector, farthest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def cascade(primary: DataFrame, fallback: DataFrame, query: str = "query_id") -> DataFrame:

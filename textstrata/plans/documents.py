@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import gates, redaction, registered, structure
+from ..operators import evaluation, gates, redaction, registered, structure
 from ..sources import files
 from .base import query, table
 
@@ -128,3 +128,9 @@ def difference_ratio(spark, d):
     own = Window.partitionBy("source").orderBy("doc_id")
     pairs = table(spark, d, "documents").select(F.col("doc_id").alias("a"), F.col("text").alias("x"), F.lead("text").over(own).alias("y")).filter("y IS NOT NULL")
     return pairs.select("a", F.round(X.difference_ratio(F.col("x"), F.col("y")), 9).alias("ratio"))
+
+
+@query("""SELECT count(n_chars) AS n, avg(n_chars) AS mean, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS max FROM documents""")
+def length_percentiles(spark, d):
+    """Nearest-rank percentiles of all documents' lengths, under a single key."""
+    return evaluation.percentiles(table(spark, d, "documents"), "n_chars")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import access, evaluation, search, wordsearch
+from ..operators import access, evaluation, pivots, search, wordsearch
+from ..sources.commits import staged
 from .base import query, spark_rows, table, values
 
 FLAT = r"regexp_replace(text, '[\s\x{3000}]+', '', 'g')"
@@ -136,10 +137,30 @@ def knn_exact(spark, d):
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")).cast("long")).filter("rank <= 10")
 
 
+def _stage(df):
+    return staged(df, "nearest")
+
+
+@query(f"SELECT query_id, vec_id, round(x, 9) + 0.0 AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9), vec_id) AS rank FROM ({NEAR})) WHERE rank <= 10")
+def knn_pruned(spark, d):
+    """The same neighbours, without comparing blocks of vectors that the triangle inequality rules out."""
+    v, asked = _asked(spark, d)
+    found, _ = pivots.nearest_by_pivots(pivots.pivot_index(v, _stage), asked, 10, _stage)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"SELECT query_id, vec_id, round(x, 9) + 0.0 AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9), vec_id) AS rank FROM ({NEAR}) WHERE round(x, 9) <= 0.5) WHERE rank <= 5")
+def knn_pruned_threshold(spark, d):
+    """The five nearest within the greatest distance of a search; queries without any have no rows."""
+    v, asked = _asked(spark, d)
+    found, _ = pivots.nearest_by_pivots(pivots.pivot_index(v, _stage), asked, 5, _stage, farthest=search.FARTHEST)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"SELECT query_id, count(*) AS n FROM ({NEAR}) WHERE x <= 0.5 GROUP BY 1")
 def knn_threshold(spark, d):
     v, asked = _asked(spark, d)
-    return v.join(F.broadcast(asked)).filter(search.cosine_distance(F.col("embedding"), F.col("query")) <= search.FARTHEST).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return search.within_many(v, asked, search.FARTHEST).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 CASCADE = [(1, "the that"), (2, "zzzz"), (3, "qqqq，the")]
@@ -152,8 +173,11 @@ SELECT query_id, doc_id, 'primary' AS arm FROM p UNION ALL SELECT query_id, doc_
 def cascade(spark, d):
     docs = table(spark, d, "documents")
     asked = spark_rows(spark, CASCADE, "query_id int, q string").select("query_id", X.terms(F.col("q")).alias("terms"))
-    rest = docs.filter("lang = 'es'").select("doc_id").join(F.broadcast(asked.select("query_id")))
-    return search.cascade(search.keyword_many(docs, asked).select("query_id", "doc_id"), rest.select("query_id", "doc_id"))
+    found = search.keyword_many(docs, asked).select("query_id", "doc_id")
+    # the fallback runs for the queries without hits only: at most the stated three
+    missed = [r["query_id"] for r in asked.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id").collect()]
+    rest = docs.filter("lang = 'es'").select(F.explode(F.array(*map(F.lit, missed)).cast("array<int>")).alias("query_id"), "doc_id")
+    return search.cascade(found, rest)
 
 
 ARMS = """a AS (SELECT label AS query_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings),
