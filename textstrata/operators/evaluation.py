@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import time
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerals import mentioned_articles
@@ -199,3 +201,47 @@ def pinned_evidence(cases: DataFrame, provisions: DataFrame) -> DataFrame:
     """The provisions that the cases' (law, article) pairs name: a semi-join on both."""
     pairs = cases.select(F.explode("evidence").alias("e")).select("e.law", "e.article").distinct()
     return provisions.join(pairs, ["law", "article"], "left_semi")
+
+
+def concurrency(spark: SparkSession, request: Callable[[str], DataFrame], texts: list[str], levels: list[int], rounds: int = 3) -> list[dict]:
+    """Per level: requests, seconds, requests a second, and mean, p50 and p95 of their latencies in ms; ``rows`` is what all of them returned.
+
+    A level runs ``rounds`` rounds of that many requests at once, each a Spark job of its own in a scheduler pool of its own (they share the
+    executors evenly where spark.scheduler.mode is FAIR). Texts are taken in turn. A request that fails counts as an error and has no latency.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import InheritableThread
+
+    def one(text: str, pool: str) -> tuple[float | None, int]:
+        got: list = [None, 0]
+
+        def work() -> None:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+            begun = time.perf_counter()
+            try:
+                got[1] = request(text).count()
+                got[0] = time.perf_counter() - begun
+            except Exception:  # an unanswered request is a result of the measurement
+                got[0] = None
+
+        # a thread of its own, whose local properties are its own in the JVM, too
+        thread = InheritableThread(target=work)
+        thread.start()
+        thread.join()
+        return tuple(got)
+
+    out = []
+    for level in levels:
+        told, begun = [], time.perf_counter()
+        with ThreadPoolExecutor(level) as pool:
+            for r in range(rounds):
+                told += pool.map(lambda i, r=r: one(texts[(r * level + i) % len(texts)], f"level{level}-{i}"), range(level))
+        wall = time.perf_counter() - begun
+        times = sorted(t for t, _ in told if t is not None)
+        rank = lambda p: times[max(1, math.ceil(len(times) * p)) - 1] * 1000 if times else None  # noqa: E731, B023
+        out.append({
+            "level": level, "n": len(told), "errors": sum(t is None for t, _ in told), "seconds": wall, "per_second": len(told) / wall,
+            "mean_ms": sum(times) * 1000 / len(times) if times else None, "p50_ms": rank(0.5), "p95_ms": rank(0.95), "rows": sum(n for _, n in told),
+        })
+    return out

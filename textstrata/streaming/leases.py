@@ -1,4 +1,4 @@
-"""Rules of job leases and of signed-in sessions, for batches and streams."""
+"""Rules of job leases, of signed-in sessions and of the feed of a run, for batches and streams."""
 
 from __future__ import annotations
 
@@ -35,7 +35,7 @@ class Leases:
         state.update(status="failed" if state["attempts"] >= self.most else "retry_wait", owner=None, lease=None, available=at)
         return self._row(at, None, owner, "expire", "lease_expired", state)
 
-    def step(self, state: dict, at: int, seq: int, event: dict) -> dict:
+    def step(self, state: dict, at: int, seq: int, event: dict) -> list[dict]:
         worker, what = event.get("worker"), event.get("event")
         free = state["status"] in CLAIMABLE
         ready = free and (state["available"] is None or state["available"] <= at) and state["attempts"] < self.most
@@ -51,7 +51,7 @@ class Leases:
                 state.update(status="retry_wait", owner=None, lease=None, available=at + wait * 1000)
             else:
                 state.update(status={"complete": "succeeded", "cancel": "cancelled"}.get(what, "failed"), owner=None, lease=None)
-        return self._row(at, seq, worker, what, "applied" if applies else "refused", state)
+        return [self._row(at, seq, worker, what, "applied" if applies else "refused", state)]
 
 
 class Sessions:
@@ -79,7 +79,50 @@ class Sessions:
         state["start"] = None
         return {"start": pd.Timestamp(start, unit="ms"), "stop": pd.Timestamp(min(idle, age), unit="ms"), "n": n, "ended": "idle" if idle <= age else "age"}
 
-    def step(self, state: dict, at: int, seq: int, event: dict) -> None:
+    def step(self, state: dict, at: int, seq: int, event: dict) -> list[dict]:
         if state["start"] is None:
             state.update(start=at, n=0)
         state.update(last=at, n=state["n"] + 1)
+        return []
+
+
+class Feed:
+    """What a client that follows a run is told: ``state`` when it changes, and how it ends.
+
+    A terminal state is followed by ``answer`` and ``done``, a suspended one, in which the run waits for its user, by ``clarify`` and ``done``.
+    A run that has reached neither ``wait`` seconds after its first event ends with ``timeout``, put out by the clock; it may go on, untold.
+    Whatever comes after the end is not told. Events have ``state`` and ``detail``, which the answer or the clarifying question carries.
+    """
+
+    schema = "at timestamp, n int, event string, state string, detail string"
+
+    def __init__(self, terminal: tuple[str, ...], suspended: tuple[str, ...], wait: int = 600) -> None:
+        self.terminal, self.suspended, self.wait = terminal, suspended, wait * 1000
+
+    def start(self) -> dict:
+        return {"begun": None, "state": None, "n": 0, "over": False}
+
+    def due(self, state: dict) -> int | None:
+        return None if state["over"] or state["begun"] is None else state["begun"] + self.wait
+
+    def _told(self, state: dict, at: int, event: str, detail: str | None = None) -> dict:
+        state["n"] += 1
+        return {"at": pd.Timestamp(at, unit="ms"), "n": state["n"], "event": event, "state": state["state"], "detail": detail}
+
+    def expire(self, state: dict) -> dict:
+        state["over"] = True
+        return self._told(state, self.due(state | {"over": False}), "timeout")
+
+    def step(self, state: dict, at: int, seq: int, event: dict) -> list[dict]:
+        if state["over"]:
+            return []
+        if state["begun"] is None:
+            state["begun"] = at
+        now, out = event.get("state"), []
+        if now != state["state"]:
+            state["state"] = now
+            out.append(self._told(state, at, "state"))
+        if now in self.terminal or now in self.suspended:
+            state["over"] = True
+            out += [self._told(state, at, "answer" if now in self.terminal else "clarify", event.get("detail")), self._told(state, at, "done")]
+        return out

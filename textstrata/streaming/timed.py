@@ -1,7 +1,7 @@
 """Folds over a key's events in event time, with what falls due by itself between them: as a batch, and as a stream with timers.
 
-A machine holds the rules: ``start()`` is a key's first state, ``step(state, at, seq, event)`` changes the state by an event and returns an output
-row or none, ``due(state)`` is the time (ms) at which something happens without an event, or none, and ``expire(state)`` does it and returns its
+A machine holds the rules: ``start()`` is a key's first state, ``step(state, at, seq, event)`` changes the state by an event and returns its output
+rows, ``due(state)`` is the time (ms) at which something happens without an event, or none, and ``expire(state)`` does it and returns its
 row. Whatever is due before an event, or before the time that a run is brought up to, happens first. States are JSON objects.
 
 Batch: one shuffle by key, rows streamed in order with one state in memory; a key's events are never held together. Stream: events wait in the
@@ -29,9 +29,7 @@ def advance(machine, state: dict, rows, until: float) -> Iterator[dict]:
     for at, seq, event in rows:
         while (due := machine.due(state)) is not None and due < at:
             yield machine.expire(state)
-        out = machine.step(state, at, seq, event)
-        if out is not None:
-            yield out
+        yield from machine.step(state, at, seq, event)
     while (due := machine.due(state)) is not None and due < until:
         yield machine.expire(state)
 
