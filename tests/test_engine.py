@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textstrata.functions import output
-from textstrata.operators import conversation, evaluation, search
+from textstrata.operators import conversation, evaluation, retrievers, search
 from textstrata.sources import files
 from textstrata.streaming import jobs
 
@@ -31,13 +31,30 @@ def test_one_search_takes_one_path(spark, corpus):
 def test_retriever_matrix_and_metrics(spark, corpus):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.1, 1.0]), (4, [-1.0, 0.0])], "doc_id long, embedding array<double>")
     asked = spark.createDataFrame([(1, "社会保险怎么算", [0.0, 1.0]), (2, "没有这个词", [1.0, 0.0])], "query_id int, q string, query array<double>")
-    got = search.retriever_matrix(corpus, asked, vectors, k=2)
-    assert set(got) == {"keyword_original", "keyword_normalized", "keyword_stripped", "vector", "hybrid", "cascade"}
-    assert {(r.query_id, r.doc_id) for r in got["keyword_stripped"].collect()} == {(1, 2), (1, 3)}
-    assert {(r.query_id, r.doc_id) for r in got["cascade"].collect()} == {(1, 2), (1, 3), (2, 1), (2, 3)}
+    edges = spark.createDataFrame([(2, 4), (3, 2), (3, 1), (3, 3)], "source long, target long")
+    got = retrievers.matrix(corpus, asked, 2, vectors, edges, lambda pairs: [float(len(t)) for _, t in pairs])
+    keyword = {f"keyword:{s}" for s in ("substring_raw", "substring_flat", "all_terms_flat", "trigram", "word_trigram", "all_terms_flat+norm", "all_terms_flat+strip", "all_terms_flat+expand")}
+    assert set(got) == keyword | {"vector", "hybrid", "cascade", "graph", "hybrid+rerank", "cascade+rerank"}
+    pairs = lambda name: [(r.query_id, r.doc_id) for r in got[name].orderBy("query_id", "rank").collect()]
+    assert pairs("keyword:all_terms_flat") == [] and sorted(pairs("keyword:all_terms_flat+strip")) == [(1, 2), (1, 3)]
+    assert sorted(pairs("cascade")) == [(1, 2), (1, 3), (2, 1)]
+    assert all(r["rank"] <= 2 for name in got for r in got[name].collect())
+    text = {r.doc_id: r.text for r in corpus.collect()}
+    assert [i for q, i in pairs("cascade+rerank") if q == 1] == sorted((2, 3), key=lambda i: -len(text[i]))
     wanted = spark.createDataFrame([(1, 3), (1, 4), (2, 1)], "query_id int, doc_id long")
     m = evaluation.retrieval_metrics(evaluation.query_scores(got["cascade"], wanted)).first()
     assert (m.n_scored, round(m.recall, 4), round(m.mrr, 4)) == (2, 0.6667, 1.0) and m.recall_at_1 == 0.75
+    seeds = spark.createDataFrame([(1, 3, 1), (1, 2, 2)], "query_id int, doc_id long, rank int")
+    assert [r.doc_id for r in retrievers.with_neighbours(seeds, edges, 4, "doc_id").orderBy("rank").collect()] == [3, 2, 1, 4]
+
+    def retrieve(i, q):
+        if i == 9:
+            raise ValueError
+        return corpus.filter(F.contains("text", F.lit(q))).orderBy("doc_id")
+
+    hits, runs = retrievers.measured(retrieve, [(1, "社会"), (9, "x")], 5)
+    m = evaluation.retrieval_metrics(evaluation.query_scores(spark.createDataFrame(hits, "query_id int, doc_id long, rank int"), wanted), spark.createDataFrame(runs, "query_id int, elapsed_ms double, error boolean")).first()
+    assert (m.queries, m.errors, m.n_scored) == (2, 1, 2) and m.avg_ms > 0 and {h[0] for h in hits} == {1}
 
 
 def test_generator_may_be_away(spark):

@@ -75,6 +75,18 @@ def stale_pages(citations: DataFrame) -> DataFrame:
     return citations.select("page_id", why.alias("why")).filter("why IS NOT NULL").groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("why")), "；").alias("reason"))
 
 
+def published_citations(pages: DataFrame, revisions: DataFrame, citations: DataFrame, provisions: DataFrame, identities: DataFrame, versions: DataFrame, instruments: DataFrame) -> DataFrame:
+    """What the published revision of each page cites, as ``stale_pages`` takes it; drafts and older revisions don't count.
+
+    pages: page_id, published_revision (null: none); revisions: revision_id, page_id, number; citations: revision_id, provision_id, snapshot_sha;
+    provisions: provision_id, identity_id, version_id, current_sha; identities: identity_id, provision_number; versions: version_id, instrument_id,
+    legal_status; instruments: instrument_id, title.
+    """
+    shown = pages.withColumnRenamed("published_revision", "number").join(revisions, ["page_id", "number"])
+    cited = shown.join(citations, "revision_id").join(provisions, "provision_id").join(identities, "identity_id").join(versions, "version_id").join(instruments, "instrument_id")
+    return cited.select("page_id", F.concat_ws(" ", "title", "provision_number").alias("place"), "legal_status", "current_sha", "snapshot_sha")
+
+
 def flag_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """What to write: pages to flag (new or other reason) and to clear. Both: page_id, reason."""
     both = old.select("page_id", F.col("reason").alias("was")).join(new.select("page_id", "reason"), "page_id", "full")

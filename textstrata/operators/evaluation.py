@@ -28,16 +28,22 @@ def query_scores(hits: DataFrame, expected: DataFrame, query: str = "query_id",
     return both.withColumn("rr", F.coalesce(1 / F.col("first_rank"), F.lit(0.0))).withColumn("recall", F.when(F.col("n_expected") > 0, F.col("found") / F.col("n_expected")))
 
 
-def retrieval_metrics(scores: DataFrame) -> DataFrame:
-    """Micro recall, precision over what was returned, macro MRR; recall_at_1 counts a query's recall if its first hit ranks first."""
+def retrieval_metrics(scores: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Micro recall, precision over what was returned, macro MRR; recall_at_1 counts a query's recall if its first hit ranks first.
+
+    With ``runs`` (query_id, elapsed_ms, error), also the queries asked, those that failed, and the mean of their times; a query that neither
+    expects nor returns anything has no scores, but a run.
+    """
     scored = F.col("n_expected") > 0
     only = lambda c: F.when(scored, c)
     ratio = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b))
-    return scores.agg(
+    told = scores.agg(
         F.count_if(scored).alias("n_scored"), ratio(only(F.col("found")), only(F.col("n_expected"))).alias("recall"), ratio(only(F.col("found")), only(F.col("n_returned"))).alias("precision"),
         ratio(only(F.col("found_5")), only(F.col("n_expected"))).alias("recall_at_5"), ratio(only(F.col("found_5")), only(F.col("returned_5"))).alias("precision_at_5"), ratio(only(F.col("found_10")), only(F.col("returned_10"))).alias("precision_at_10"),
         F.avg(only(F.when(F.col("first_rank") == 1, F.col("recall")).otherwise(0.0))).alias("recall_at_1"), F.avg(only(F.col("rr"))).alias("mrr"), F.count_if(~scored & (F.col("n_returned") > 0)).alias("false_positives"),
     )
+    # two single rows
+    return told if runs is None else told.crossJoin(runs.agg(F.count(F.lit(1)).alias("queries"), F.count_if("error").alias("errors"), F.avg("elapsed_ms").alias("avg_ms")))
 
 
 def _any(c: Column, words: list[str]) -> Column:

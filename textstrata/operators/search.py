@@ -252,15 +252,3 @@ def search_one(corpus: DataFrame, q: Query, vectors: DataFrame | None = None, en
         return found, "none"
     near = nearest(vectors.join(rows.select(key), key, "left_semi"), encode(q.semantic), q.limit + 1, key, farthest=FARTHEST)
     return near.join(rows, key).orderBy("distance", key), "vector"
-
-
-def retriever_matrix(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, k: int = 20, key: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
-    """Ranked lists (query_id, key, rank) of every retriever for a table of queries (query_id, q, and query if there are vectors)."""
-    cut = lambda df: df.filter(F.col("rank") <= k).select("query_id", key, "rank")
-    rewritten = {"original": F.col("q"), "normalized": X.normalize_query(F.col("q")), "stripped": X.strip_phrases(X.normalize_query(F.col("q")))}
-    out = {f"keyword_{name}": cut(keyword_many(docs, queries.select("query_id", X.terms(c).alias("terms")), text, key, k)) for name, c in rewritten.items()}
-    if vectors is not None:
-        out["vector"] = cut(nearest_many(vectors, queries.select("query_id", "query"), k, key))
-        out["hybrid"] = cut(fuse([out["keyword_stripped"], out["vector"]], key))
-        out["cascade"] = cascade(out["keyword_stripped"], out["vector"]).drop("arm")
-    return out

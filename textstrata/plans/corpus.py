@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.values import ROLES
 from ..operators import access, citations, conversation, corpus, evaluation, gates, mutation, search
 from .base import query, table, values
 
@@ -41,6 +43,13 @@ def search_unreadable_article(spark, d):
     return search.filtered(rows, search.Query(article="第87条")).select("version_id", "legal_status")
 
 
+@query(f"WITH {VERSIONS} SELECT version_id, legal_status FROM v WHERE version_id % 100 = 87 AND legal_status <> 'not_yet_effective'")
+def search_readable_article(spark, d):
+    """The same search with an article number that can be read, in either script."""
+    rows = _versions(spark, d).withColumn("provision_number", (F.col("version_id") % 100).cast("string"))
+    return search.filtered(rows, search.Query(article="第八十七条")).select("version_id", "legal_status")
+
+
 @query("""WITH g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)
 SELECT doc_id FROM documents d WHERE source <> 'src0' OR EXISTS (SELECT 1 FROM g WHERE g.doc_id = d.doc_id)""")
 def search_scoped(spark, d):
@@ -160,6 +169,27 @@ def staleness_diff(spark, d):
     return corpus.flag_changes(old, _stale(spark, d))
 
 
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS number FROM orders),
+p AS (SELECT c_custkey AS page_id, c_nationkey % 3 + 1 AS published FROM customer),
+c AS (SELECT p.page_id, r_name || ' ' || p_size AS place, n_regionkey = 2 AS gone, sha256(p_name) AS now, CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_linenumber % 3 = 0 THEN sha256('x') ELSE sha256(p_name) END AS snap
+  FROM p JOIN r ON r.o_custkey = p.page_id AND r.number = p.published JOIN lineitem ON l_orderkey = r.o_orderkey JOIN part ON p_partkey = l_partkey JOIN nation ON n_nationkey = p_size % 25 JOIN region ON r_regionkey = n_regionkey),
+w AS (SELECT page_id, CASE WHEN gone THEN place || ' 所在版本已被取代' WHEN snap <> now THEN place || ' 正文已变更' END AS why FROM c)
+SELECT page_id, string_agg(DISTINCT why, '；' ORDER BY why) AS reason FROM w WHERE why IS NOT NULL GROUP BY 1""")
+def published_staleness(spark, d):
+    """Stale pages by their published revisions alone: customers are pages, their orders revisions, line items citations, parts provisions, nations versions."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    revisions = table(spark, d, "orders").select(F.col("o_orderkey").alias("revision_id"), F.col("o_custkey").alias("page_id"), F.row_number().over(own).alias("number"))
+    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), (F.col("c_nationkey") % 3 + 1).alias("published_revision"))
+    part = table(spark, d, "part")
+    provisions = part.select(F.col("p_partkey").alias("provision_id"), F.col("p_partkey").alias("identity_id"), (F.col("p_size") % 25).alias("version_id"), F.sha2("p_name", 256).alias("current_sha"))
+    snapshot = F.when(F.col("l_linenumber") % 4 == 0, F.lit(None)).when(F.col("l_linenumber") % 3 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("p_name", 256))
+    cited = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("revision_id"), F.col("l_partkey").alias("provision_id"), snapshot.alias("snapshot_sha"))
+    identities = part.select(F.col("p_partkey").alias("identity_id"), F.col("p_size").cast("string").alias("provision_number"))
+    versions = table(spark, d, "nation").select(F.col("n_nationkey").alias("version_id"), F.col("n_regionkey").alias("instrument_id"), F.when(F.col("n_regionkey") == 2, "repealed").otherwise("effective").alias("legal_status"))
+    instruments = table(spark, d, "region").select(F.col("r_regionkey").alias("instrument_id"), F.col("r_name").alias("title"))
+    return corpus.stale_pages(corpus.published_citations(pages, revisions, cited, provisions, identities, versions, instruments))
+
+
 EDGES = "e AS (SELECT DISTINCT l_partkey AS source, l_suppkey AS target_identity FROM lineitem WHERE l_partkey <> l_suppkey)"
 
 
@@ -342,9 +372,17 @@ def review_decisions(spark, d):
     return corpus.reviewed(v, wanted).select("version_id", "decision", "outcome")
 
 
-@query(values([("reader", "document.download,document.read,wiki.read"), ("nobody", ""), ("both", "audit.read,document.download,document.read,document.write,wiki.read,wiki.write")], "user_id, permissions"))
+HELD = ["reader", "editor", "legal_reviewer", "knowledge_admin", "system_admin", "auditor", "guest"]
+
+
+@query(f"""WITH g(role, p) AS (VALUES {', '.join(f"('{r}', '{p}')" for r, granted in ROLES.items() for p in granted)}),
+u AS (SELECT c_custkey AS user_id, unnest([c_custkey % 7, c_nationkey % 5 + 2]) AS i FROM customer), n AS (SELECT user_id, {HELD}[(i + 1)::INT] AS role FROM u)
+SELECT user_id, coalesce(string_agg(DISTINCT p, ',' ORDER BY p), '') AS permissions FROM n LEFT JOIN g USING (role) GROUP BY 1""")
 def role_permissions(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('reader', 'reader'), ('nobody', 'guest'), ('both', 'editor'), ('both', 'auditor') AS t(user_id, role)")
+    """What each customer may do under two roles, which may be one, or unknown."""
+    held = F.array(*map(F.lit, HELD))
+    roles = F.array_distinct(F.array(F.get(held, (F.col("c_custkey") % 7).cast("int")), F.get(held, F.col("c_nationkey") % 5 + 2)))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.explode(roles).alias("role"))
     return access.permissions(rows).select("user_id", F.array_join("permissions", ",").alias("permissions"))
 
 

@@ -144,13 +144,16 @@ def numbering_gaps(spark, d):
     return corpus.numbering_gaps(l)
 
 
-PATHS = [(1, "part", "一"), (2, "chapter", "甲"), (3, "article", "1"), (4, None, None), (5, "chapter", "乙"), (6, None, None), (7, "article", "2"), (8, "part", "二"), (9, "article", "3")]
-
-
-@query(values([(1, "一", None, None), (2, "一", "甲", None), (3, "一", "甲", "1"), (4, "一", "甲", "1"), (5, "一", "乙", None), (6, "一", "乙", None), (7, "一", "乙", "2"), (8, "二", None, None), (9, "二", None, "3")], "ordinal, part, chapter, article"))
+@query("""WITH b AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ordinal, l_returnflag AS f, l_partkey::VARCHAR AS label FROM lineitem),
+n AS (SELECT *, count(*) FILTER (f = 'A') OVER o AS in_part, count(*) FILTER (f IN ('A', 'N')) OVER o AS in_chapter, last_value(CASE WHEN f = 'A' THEN label END IGNORE NULLS) OVER o AS part FROM b WINDOW o AS (PARTITION BY doc ORDER BY ordinal))
+SELECT doc, ordinal, part, last_value(CASE WHEN f = 'N' THEN label END IGNORE NULLS) OVER (PARTITION BY doc, in_part ORDER BY ordinal) AS chapter,
+  last_value(CASE WHEN f = 'R' AND label::BIGINT % 2 = 0 THEN label END IGNORE NULLS) OVER (PARTITION BY doc, in_chapter ORDER BY ordinal) AS article FROM n""")
 def inherited_paths(spark, d):
-    rows = spark_rows(spark, [(1, *r) for r in PATHS], "doc int, ordinal int, level string, label string")
-    return corpus.inherited_paths(rows, ["part", "chapter", "article"]).select("ordinal", "part", "chapter", "article")
+    """Line items as blocks of orders: flags are levels (some are none), and a level holds until an outer one begins."""
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    level = F.when(F.col("l_returnflag") == "A", "part").when(F.col("l_returnflag") == "N", "chapter").when(F.col("l_partkey") % 2 == 0, "article")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(own).cast("long").alias("ordinal"), level.alias("level"), F.col("l_partkey").cast("string").alias("label"))
+    return corpus.inherited_paths(rows, ["part", "chapter", "article"]).select("doc", "ordinal", "part", "chapter", "article")
 
 
 def _tree(spark, d):
@@ -205,11 +208,20 @@ def import_registration(spark, d):
     return files.registration(files.accepted(incoming), known, F.lit("2026-01-01").cast("timestamp"))["jobs"].select("sha256", "idempotency_key")
 
 
-@query(values([("a", "evidence_not_in_corpus"), ("b", "fact_not_in_expected_text")], "id, problem"))
+@query("""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS k, l_partkey + CASE WHEN l_linenumber = 3 THEN 1000000000 ELSE 0 END AS article FROM lineitem),
+m AS (SELECT DISTINCT id, 'evidence_not_in_corpus' AS problem FROM l WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = article)),
+x AS (SELECT id, p_name FROM l JOIN part ON p_partkey = article WHERE k <= 2),
+c AS (SELECT DISTINCT id, ['small', 'steel', 'ring', 'zzz'][(id % 4 + 1)::INT] AS fact FROM l),
+f AS (SELECT id, 'fact_not_in_expected_text' AS problem FROM c WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.id = c.id AND contains(lower(p_name), fact)))
+SELECT * FROM m UNION ALL SELECT * FROM f""")
 def gold_corpus_problems(spark, d):
-    pair = "array<struct<law:string,article:string>>"
-    cases = spark_rows(spark, [("a", [("L", "9")], [("L", "1")], ["八 小时"]), ("b", [("L", "1")], [("L", "1")], ["十小时"])], f"id string, evidence {pair}, expect {pair}, facts array<string>")
-    return evaluation.corpus_problems(cases, spark_rows(spark, [("L", "1", "每日八小时")], "law string, article string, text string"))
+    """Orders as cases: their line items are evidence, the first two the expected ones, and one word is a fact; parts are the corpus."""
+    part = table(spark, d, "part").select(F.lit("L").alias("law"), F.col("p_partkey").cast("string").alias("article"), F.lower("p_name").alias("text"))
+    article = (F.col("l_partkey") + F.when(F.col("l_linenumber") == 3, 1_000_000_000).otherwise(0)).cast("string")
+    named = F.struct(F.lit("L").alias("law"), article.alias("article"))
+    cases = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(named).alias("evidence"), F.collect_list(F.when(F.col("l_linenumber") <= 2, named)).alias("expect"))
+    fact = F.get(F.array(*map(F.lit, ["small", "steel", "ring", "zzz"])), (F.col("id") % 4).cast("int"))
+    return evaluation.corpus_problems(cases.withColumn("facts", F.array(fact)), part)
 
 
 @query("""SELECT source, doc_id, n FROM (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) AS r FROM documents) WHERE r = 1""")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import access, evaluation, pivots, search, wordsearch
+from ..operators import access, evaluation, pivots, retrievers, search, wordsearch
 from ..sources.commits import staged
 from .base import query, spark_rows, table, values
 
@@ -218,3 +220,23 @@ def retrieval_metrics(spark, d):
     wanted = labels.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(labels.filter("vec_id % 5 = 0"), "label").filter("query_id <> vec_id")
     m = evaluation.retrieval_metrics(evaluation.query_scores(hits, wanted, key="vec_id"))
     return m.select("n_scored", *[F.round(c, 9).alias(c) for c in m.columns if c not in ("n_scored", "false_positives")], "false_positives")
+
+
+ASKED = [(1, "the that"), (2, "thering, with"), (3, "zzzz"), (4, "de la")]
+
+
+@query(f"""WITH q AS ({values(ASKED, 'query_id, q')}), n AS (SELECT query_id, q, regexp_replace(q, '[\\s，,、；;：:]+', '', 'g') AS b FROM q),
+v AS (SELECT query_id, unnest(list_distinct([q, b])) AS q FROM n), t AS (SELECT query_id, list_filter(string_split_regex(q, '[\\s，、；;]+'), lambda x: x <> '') AS terms FROM q),
+w AS (SELECT query_id, CASE WHEN v.q = n.q THEN 0 ELSE 1 END AS variant, list_filter(string_split_regex(v.q, '[\\s，、；;]+'), lambda x: x <> '') AS terms FROM v JOIN n USING (query_id)),
+f AS (SELECT doc_id, text, {FLAT} AS f FROM documents),
+a AS (SELECT 'keyword:substring_raw' AS retriever, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY length(f), doc_id) AS rank FROM f, q WHERE contains(text, q)
+ UNION ALL SELECT 'keyword:substring_flat', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY length(f), doc_id) FROM f, q WHERE contains(f, replace(q, ' ', ''))
+ UNION ALL SELECT 'keyword:all_terms_flat', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY length(f), doc_id) FROM f, t WHERE len(list_filter(terms, lambda x: NOT contains(f, x))) = 0),
+l AS (SELECT query_id, variant, doc_id, row_number() OVER (PARTITION BY query_id, variant ORDER BY length(f), doc_id) AS rank FROM f, w WHERE len(list_filter(terms, lambda x: NOT contains(f, x))) = 0),
+m AS (SELECT query_id, doc_id, min((variant, rank)) AS spot FROM l WHERE rank <= 60 GROUP BY 1, 2)
+SELECT * FROM a WHERE rank <= 20 UNION ALL SELECT 'keyword:all_terms_flat+norm', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY spot, doc_id) AS rank FROM m QUALIFY rank <= 20""")
+def retriever_matrix(spark, d):
+    """Lists of at most 20 by the keyword retrievers that SQL can restate; the others are tested on fixed rows."""
+    lists = retrievers.matrix(table(spark, d, "documents"), spark_rows(spark, ASKED, "query_id int, q string"), 20)
+    shown = ["keyword:substring_raw", "keyword:substring_flat", "keyword:all_terms_flat", "keyword:all_terms_flat+norm"]
+    return reduce(lambda a, b: a.unionByName(b), [lists[n].select(F.lit(n).alias("retriever"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank")) for n in shown])
