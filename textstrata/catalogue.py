@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import base, computed, corpus, documents, golden, relations, retrieval, services, streams, transactions
+from .plans import base, checks, computed, corpus, documents, golden, relations, retrieval, services, streams, transactions
 
-__all__ = ["computed", "corpus", "documents", "golden", "oracle_sql", "queries", "relations", "retrieval", "services", "streams", "transactions"]
+__all__ = ["checks", "computed", "corpus", "documents", "golden", "oracle_sql", "queries", "relations", "retrieval", "services", "streams", "transactions"]
 
 
 def queries() -> dict[str, base.Query]:

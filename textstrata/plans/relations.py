@@ -211,7 +211,7 @@ def import_registration(spark, d):
 @query("""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS k, l_partkey + CASE WHEN l_linenumber = 3 THEN 1000000000 ELSE 0 END AS article FROM lineitem),
 m AS (SELECT DISTINCT id, 'evidence_not_in_corpus' AS problem FROM l WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = article)),
 x AS (SELECT id, p_name FROM l JOIN part ON p_partkey = article WHERE k <= 2),
-c AS (SELECT DISTINCT id, ['small', 'steel', 'ring', 'zzz'][(id % 4 + 1)::INT] AS fact FROM l),
+c AS (SELECT DISTINCT id, ['red', 'bolt', 'widget', 'zzz'][(id % 4 + 1)::INT] AS fact FROM l),
 f AS (SELECT id, 'fact_not_in_expected_text' AS problem FROM c WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.id = c.id AND contains(lower(p_name), fact)))
 SELECT * FROM m UNION ALL SELECT * FROM f""")
 def gold_corpus_problems(spark, d):
@@ -220,7 +220,7 @@ def gold_corpus_problems(spark, d):
     article = (F.col("l_partkey") + F.when(F.col("l_linenumber") == 3, 1_000_000_000).otherwise(0)).cast("string")
     named = F.struct(F.lit("L").alias("law"), article.alias("article"))
     cases = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(named).alias("evidence"), F.collect_list(F.when(F.col("l_linenumber") <= 2, named)).alias("expect"))
-    fact = F.get(F.array(*map(F.lit, ["small", "steel", "ring", "zzz"])), (F.col("id") % 4).cast("int"))
+    fact = F.get(F.array(*map(F.lit, ["red", "bolt", "widget", "zzz"])), (F.col("id") % 4).cast("int"))
     return evaluation.corpus_problems(cases.withColumn("facts", F.array(fact)), part)
 
 

@@ -92,7 +92,7 @@ def word_search(spark, d):
     return wordsearch.word_search(table(spark, d, "documents"), spark_rows(spark, PHRASES, "query_id long, q string"))
 
 
-NAMES = [(1, "small ring"), (2, "brass"), (3, "large steel polished")]
+NAMES = [(1, "red widgets"), (2, "bolt"), (3, "blue gadge"), (4, "zzz")]
 
 
 def _ordered(c: str) -> str:
