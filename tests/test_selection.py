@@ -5,10 +5,8 @@ import random
 
 import numpy as np
 import pytest
-from compare import compare
 from pyspark.sql import functions as F
 
-from textstrata.catalogue import oracle_sql, queries
 from textstrata.operators import evaluation, pivots
 from textstrata.sources.commits import staged
 
@@ -92,9 +90,3 @@ def test_pruned_neighbours_of_nothing(spark):
     assert pivots.nearest_by_pivots(pivots.pivot_index(empty, stage), asked, 3, stage)[0].count() == 0
     assert pivots.nearest_by_pivots(pivots.pivot_index(one, stage), asked.limit(0), 3, stage)[0].count() == 0
     assert [tuple(x) for x in pivots.nearest_by_pivots(pivots.pivot_index(one, stage), asked, 3, stage)[0].collect()] == [(1, 1, 0.0, 1)]
-
-
-@pytest.mark.parametrize("name", ["knn_pruned", "knn_pruned_threshold", "knn_threshold", "cascade", "latency_percentiles", "length_percentiles"])
-def test_matches_sql(spark, sf, name):
-    said = compare(spark, sf, name, queries()[name], oracle_sql()[name])
-    assert said.startswith("ok"), said

@@ -4,10 +4,8 @@ import json
 import os
 
 import pytest
-from compare import compare
 from pyspark.sql import functions as F
 
-from textstrata.catalogue import oracle_sql, queries
 from textstrata.operators import evaluation, judging
 from textstrata.sources import formats
 from textstrata.streaming import jobs, timed
@@ -125,9 +123,3 @@ def test_feed_of_a_stream_is_written_as_events(spark, tmp_path):
     writer.commit([message, None], 4)
     writer.commit([writer.write(iter([spark.createDataFrame([("done", 2)], "event string, n int").first()]))], 4)
     assert os.listdir(f"{tmp_path}/again/batch=4") == ["part-00000.sse"] and open(f"{tmp_path}/again/batch=4/part-00000.sse").read() == 'event: done\ndata: {"n": 2}\n\n'
-
-
-@pytest.mark.parametrize("name", ["feed_events", "feed_events_streaming", "claim_reviews", "concurrency_levels"])
-def test_matches_sql(spark, sf, name):
-    said = compare(spark, sf, name, queries()[name], oracle_sql()[name])
-    assert said.startswith("ok"), said

@@ -6,9 +6,8 @@ import time
 
 import numpy as np
 import pytest
-from compare import compare
 
-from textstrata.catalogue import oracle_sql, queries
+from textstrata.catalogue import queries
 from textstrata.functions.wordgrams import best_stretch, ordered_grams
 from textstrata.operators import wordsearch
 
@@ -91,9 +90,7 @@ def test_queries_in_blocks(spark, monkeypatch):
     assert sorted((x.query_id, x.doc_id) for x in got) == [(i, i) for i in range(7)]
 
 
-def test_query_by_brute_force_and_sql(spark, sf):
-    said = compare(spark, sf, "names", queries()["word_search_names"], oracle_sql()["word_search_names"])
-    assert said.startswith("ok"), said
+def test_query_by_brute_force(spark, sf):
     found = queries()["word_search"](spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 400").collect()}
     from textstrata.plans.retrieval import PHRASES

@@ -141,14 +141,18 @@ def linked_versions(landings: DataFrame) -> dict[str, DataFrame]:
     so a rerun, or a relink from stored chunks, gives the same tree.
     """
     keyed = landings.withColumn("instrument_id", F.sha2(F.concat_ws("\x1f", "jurisdiction", "title"), 256)).withColumn("version_id", F.sha2(F.concat_ws("\x1f", "jurisdiction", "title", "version_label"), 256))
-    best = best_artifact(keyed, "version_id")
+    # texts take no part in the ranking: only those of the best artifacts are fetched
+    best = best_artifact(keyed.drop("articles"), "version_id")
     known = keyed.groupBy("version_id").agg(
         F.min("promulgated_on").alias("promulgated_on"), F.min("effective_from").alias("effective_from"),
         F.coalesce(F.max(F.when(F.col("legal_status") != "unknown", F.col("legal_status"))), F.lit("unknown")).alias("legal_status"), F.countDistinct("source").alias("n_sources"),
     )
     review = F.when((F.col("n_sources") > 1) | ~F.col("confident"), "pending").otherwise("approved")
     versions = best.select("version_id", "instrument_id", "version_label", "artifact_id", "confident").join(known, "version_id").withColumn("review_status", review)
-    rows = best.select("version_id", "instrument_id", F.explode("articles").alias("a")).groupBy("version_id", "instrument_id", F.col("a.number").alias("number")).agg(F.first("a.text").alias("text"))
+    texts = keyed.select("version_id", "artifact_id", "articles").join(best.select("version_id", "artifact_id", "instrument_id"), ["version_id", "artifact_id"])
+    numbered = texts.select("version_id", "instrument_id", F.posexplode("articles").alias("at", "a"))
+    # of a repeated number the first text counts
+    rows = numbered.groupBy("version_id", "instrument_id", F.col("a.number").alias("number")).agg(F.min_by("a.text", "at").alias("text"))
     provisions = rows.withColumn("identity_id", F.sha2(F.concat_ws("\x1f", "instrument_id", "number"), 256)).withColumn("text_sha256", F.sha2("text", 256))
     return {
         "instruments": keyed.select("instrument_id", "jurisdiction", "title").distinct(),

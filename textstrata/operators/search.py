@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.numerals import article_number, document_number
+from ..sources.commits import staged
 from .access import effective_on
 
 INSTRUMENT_TYPES = {"constitution", "law", "administrative_regulation", "judicial_interpretation", "local_regulation", "department_rule", "other"}
@@ -129,19 +130,25 @@ def keyword(df: DataFrame, query: str, strategy: str = "all_terms_flat", text: s
 
 
 def keyword_many(df: DataFrame, queries: DataFrame, text: str = "text", key: str = "doc_id", limit: int | None = None) -> DataFrame:
-    """All-terms search for a stated table of queries (query_id, terms), which is broadcast; one scan of the texts.
+    """All-terms search for a stated table of queries (query_id, terms), which is broadcast in blocks of a bounded size.
 
-    Rows (query_id, key, n_flat, rank); rank orders by length, then key. With a limit, each partition keeps
-    its own best rows before the shuffle. The table of queries is checked to be at most 10,000 rows.
+    Rows (query_id, key, n_flat, rank); rank orders by length, then key. With a limit, each partition keeps its own best rows before the shuffle.
+    Without one, a hit's rank is the number of its query's shorter hits and its place among those of its length, so no task orders a whole query.
     """
-    if queries.count() > 10_000:
-        raise ValueError("more than 10,000 queries: split them")
     flat = df.select(key, X.flatten_stored(F.col(text)).alias("_flat"))
     asked = queries.filter(F.size("terms") > 0)
-    hits = flat.join(F.broadcast(asked), F.forall("terms", lambda t: F.contains(F.col("_flat"), t)))
-    by_length = Window.partitionBy("query_id").orderBy("n_flat", key)
-    ranked = hits.select("query_id", key, F.length("_flat").alias("n_flat")).withColumn("rank", F.row_number().over(by_length))
-    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    blocks = max(1, -(-asked.count() // 1000))
+    parts = [asked.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [asked]
+    found = [flat.join(F.broadcast(p), F.forall("terms", lambda t: F.contains(F.col("_flat"), t))) for p in parts]
+    hits = reduce(DataFrame.unionAll, found).select("query_id", key, F.length("_flat").alias("n_flat"))
+    if limit is not None:
+        by_length = Window.partitionBy("query_id").orderBy("n_flat", key)
+        return hits.withColumn("rank", F.row_number().over(by_length)).filter(F.col("rank") <= limit)
+    hits = staged(hits, "hits")
+    shorter = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("n_flat").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lengths = hits.groupBy("query_id", "n_flat").agg(F.count(F.lit(1)).alias("n")).withColumn("shorter", shorter).drop("n")
+    place = F.row_number().over(Window.partitionBy("query_id", "n_flat").orderBy(key))
+    return hits.withColumn("place", place).join(lengths, ["query_id", "n_flat"]).select("query_id", key, "n_flat", (F.col("shorter") + F.col("place")).cast("long").alias("rank"))
 
 
 def merge_variants(hits: DataFrame, key: str = "doc_id", limit: int = 20) -> DataFrame:

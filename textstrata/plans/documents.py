@@ -126,7 +126,10 @@ SELECT a, CASE WHEN x = y THEN 0.0 ELSE round(len(list_filter(list_zip(string_sp
 def difference_ratio(spark, d):
     """Differences between a document and the next one of its source."""
     own = Window.partitionBy("source").orderBy("doc_id")
-    pairs = table(spark, d, "documents").select(F.col("doc_id").alias("a"), F.col("text").alias("x"), F.lead("text").over(own).alias("y")).filter("y IS NOT NULL")
+    docs = table(spark, d, "documents")
+    # neighbours are told by their ids; the texts are joined to the pairs
+    ids = docs.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(own).alias("b")).filter("b IS NOT NULL")
+    pairs = ids.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return pairs.select("a", F.round(X.difference_ratio(F.col("x"), F.col("y")), 9).alias("ratio"))
 
 
