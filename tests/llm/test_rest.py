@@ -1,6 +1,7 @@
 """Sharding, chat formatting, components, pipeline."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ from brute import base_spans, groups
 from compare import compare
 from pyspark.sql import functions as F
 
-from textstrata.llm import chat, decontamination, pii, sharding
+from textstrata.llm import chat, sharding
 from textstrata.llm.common import components
 
 ROWS = [(i, "é" * (i % 7)) for i in range(500)] + [(None, None), (None, "x"), (7, "same"), (7, "same"), (8, "long " * 30_000)]
@@ -83,6 +84,11 @@ def test_chat_by_brute_force(spark, folder):
         for mask, text, turns in ((x.chosen_mask, x.chosen, a[n:]), (x.rejected_mask, x.rejected, b[n:])):
             cut = [text[int(s.split(":")[0]) : int(s.split(":")[1])] for s in mask.split(",") if s]
             assert cut == [f"{t}<|end|>\n" for role, t in turns if role == "assistant"]
+    lone = [(None, t, "user", "n") for t in range(300)] + [(None, None, None, None), (4, 0, "user", "m")]
+    d = folder(conversations=(lone, "conv_id long, turn long, role string, text string"))
+    assert compare(spark, d, "op7", chat.op7_chat, chat.SQL).startswith("ok")
+    alone = chat.op7_chat(spark, d).filter("pair_id IS NULL").collect()
+    assert len(alone) == 301 and {x.status for x in alone} == {"no rejected"} and {x.chosen for x in alone} == {"<|user|>\nn<|end|>\n", "<|unknown|>\n<|end|>\n"}
     odd = [(2**60, 0, "user", "x"), (2**60 + 1, 0, "user", "x"), (2**60 + 2, 0, "user", "y"), (None, 0, "user", "n"), (-1, 0, "user", "m"), (-2, 0, "user", "m")]
     d = folder(conversations=(odd, "conv_id long, turn long, role string, text string"))
     assert compare(spark, d, "op7", chat.op7_chat, chat.SQL).startswith("ok")
@@ -90,6 +96,17 @@ def test_chat_by_brute_force(spark, folder):
     assert chat.format_preferences(chat.paired(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    took = []
+    for n in (2_000, 20_000, 40_000):
+        turns = spark.range(n).select(F.lit(0).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+        begun = time.perf_counter()
+        row = chat.format_preferences(chat.paired(turns)).first()
+        took.append(time.perf_counter() - begun)
+        assert len(row.chosen_mask) == n // 2 and row.chosen[row.chosen_mask[-1].start : row.chosen_mask[-1].end] == f"t{n - 1}<|end|>\n"
+    assert took[2] < 2.5 * took[1] + 2, took
+
+
 @pytest.mark.parametrize("edges", [[], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 200)] + [(500, 500)], [(random.Random(1).randrange(300), random.Random(i).randrange(300)) for i in range(200)], [(None, 1), (2, 3), (3, 2), (2, 3)]])
 def test_components(spark, edges):
     root = {}
@@ -141,7 +158,6 @@ def test_pipeline_stages_take_odd_rows(spark, sf):
         assert out.count() <= len(rows), name
     assert corpus_pipeline.drop_near_copies(spark, docs, sf).filter("doc_id = 3").count() == 1
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "decontamination", "personal_data", "bpe"]
-    assert decontamination and pii and F
 
 
 def test_pipeline_near_copies_by_five_words_and_four_fifths(spark, sf):

@@ -14,9 +14,9 @@ conversations share makes no group.
 Defined results: a null role is ``unknown``, a null text is empty; turns sort by
 turn (nulls first), role and text, and repeated rows are repeated turns; a
 conversation without partner gives a pair whose missing side is empty and whose
-``status`` says so; rows without conversation id are the chosen side of one pair
-of their own (key null), if there are any; an empty table gives an empty result; other
-columns are ignored.
+``status`` says so; a row without conversation id is a conversation of its own,
+the chosen side of a pair without key, so that however many there are they are
+never gathered; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound, running
+
 OPEN, MID, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -44,16 +46,15 @@ def _completion(turns: Column) -> Column:
 
 
 def _mask(turns: Column) -> Column:
-    """Spans [start, end) of the completion that count in the loss."""
+    """Spans [start, end) of the completion that count in the loss. The work grows with the number of turns, not with its square."""
     head = lambda t: F.length(t["role"]) + len(OPEN) + len(MID)
-    size = lambda t: head(t) + F.length(t["text"]) + len(END)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    sizes = F.transform(turns, lambda t: head(t) + F.length(t["text"]) + len(END))
 
-    def step(acc: Column, t: Column) -> Column:
-        span = F.struct((acc["at"] + head(t)).alias("start"), (acc["at"] + size(t)).alias("end"))
-        return F.struct((acc["at"] + size(t)).alias("at"), F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(starts: Column) -> Column:
+        each = F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", F.struct((F.get(starts, i) + head(t)).alias("start"), F.get(starts, i + 1).alias("end"))))
+        return F.filter(each, lambda s: s.isNotNull())
 
-    return F.aggregate(turns, start, step)["spans"]
+    return bound(running(sizes, lambda a, b: a + b), spans)
 
 
 def format_preferences(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -72,13 +73,14 @@ def format_preferences(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
 
 def paired(turns: DataFrame) -> DataFrame:
     """Pairs of conversations 2k (chosen) and 2k + 1 (rejected) from rows (conv_id, turn, role, text)."""
-    rows = turns.select(
-        F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"),
-        F.struct(F.coalesce(F.pmod(F.col("conv_id"), F.lit(2)), F.lit(0)).cast("int").alias("side"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
-    )
+    said = [F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")]
+    rows = turns.filter("conv_id IS NOT NULL").select(
+        F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"), F.struct(F.pmod(F.col("conv_id"), F.lit(2)).cast("int").alias("side"), F.col("turn").alias("turn"), *said).alias("t")
+    )
     both = rows.groupBy("pair_id").agg(F.array_sort(F.collect_list("t")).alias("all"))
     side = lambda k: F.transform(F.filter("all", lambda t: t["side"] == k), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return both.select("pair_id", side(0).alias("chosen"), side(1).alias("rejected"))
+    lone = turns.filter("conv_id IS NULL").select(F.lit(None).cast("long").alias("pair_id"), F.array(F.struct(*said)).alias("chosen"), F.array().cast("array<struct<role:string,text:string>>").alias("rejected"))
+    return both.select("pair_id", side(0).alias("chosen"), side(1).alias("rejected")).unionAll(lone)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +91,13 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH t AS (SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, coalesce((conv_id % 2 + 2) % 2, 0) AS side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
-eq AS (SELECT a.pair_id, a.i, bool_and(a.role = b.role AND a.text = b.text) OVER (PARTITION BY a.pair_id ORDER BY a.i) AS same
-       FROM n a JOIN n b ON a.pair_id IS NOT DISTINCT FROM b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1),
-p AS (SELECT pair_id, count(*) FILTER (same) AS n FROM eq GROUP BY 1),
+WITH t AS (SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, coalesce((conv_id % 2 + 2) % 2, 0) AS side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, lone, side ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+eq AS (SELECT a.pair_id, a.lone, a.i, bool_and(a.role = b.role AND a.text = b.text) OVER (PARTITION BY a.pair_id, a.lone ORDER BY a.i) AS same
+       FROM n a JOIN n b ON a.pair_id IS NOT DISTINCT FROM b.pair_id AND a.lone IS NOT DISTINCT FROM b.lone AND a.i = b.i AND a.side = 0 AND b.side = 1),
+p AS (SELECT pair_id, count(*) FILTER (same) AS n FROM eq GROUP BY pair_id, lone),
 r AS (SELECT n.*, coalesce(p.n, 0) AS k, '<|' || role || '|>' || chr(10) AS h, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM n LEFT JOIN p USING (pair_id)),
-o AS (SELECT *, coalesce(sum(length(s)) FILTER (i > k) OVER (PARTITION BY pair_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM r)
+o AS (SELECT *, coalesce(sum(length(s)) FILTER (i > k) OVER (PARTITION BY pair_id, lone, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM r)
 SELECT pair_id, max(k)::INT AS n_prompt_turns,
   CASE WHEN count(*) FILTER (side = 1) = 0 THEN 'no rejected' WHEN count(*) FILTER (side = 0) = 0 THEN 'no chosen' WHEN count(*) FILTER (i > k) = 0 THEN 'equal' ELSE 'pair' END AS status,
   coalesce(string_agg(s, '' ORDER BY i) FILTER (side = 0 AND i <= k), '') AS prompt,
@@ -103,4 +105,4 @@ SELECT pair_id, max(k)::INT AS n_prompt_turns,
   coalesce(string_agg((pos + length(h)) || ':' || (pos + length(s)), ',' ORDER BY i) FILTER (side = 0 AND i > k AND role = 'assistant'), '') AS chosen_mask,
   coalesce(string_agg(s, '' ORDER BY i) FILTER (side = 1 AND i > k), '') AS rejected,
   coalesce(string_agg((pos + length(h)) || ':' || (pos + length(s)), ',' ORDER BY i) FILTER (side = 1 AND i > k AND role = 'assistant'), '') AS rejected_mask
-FROM o GROUP BY pair_id"""
+FROM o GROUP BY pair_id, lone"""
