@@ -16,7 +16,6 @@ NAMES = {
     "ts_redacted_slice": redaction.redacted_slice,
     "ts_restore": redaction.restore,
     "ts_citations": citations.citations,
-    "ts_quote_in_evidence": gates.quote_in_evidence,
     "ts_included": gates.included,
     "ts_claims": output.claims_of,
     "ts_string_list": output.string_list,
