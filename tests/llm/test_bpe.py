@@ -35,15 +35,14 @@ def test_any_text(plain, text):
     ids = own.encode([text])[0]
     assert ids == plain.encode_ordinary(text) and own.decode(ids) == text.encode()
     starts, ends, split = own.spans(text.encode(), ids)
+    char_of = [k for k, c in enumerate(text) for _ in c.encode()]
+    heads = {len(text[:k].encode()) for k in range(len(text) + 1)}
     at = 0
     for i, s, e, x in zip(ids, starts, ends, split):
-        raw = own.bytes_of[i]
+        stop = at + len(own.bytes_of[i])
         # a token's span is that of the characters it touches
-        begin, stop = len(text.encode()[: at + 1].decode(errors="ignore")), len(text.encode()[: at + len(raw)].decode(errors="ignore"))
-        if not x:
-            assert text[s:e].encode() == raw
-        at += len(raw)
-        assert s <= e and (x or (begin, stop)) is not None
+        assert (s, e, x) == (char_of[at], char_of[stop - 1] + 1, at not in heads or stop not in heads)
+        at = stop
     assert at == len(text.encode())
 
 
