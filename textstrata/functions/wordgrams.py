@@ -4,8 +4,8 @@ The trigrams of a text are those of its words, each with two blanks before and o
 with m distinct trigrams to a stretch is shared / (m + distinct - shared); the text's likeness is that of its best stretch.
 
 The scan: a best stretch begins with a wanted trigram that does not come again in it (else it could begin later), ends at the first place of
-another, and has at most m / likeness distinct trigrams. So from each wanted place it reads on to that trigram's next place at most, and no further
-than the bound of the best likeness so far allows; stretches from places of one trigram never overlap, and a text is read m times at most.
+another, and has at most m / likeness distinct trigrams, m / likeness - m of them unwanted. So from each wanted place it reads on to that trigram's
+next place at most, and no further than the bound of the best likeness so far allows; stretches from places of one trigram never overlap, and a text is read m times at most.
 """
 
 from __future__ import annotations
@@ -44,20 +44,25 @@ def best_stretch(seen: np.ndarray, wanted: np.ndarray, least: float = 0.0) -> fl
     same = kinds[order[1:]] == kinds[order[:-1]]
     follows[order[:-1][same]] = places[order[1:]][same]
     if least > 0:
-        # a stretch has at most ``most`` distinct trigrams; within three times as many places it meets more, unless that many of them repeat
-        # one of the places before them. Where they don't, and too few wanted ones are that near, no stretch can be good enough
+        # a stretch has at most ``most`` distinct trigrams; within half as many places more it meets more, unless that many of them repeat one of
+        # the places before them. Where they don't, and too few wanted trigrams come that near, no stretch can be good enough
         most, order = int(m / least), np.argsort(seen, kind="stable")
+        span = most + most // 2 + 1
         gap = order[1:] - order[:-1]
         again = np.zeros(len(seen) + 1, np.int64)
-        again[order[1:][(seen[order[1:]] == seen[order[:-1]]) & (gap <= 3 * most)] + 1] = 1
+        again[order[1:][(seen[order[1:]] == seen[order[:-1]]) & (gap <= span)] + 1] = 1
         again = np.cumsum(again)
-        reach = np.minimum(places + 3 * most + 1, len(seen))
-        near = np.searchsorted(places, reach) - np.arange(len(places))
+        reach = np.minimum(places + span, len(seen))
+        near = np.zeros(len(places), np.int64)
+        for kind in range(m):
+            own = np.append(places[kinds == kind], len(seen))
+            near += own[np.searchsorted(own, places)] < reach
         far = again[reach] - again[places] >= reach - places - most
         hopeful = far | (near >= least * m)
         places, follows = places[hopeful], follows[hopeful]
     codes, goal = seen.tolist(), set(wanted.tolist())
-    best, reach = 0.0, m / least if least > 0 else float("inf")
+    # so many distinct trigrams that aren't wanted spoil a stretch, whatever follows
+    best, spoilt = 0.0, m / least - m if least > 0 else float("inf")
     for start, stop in zip(places.tolist(), follows.tolist()):
         run: set[int] = set()
         shared = 0
@@ -71,8 +76,8 @@ def best_stretch(seen: np.ndarray, wanted: np.ndarray, least: float = 0.0) -> fl
                 value = shared / (m + len(run) - shared)
                 if value > best:
                     best = value
-                    reach = min(reach, m / best)
-            elif len(run) > reach:
+                    spoilt = min(spoilt, m / best - m)
+            elif len(run) - shared > spoilt + 1e-9:
                 break
     return best if best >= least else 0.0
 
