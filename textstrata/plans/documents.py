@@ -125,10 +125,12 @@ def integrity_rejects(spark, d):
 SELECT a, CASE WHEN x = y THEN 0.0 ELSE round(len(list_filter(list_zip(string_split(substr(x, 1, least(length(x), length(y))), ''), string_split(substr(y, 1, least(length(x), length(y))), '')), lambda c: c[1] <> c[2]))::DOUBLE / greatest(length(x), length(y)) + abs(length(x) - length(y))::DOUBLE / greatest(length(x), length(y)), 9) END AS ratio FROM p WHERE y IS NOT NULL""")
 def difference_ratio(spark, d):
     """Differences between a document and the next one of its source."""
-    own = Window.partitionBy("source").orderBy("doc_id")
     docs = table(spark, d, "documents")
-    # neighbours are told by their ids; the texts are joined to the pairs
-    ids = docs.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(own).alias("b")).filter("b IS NOT NULL")
+    # neighbours are told by their ids, within ranges of ids and between them, so a large source is no single task's; the texts are joined to the pairs
+    ranged = docs.select("source", F.col("doc_id").alias("a"), F.floor(F.col("doc_id") / 1000).alias("range"))
+    inside = F.lead("a").over(Window.partitionBy("source", "range").orderBy("a"))
+    firsts = ranged.groupBy("source", "range").agg(F.min("a").alias("first")).withColumn("after", F.lead("first").over(Window.partitionBy("source").orderBy("range"))).drop("first")
+    ids = ranged.withColumn("inside", inside).join(firsts, ["source", "range"]).select("a", F.coalesce("inside", "after").alias("b")).filter("b IS NOT NULL")
     pairs = ids.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return pairs.select("a", F.round(X.difference_ratio(F.col("x"), F.col("y")), 9).alias("ratio"))
 
