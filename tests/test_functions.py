@@ -263,3 +263,19 @@ def test_span_of_article(spark):
 def test_evidence_merges_only_unknowns(spark):
     df = spark.createDataFrame([("unknown", "effective"), ("effective", "repealed"), (None, None)], "old string, new string")
     assert [r.v for r in df.select(corpus.merged_evidence("old", "new").alias("v")).collect()] == ["effective", "effective", None]
+
+
+def test_metadata_reads_a_text_a_fixed_number_of_times(spark):
+    """Values that the rules name several times are computed once: the plan's text would else hold them thousands of times."""
+    m = spark.createDataFrame([("a", ["b"])], "f string, p array<string>").select(legal.metadata(F.col("f"), F.col("p"), F.current_date()).alias("m"))
+    plan = m._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") <= 10
+
+
+def test_first_label_of_a_page_with_ties(spark):
+    """Of blocks that begin at the same place the last in the table gives the label; blocks without a label or place give none."""
+    rows = [(1, 1, 5, 9, "a", 0), (1, 1, 5, 7, "b", 2), (1, 1, 5, 8, "c", 1), (1, 1, 4, 6, None, 3), (1, 1, None, 6, "d", 4), (1, 2, 3, 4, None, 5)]
+    blocks = spark.createDataFrame(rows, "doc int, page int, char_start int, char_end int, label string, place int")
+    pages = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "doc int, page int")
+    got = structure.page_geometry(blocks, pages).orderBy("page").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 4, 9, "b"), (1, 2, 3, 4, None), (1, 3, None, None, None)]

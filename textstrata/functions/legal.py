@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import flatten
+from .text import flatten, let
 from .values import STATE_ORGANS, TITLE_ENDS, UNKNOWN_TEXT, UNLABELLED
 
 DATE = r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日"
@@ -50,57 +50,73 @@ def title_candidates(preamble: Column) -> Column:
     """Titles that the texts give, in order: those in title marks first, then a text that is one."""
 
     def of(text: Column) -> Column:
-        flat = flatten(text)
-        named = F.filter(F.regexp_extract_all(flat, F.lit("《([^《》〈〉]{2,80})》"), F.lit(1)), is_title)
-        return F.transform(F.concat(named, F.filter(F.array(flat), is_title)), title)
+        named = lambda flat: F.filter(F.regexp_extract_all(flat, F.lit("《([^《》〈〉]{2,80})》"), F.lit(1)), is_title)
+        return let(flatten(text), lambda flat: F.transform(F.concat(named(flat), F.filter(F.array(flat), is_title)), title))
 
     return F.flatten(F.transform(preamble, of))
 
 
 def chosen_title(filename: Column, preamble: Column) -> Column:
     """Struct (title, unsure): the candidate that the file name confirms, else the first one, else the file name."""
-    from_file, found = file_title(filename), title_candidates(preamble)
-    sure = (from_file != "") & F.array_contains(found, from_file)
-    text = F.when(sure, from_file).when(F.size(found) > 0, F.get(found, F.lit(0))).when(from_file != "", from_file).otherwise(UNKNOWN_TEXT)
-    return F.struct(text.alias("title"), (~sure).alias("unsure"))
+
+    def of(known: Column) -> Column:
+        from_file, found = known["file"], known["found"]
+        sure = (from_file != "") & F.array_contains(found, from_file)
+        text = F.when(sure, from_file).when(F.size(found) > 0, F.get(found, F.lit(0))).when(from_file != "", from_file).otherwise(UNKNOWN_TEXT)
+        return F.struct(text.alias("title"), (~sure).alias("unsure"))
+
+    return let(F.struct(file_title(filename).alias("file"), title_candidates(preamble).alias("found")), of)
 
 
 def issuer(preamble: Column) -> Column:
-    whole = flatten(F.array_join(preamble, ""))
     heads = F.filter(F.transform(preamble, lambda t: F.regexp_extract(flatten(t), "^(.{2,40}?)(?=关于|印发|发布|制定)", 1)), lambda h: h != "")
-    has = lambda w: F.contains(whole, F.lit(w))
-    return F.when(has(STATE_ORGANS[2]), STATE_ORGANS[2]).when(has(STATE_ORGANS[1]), STATE_ORGANS[1]).when(has("国务院令"), STATE_ORGANS[0]).otherwise(F.coalesce(F.get(heads, F.lit(0)), F.lit(UNKNOWN_TEXT)))
+
+    def of(whole: Column) -> Column:
+        has = lambda w: F.contains(whole, F.lit(w))
+        return F.when(has(STATE_ORGANS[2]), STATE_ORGANS[2]).when(has(STATE_ORGANS[1]), STATE_ORGANS[1]).when(has("国务院令"), STATE_ORGANS[0]).otherwise(F.coalesce(F.get(heads, F.lit(0)), F.lit(UNKNOWN_TEXT)))
+
+    return let(flatten(F.array_join(preamble, "")), of)
 
 
 def promulgation(filename: Column, preamble: Column) -> Column:
     """Struct (label, day, reason): the last amendment clause, else the last date, else the file's date, else unlabelled."""
-    whole = flatten(F.array_join(preamble, ""))
     reach = rf"(?s){DATE}(?=(.{{0,60}}))"
-    part = [F.regexp_extract_all(whole, F.lit(reach), F.lit(g)) for g in (1, 2, 3, 4)]
-    dated = F.zip_with(F.zip_with(part[0], part[1], lambda y, m: F.struct(y.alias("y"), m.alias("m"))), F.zip_with(part[2], part[3], lambda d, w: F.struct(d.alias("d"), w.alias("w"))), lambda a, b: F.struct(date_of(a["y"], a["m"], b["d"]).alias("day"), b["w"].alias("w")))
-    real = F.filter(dated, lambda x: x["day"].isNotNull())
+
+    def real(whole: Column) -> Column:
+        part = [F.regexp_extract_all(whole, F.lit(reach), F.lit(g)) for g in (1, 2, 3, 4)]
+        dated = F.zip_with(F.zip_with(part[0], part[1], lambda y, m: F.struct(y.alias("y"), m.alias("m"))), F.zip_with(part[2], part[3], lambda d, w: F.struct(d.alias("d"), w.alias("w"))), lambda a, b: F.struct(date_of(a["y"], a["m"], b["d"]).alias("day"), act(b["w"]).alias("act")))
+        return F.filter(dated, lambda x: x["day"].isNotNull())
+
     act = lambda w: F.coalesce(*[F.when(F.contains(w, F.lit(k)), F.lit(k)) for k in ("修订", "修正", "通过")])
-    clause = F.try_element_at(F.filter(real, lambda x: act(x["w"]).isNotNull()), F.lit(-1))
-    last = F.try_element_at(real, F.lit(-1))
-    of_file = file_date(filename)
     year = lambda d: F.concat(F.year(d).cast("string"), F.lit("年"))
     made = lambda label, day, reason: F.struct(label.alias("label"), day.alias("day"), F.lit(reason).cast("string").alias("reason"))
-    labelled = F.when(act(clause["w"]) == "通过", year(clause["day"])).otherwise(F.concat(year(clause["day"]), act(clause["w"])))
-    return (
-        F.when(clause.isNotNull(), made(labelled, clause["day"], None))
-        .when(last.isNotNull(), made(year(last["day"]), last["day"], "version_label_from_bare_date"))
-        .when(of_file.isNotNull(), made(of_file.cast("string"), of_file, "version_label_from_filename"))
-        .otherwise(made(F.lit(UNLABELLED), F.lit(None).cast("date"), "version_label_unlabelled"))
-    )
+
+    def of(found: Column) -> Column:
+        clause, last, of_file = found["clause"], found["last"], found["file"]
+        labelled = F.when(clause["act"] == "通过", year(clause["day"])).otherwise(F.concat(year(clause["day"]), clause["act"]))
+        return (
+            F.when(clause.isNotNull(), made(labelled, clause["day"], None))
+            .when(last.isNotNull(), made(year(last["day"]), last["day"], "version_label_from_bare_date"))
+            .when(of_file.isNotNull(), made(of_file.cast("string"), of_file, "version_label_from_filename"))
+            .otherwise(made(F.lit(UNLABELLED), F.lit(None).cast("date"), "version_label_unlabelled"))
+        )
+
+    def chosen(dates: Column) -> Column:
+        clause = F.try_element_at(F.filter(dates, lambda x: x["act"].isNotNull()), F.lit(-1))
+        return let(F.struct(clause.alias("clause"), F.try_element_at(dates, F.lit(-1)).alias("last"), file_date(filename).alias("file")), of)
+
+    return let(let(flatten(F.array_join(preamble, "")), real), chosen)
 
 
 def instrument_type(named: Column, issued_by: Column) -> Column:
-    base = F.regexp_replace(named, REMARK, "")
-    kind = F.when(F.contains(base, F.lit("宪法")), "constitution")
-    for end, value in TITLE_ENDS:
-        own = F.lit(value) if value else F.when(issued_by.isin(STATE_ORGANS), "administrative_regulation").otherwise("department_rule")
-        kind = kind.when(base.endswith(end), own)
-    return kind.when(issued_by == STATE_ORGANS[0], "administrative_regulation").otherwise("other")
+    def of(base: Column) -> Column:
+        kind = F.when(F.contains(base, F.lit("宪法")), "constitution")
+        for end, value in TITLE_ENDS:
+            own = F.lit(value) if value else F.when(issued_by.isin(STATE_ORGANS), "administrative_regulation").otherwise("department_rule")
+            kind = kind.when(base.endswith(end), own)
+        return kind.when(issued_by == STATE_ORGANS[0], "administrative_regulation").otherwise("other")
+
+    return let(F.regexp_replace(named, REMARK, ""), of)
 
 
 def effective_day(preamble: Column) -> Column:
@@ -115,11 +131,16 @@ def legal_status(effective: Column, today: Column) -> Column:
 
 def metadata(filename: Column, preamble: Column, today: Column) -> Column:
     """All of it as one struct."""
-    named, version, body, day = chosen_title(filename, preamble), promulgation(filename, preamble), issuer(preamble), effective_day(preamble)
-    whole = flatten(F.array_join(preamble, ""))
-    reasons = F.array_compact(F.array(version["reason"], F.when(named["unsure"], "title_from_filename")))
-    return F.struct(
-        named["title"].alias("title"), instrument_type(named["title"], body).alias("instrument_type"), F.lit("中国").alias("jurisdiction"), body.alias("issuing_body"),
-        F.try_element_at(F.regexp_extract_all(whole, F.lit(NUMBER), F.lit(0)), F.lit(-1)).alias("document_number"), version["label"].alias("version_label"),
-        version["day"].alias("promulgated_on"), day.alias("effective_from"), legal_status(day, today).alias("legal_status"), reasons.alias("low_confidence_reasons"),
-    )
+
+    def of(found: Column) -> Column:
+        named, version, body, day = (found[c] for c in ("named", "version", "body", "day"))
+        reasons = F.array_compact(F.array(version["reason"], F.when(named["unsure"], "title_from_filename")))
+        return F.struct(
+            named["title"].alias("title"), instrument_type(named["title"], body).alias("instrument_type"), F.lit("中国").alias("jurisdiction"), body.alias("issuing_body"),
+            found["number"].alias("document_number"), version["label"].alias("version_label"),
+            version["day"].alias("promulgated_on"), day.alias("effective_from"), legal_status(day, today).alias("legal_status"), reasons.alias("low_confidence_reasons"),
+        )
+
+    number = F.try_element_at(F.regexp_extract_all(flatten(F.array_join(preamble, "")), F.lit(NUMBER), F.lit(0)), F.lit(-1))
+    found = {"named": chosen_title(filename, preamble), "version": promulgation(filename, preamble), "body": issuer(preamble), "day": effective_day(preamble), "number": number}
+    return let(F.struct(*[c.alias(name) for name, c in found.items()]), of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +20,11 @@ FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 HALF_WIDTH = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row; a column that an expression names twice is else computed twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """Line breaks as LF, no white space at the ends of lines or of the text."""
     lf = F.regexp_replace(c, r"\r\n?", "\n")
