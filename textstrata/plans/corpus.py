@@ -426,7 +426,8 @@ def page_geometry(spark, d):
     from ..operators.structure import page_geometry as geometry
 
     l = table(spark, d, "lineitem")  # noqa: E741
-    blocks = l.filter("l_quantity > 10").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("char_start"), (F.col("l_partkey") + 9).alias("char_end"), F.col("l_returnflag").alias("label"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    blocks = l.filter("l_quantity > 10").select(place, F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("char_start"), (F.col("l_partkey") + 9).alias("char_end"), F.col("l_returnflag").alias("label"))
     return geometry(blocks, l.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page")).distinct())
 
 
