@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textstrata.operators import evaluation, pivots
+from textstrata.operators import evaluation, pivots, search
 from textstrata.sources.commits import staged
 
 
@@ -90,3 +90,29 @@ def test_pruned_neighbours_of_nothing(spark):
     assert pivots.nearest_by_pivots(pivots.pivot_index(empty, stage), asked, 3, stage)[0].count() == 0
     assert pivots.nearest_by_pivots(pivots.pivot_index(one, stage), asked.limit(0), 3, stage)[0].count() == 0
     assert [tuple(x) for x in pivots.nearest_by_pivots(pivots.pivot_index(one, stage), asked, 3, stage)[0].collect()] == [(1, 1, 0.0, 1)]
+
+
+@pytest.mark.parametrize("k", [None, 1, 7, 500])
+def test_nearest_by_blocks_are_the_nearest(spark, monkeypatch, k):
+    """Against brute force over many blocks, with copies, and vectors that have no angle: null, zero, with null or no number, shorter."""
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 9)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(search, "ASKED_AT_ONCE", 4)
+    draw = random.Random(3)
+    good = {i: [draw.gauss(0, 1) for _ in range(4)] for i in range(60)}
+    good |= {100 + i: v for i, v in good.items() if i < 20} | {200: [2.0 * x for x in good[0]]}
+    odd = [(300, None), (301, [0.0] * 4), (302, [1.0, None, 2.0, 3.0]), (303, [1.0, math.nan, 2.0, 3.0]), (304, [1.0, 2.0]), (None, [1.0] * 4)]
+    vectors = spark.createDataFrame([*good.items(), *odd], "vec_id long, embedding array<double>")
+    queries = vectors.filter("vec_id % 10 = 0 OR vec_id > 299").selectExpr("cast(vec_id AS string) AS query_id", "embedding AS query").filter("query_id <> '304'")
+    found = search.within_many(vectors, queries, 0.4) if k is None else search.nearest_many(vectors, queries, k)
+
+    def away(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return 1 - dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+    want = set()
+    for q in (i for i in good if i % 10 == 0):
+        near = sorted((away(good[q], v), i) for i, v in good.items())
+        want |= {(str(q), i) for d, i in near if d <= 0.4} if k is None else {(str(q), i) for _, i in near[:k]}
+    got = [(r.query_id, r.vec_id) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..functions.numerals import article_number, document_number
@@ -176,26 +180,105 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return out.orderBy("distance", key).limit(k)
 
 
-def _near_pairs(vectors: DataFrame, queries: DataFrame, key: str, vector: str, farthest: float | None) -> DataFrame:
-    """(query_id, key, distance) of a stated table of queries and all vectors; queries are broadcast in blocks of a bounded size."""
-    blocks = max(1, -(-queries.count() // 1000))
-    parts = [queries.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    near = reduce(DataFrame.unionAll, [vectors.join(F.broadcast(p)).select("query_id", key, cosine_distance(F.col(vector), F.col("query")).alias("distance")) for p in parts])
-    return near if farthest is None else near.filter(F.col("distance") <= farthest)
+#: Queries and vectors that one comparison of blocks holds, and what its distances may be off before they are computed singly.
+QUERY_BLOCK, VECTOR_BLOCK, SLACK = 256, 4096, 2e-9
+#: Queries that one broadcast holds.
+ASKED_AT_ONCE = 20_000
+
+
+def _packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """Rows as blocks (keys, vectors, norms): a partition's rows in order, so many at a time; those without a whole vector are left out."""
+    kind = rows.schema[key].dataType.simpleString()
+    values = F.col(vector).cast("array<double>")
+    whole = rows.select(F.col(key).alias("key"), values.alias("v")).filter(F.col("key").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                sizes = pc.list_value_length(part["v"])
+                for size in pc.unique(sizes).to_pylist():
+                    own = part.filter(pc.equal(sizes, size))
+                    flat = own["v"].flatten().to_numpy(zero_copy_only=False).astype("float64")
+                    yield pa.RecordBatch.from_arrays([pa.array([own["key"].to_pylist()], pa.list_(own["key"].type)), pa.array([size], pa.int32()), pa.array([flat.tobytes()], pa.binary())], ["keys", "size", "packed"])
+
+    return whole.mapInArrow(run, f"keys array<{kind}>, size int, packed binary")
+
+
+def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine distances of rows, summed in order of the places, so that equal vectors have equal ones wherever they stand."""
+    dot = aa = bb = np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        dot, aa, bb = dot + x * y, aa + x * x, bb + y * y
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1 - dot / np.sqrt(aa * bb)
+
+
+def near_in_block(asked: np.ndarray, vectors: np.ndarray, keys: np.ndarray, k: int | None, farthest: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of two blocks: all pairs within ``farthest``, of each query the k nearest. A matrix product finds candidates."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        unit = lambda m: m / np.sqrt((m * m).sum(axis=1))[:, None]
+        rough = 1 - unit(asked) @ unit(vectors).T
+    # what has no angle has no distance
+    rough[np.isnan(rough)] = np.inf
+    most = np.full(len(asked), 3.0 if farthest is None else farthest + SLACK)
+    if k is not None and k < len(vectors):
+        most = np.minimum(most, np.partition(rough, k - 1, axis=1)[:, k - 1] + SLACK)
+    q, v = np.nonzero(rough <= most[:, None])
+    away = np.concatenate([np.empty(0), *[exact_distances(asked[q[i : i + 65_536]], vectors[v[i : i + 65_536]]) for i in range(0, len(q), 65_536)]])
+    kept = np.isfinite(away) if farthest is None else away <= farthest
+    q, v, away = q[kept], v[kept], away[kept]
+    if k is not None:
+        order = np.lexsort((keys[v], away, q))
+        q, v, away = q[order], v[order], away[order]
+        first = np.searchsorted(q, np.arange(len(asked)))
+        kept = np.arange(len(q)) - first[q] < k
+        q, v, away = q[kept], v[kept], away[kept]
+    return q, v, away
+
+
+def _near_pairs(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int | None, farthest: float | None) -> DataFrame:
+    """(query_id, key, distance) of a stated table of queries and all vectors, each block of queries with each block of vectors.
+
+    Of each pair of blocks only what is near comes out. Vectors that are null, or hold null or no number, or have no length, are near nothing.
+    """
+    own = _packed(vectors, key, vector, VECTOR_BLOCK)
+    shares = max(1, -(-queries.count() // ASKED_AT_ONCE))
+    parts = [_packed(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(shares)) == s), "query_id", "query", QUERY_BLOCK) for s in range(shares)]
+    ids, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    # tasks as many as blocks of vectors allow: small tables have few partitions
+    spread = own.repartition(4 * vectors.sparkSession.sparkContext.defaultParallelism)
+    named = [p.select(F.col("keys").alias("ids"), F.col("size").alias("asked_size"), F.col("packed").alias("asked")) for p in parts]
+    pairs = reduce(DataFrame.unionAll, [spread.crossJoin(F.broadcast(p)).filter("size = asked_size").drop("asked_size") for p in named])
+    out_schema = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), (key, to_arrow_type(vectors.schema[key].dataType)), ("distance", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size = batch["size"][i].as_py()
+                matrix = lambda c: np.frombuffer(batch[c][i].as_buffer(), dtype="float64").reshape(-1, size)  # noqa: B023, E731
+                keys, names = batch["keys"][i].values, batch["ids"][i].values
+                order = pc.sort_indices(keys)
+                place = np.empty(len(keys), dtype="int64")
+                place[order.to_numpy()] = np.arange(len(keys))
+                q, v, away = near_in_block(matrix("asked"), matrix("packed"), place, k, farthest)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)).cast(out_schema.field(0).type), keys.take(pa.array(v)).cast(out_schema.field(1).type), pa.array(away)], schema=out_schema)
+
+    return pairs.select("keys", "size", "packed", "ids", "asked").mapInArrow(run, f"query_id {ids}, `{key}` {kind}, distance double")
 
 
 def within_many(vectors: DataFrame, queries: DataFrame, farthest: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """All vectors within a distance of a stated table of queries (query_id, query): (query_id, key, distance)."""
-    return _near_pairs(vectors, queries, key, vector, farthest)
+    return _near_pairs(vectors, queries, key, vector, None, farthest)
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", farthest: float | None = None) -> DataFrame:
-    """Exact nearest neighbours of a stated table of queries (query_id, query), broadcast in blocks: (query_id, key, distance, rank).
+    """Exact nearest neighbours of a stated table of queries (query_id, query): (query_id, key, distance, rank).
 
-    Each partition keeps its own k per query before the shuffle (the rank filter is pushed below it).
+    Each pair of blocks gives its own k per query, and each partition keeps its k before the shuffle (the rank filter is pushed below it).
     """
     order = Window.partitionBy("query_id").orderBy("distance", key)
-    return _near_pairs(vectors, queries, key, vector, farthest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _near_pairs(vectors, queries, key, vector, k, farthest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def cascade(primary: DataFrame, fallback: DataFrame, query: str = "query_id") -> DataFrame:
