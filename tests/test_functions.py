@@ -279,3 +279,18 @@ def test_first_label_of_a_page_with_ties(spark):
     pages = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "doc int, page int")
     got = structure.page_geometry(blocks, pages).orderBy("page").collect()
     assert [tuple(r) for r in got] == [(1, 1, 4, 9, "b"), (1, 2, 3, 4, None), (1, 3, None, None, None)]
+
+
+def test_a_batch_is_seen_in_bounded_slices(spark, monkeypatch):
+    """A function over long texts has few of them as Python objects at a time; results are those of the whole batch, nulls included."""
+    from textstrata.functions import arrow
+
+    @arrow.arrow_udf("struct<n:int,seen:int,p:map<string,string>>")
+    def told(text, parts):
+        return arrow.pd.DataFrame([(len(t or "") + len(p if p is not None else []), len(text), {"a": t}) for t, p in zip(text, parts, strict=True)], columns=["n", "seen", "p"])
+
+    rows = spark.range(40).repartition(1).select("id", F.when(F.col("id") % 7 != 0, F.repeat(F.lit("x"), 100_000)).alias("t"), F.when(F.col("id") % 5 != 0, F.array(F.lit("a"), F.lit("b"))).alias("p"))
+    got = rows.select("id", told("t", "p").alias("r")).collect()
+    assert {r.id: r.r.n for r in got} == {i: (100_000 if i % 7 else 0) + (2 if i % 5 else 0) for i in range(40)}
+    assert all(r.r.p == {"a": "x" * 100_000 if r.id % 7 else None} for r in got)
+    assert max(r.r.seen for r in got) <= 7
