@@ -294,3 +294,16 @@ def test_a_batch_is_seen_in_bounded_slices(spark, monkeypatch):
     assert {r.id: r.r.n for r in got} == {i: (100_000 if i % 7 else 0) + (2 if i % 5 else 0) for i in range(40)}
     assert all(r.r.p == {"a": "x" * 100_000 if r.id % 7 else None} for r in got)
     assert max(r.r.seen for r in got) <= 7
+
+
+def test_trigrams_are_made_once_a_text(spark):
+    likeness = X.jaccard(X.trigrams(F.col("t")), X.trigrams(F.lit("ab")))
+    rows = spark.createDataFrame([("ab ab abc",), ("",), (None,)], "t string")
+    assert rows.select(likeness.alias("s"))._jdf.queryExecution().analyzed().toString().count("lower(t") == 1
+    # ab: two blanks and a, blank and ab, ab and blank; abc shares the first two
+    assert [r.s for r in rows.select(likeness.alias("s")).collect()][:2] == [3 / 5, 0.0]
+
+
+def test_variants_normalise_a_query_once(spark):
+    v = spark.createDataFrame([("社保 怎么办？",)], "q string").select(X.query_variants(F.col("q")).alias("v"))
+    assert v._jdf.queryExecution().analyzed().toString().count("translate(") == 1

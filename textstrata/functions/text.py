@@ -73,10 +73,12 @@ def formal_variants(c: Column) -> Column:
 
 def query_variants(c: Column) -> Column:
     """The query, normalised, stripped and with formal terms: distinct, not blank, in that order."""
-    normal = normalize_query(c)
-    bare = strip_phrases(normal)
-    formal = F.array_distinct(F.concat(formal_variants(normal), F.when(bare != "", formal_variants(bare)).otherwise(F.array().cast("array<string>"))))
-    return F.array_distinct(F.filter(F.concat(F.array(c, normal, bare), formal), lambda v: v.rlike(r"(?U)\S")))
+
+    def of(normal: Column, bare: Column) -> Column:
+        formal = F.array_distinct(F.concat(formal_variants(normal), F.when(bare != "", formal_variants(bare)).otherwise(F.array().cast("array<string>"))))
+        return F.array_distinct(F.filter(F.concat(F.array(c, normal, bare), formal), lambda v: v.rlike(r"(?U)\S")))
+
+    return let(normalize_query(c), lambda normal: let(strip_phrases(normal), lambda bare: of(normal, bare)))
 
 
 def substance(c: Column) -> Column:
@@ -119,19 +121,20 @@ def backoff(attempt: Column, base: int, most: int) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of the lower-cased words, each padded with two blanks before and one after."""
-    words = F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != ""))
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
 
     def of(word: Column) -> Column:
-        padded = F.concat(F.lit("  "), word, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
+        return F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.substr(word, i, F.lit(3)))
 
-    return F.array_distinct(F.flatten(F.transform(words, of)))
+    return F.array_distinct(F.flatten(F.transform(padded, of)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all elements of two arrays of distinct elements; 0 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) == 0, 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    sizes = lambda p: F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), F.size(F.array_intersect(p["a"], p["b"])).alias("both"))
+    share = lambda n: F.when(n["a"] + n["b"] == 0, 0.0).otherwise(n["both"] / (n["a"] + n["b"] - n["both"]))
+    return let(let(F.struct(a.alias("a"), b.alias("b")), sizes), share)
 
 
 def best_extent(needle: str, text: str) -> float:
