@@ -3,14 +3,16 @@
 import random
 import threading
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 
 from textstrata.operators import conversation, mutation
 from textstrata.sources.commits import Conflict, Store, shared_dir
 from textstrata.streaming import jobs, timed, worker
-from textstrata.streaming.leases import Leases, Sessions
+from textstrata.streaming.leases import Feed, Leases, Sessions
 
 T0 = datetime(2024, 1, 1)
 EVENTS = "job_id long, ts timestamp, seq long, worker string, event string"
@@ -72,6 +74,100 @@ def test_timer_expires_a_lease_without_a_further_event(spark, tmp_path):
     assert [(r.job_id, r.event, r.status, r.at) for r in out.orderBy("at").collect()] == [(1, "claim", "running", at(0)), (1, "expire", "retry_wait", at(10))]
 
 
+@pytest.mark.parametrize("machine", [Leases(), Sessions(), Feed(("complete",), ("cancel",))])
+def test_keys_of_a_bucket_are_told_apart(spark, tmp_path, machine):
+    rows = random_events(200, 40)
+    columns = ["job_id", "ts", "seq", "worker", "event"] if isinstance(machine, Leases) else ["job_id", "ts", "seq", "event AS state", "worker AS detail"]
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.event_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], EVENTS).schema, files_per_batch=1).selectExpr(*columns)
+    # nothing is late, so that each batch counts
+    got = jobs.drained(timed.timed_stream(stream, machine, "job_id", late="6 hours", buckets=2), "told").collect()
+    tail = spark.createDataFrame([*rows, (-1, at(900), 900, "a", "claim")], EVENTS)
+    tail.filter("job_id = -1").write.mode("append").parquet(f"{tmp_path}/in")
+    more = jobs.drained(timed.timed_stream(stream, machine, "job_id", late="6 hours", buckets=2), "told").collect()
+    mark = int((at(900) - timedelta(hours=6) - datetime(1970, 1, 1)).total_seconds() * 1000)
+    want = timed.folded(tail.selectExpr(*columns), machine, "job_id", until=mark).collect()
+    assert got == [] and len(want) > 40
+    assert sorted(map(tuple, more), key=str) == sorted(map(tuple, want), key=str)
+
+
+class Kept:
+    """A handle that keeps one bucket's state in memory and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return Kept.Variable(self, [])
+
+    def getMapState(self, name, schema, values):  # noqa: N802
+        return Kept.Variable(self, {})
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Kept.Variable(self, None)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+    class Variable:
+        def __init__(self, handle, held):
+            self.handle, self.held, self.empty = handle, held, held
+
+        def _do(self, what):
+            self.handle.calls += 1
+            return what
+
+        def get(self):
+            return self._do(self.held)
+
+        def exists(self):
+            return self._do(bool(self.held))
+
+        def getValue(self, k):  # noqa: N802
+            return self._do(self.held.get(k))
+
+        def updateValue(self, k, v):  # noqa: N802
+            self._do(self.held).update({k: v})
+
+        def removeKey(self, k):  # noqa: N802
+            self._do(self.held).pop(k, None)
+
+        def appendValue(self, v):  # noqa: N802
+            self.held = [*self._do(self.held), v]
+
+        def put(self, v):
+            self.held = self._do(v)
+
+        update = put
+
+        def clear(self):
+            self.held = self._do(type(self.empty)() if self.empty is not None else None)
+
+
+def test_a_stream_calls_its_store_seldom():
+    """Events of many keys wait by the frame; only a key without anything due has an entry of its own."""
+    handle, clock = Kept(), lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    told = timed._Timed(Leases(), "job_id", "bigint")
+    told.init(handle)
+    frame = pd.DataFrame([(0, k, 1000 + i, i, '{"worker": "a", "event": "%s"}' % e) for k in range(500) for i, e in enumerate(["claim", "heartbeat", "complete"][: 2 + (k < 20)])], columns=["bucket", "key", "at", "seq", "what"])
+    assert list(told.handleInputRows((0,), iter([frame]), clock(0))) == [] and handle.timers == {1000}
+    assert handle.calls <= 4
+    handle.timers.clear()
+    out = pd.concat(told.handleExpiredTimer((0,), clock(5000), None))
+    assert len(out) == len(frame) and handle.calls <= 20 + 16
+    # the leases of the rest end by themselves, at once
+    assert handle.timers == {601_001}
+    handle.timers.clear()
+    out = pd.concat(told.handleExpiredTimer((0,), clock(700_000), None))
+    assert sorted(out["job_id"]) == list(range(20, 500)) and set(out["event"]) == {"expire"} and not handle.timers
+
+
 def plain_sessions(times, idle, longest):
     out = []
     for t in sorted(times):

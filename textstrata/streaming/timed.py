@@ -4,9 +4,9 @@ A machine holds the rules: ``start()`` is a key's first state, ``step(state, at,
 rows, ``due(state)`` is the time (ms) at which something happens without an event, or none, and ``expire(state)`` does it and returns its
 row. Whatever is due before an event, or before the time that a run is brought up to, happens first. States are JSON objects.
 
-Batch: one shuffle by key, rows streamed in order with one state in memory; a key's events are never held together. Stream: events wait in the
-key's state until the watermark has passed them, so their order does not depend on how they arrive, and a timer brings the key on; what is due
-is put out by the timer, without a further event. Both give the same rows up to the watermark. Events later than the watermark are dropped,
+Batch: one shuffle by key, rows streamed in order with one state in memory; a key's events are never held together. Stream: keys lie in many
+buckets; events wait in their bucket's state until the watermark has passed them, so their order does not depend on how they arrive, and a timer
+brings its keys on; what is due is put out by the timer, without a further event. A key is of a plain type (number, string, time). Both give the same rows up to the watermark. Events later than the watermark are dropped,
 and those without a key or a time are nobody's.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: The provider that keeps lists and timers.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups of keys that a stream holds together, and the most rows of a frame.
+BUCKETS, FRAME = 1024, 10_000
 
 
 def advance(machine, state: dict, rows, until: float) -> Iterator[dict]:
@@ -75,59 +77,96 @@ def folded(events: DataFrame, machine, key: str, ts: str = "ts", seq: str = "seq
 
 
 class _Timed(StatefulProcessor):
-    """A key's waiting events and state; one timer, for the earliest of both."""
+    """The waiting events and states of a bucket of keys; one timer, for the earliest of all.
 
-    def __init__(self, machine, key: str) -> None:
-        self.machine, self.key = machine, key
+    A call to the state store costs far more than a step of a machine. So waiting events lie in the store by the frame, and the states of keys that
+    have something due lie together. Each other key has an entry of its own, which only its events touch.
+    """
+
+    def __init__(self, machine, key: str, kind: str) -> None:
+        self.machine, self.key, self.kind = machine, key, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "state string, wake long")
-        self.waiting = handle.getListState("waiting", "at long, seq long, what string")
-
-    def _state(self) -> tuple[dict, int | None]:
-        got = self.held.get() if self.held.exists() else None
-        return (self.machine.start(), None) if got is None else (json.loads(got[0]), got[1])
-
-    def _hold(self, state: dict, was: int | None, wake: int | None) -> None:
-        if was != wake:
-            if was is not None:
-                self.handle.deleteTimer(was)
-            if wake is not None:
-                self.handle.registerTimer(wake)
-        self.held.update((json.dumps(state), wake))
+        self.waiting = handle.getListState("waiting", f"key array<{self.kind}>, at array<bigint>, seq array<bigint>, what array<string>")
+        self.open = handle.getListState("open", f"key array<{self.kind}>, due array<bigint>, state array<string>")
+        self.rest = handle.getMapState("rest", f"key {self.kind}", "state string")
+        self.timer = handle.getValueState("timer", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh = [(int(at), int(n), what) for frame in rows for at, n, what in zip(frame["at"], frame["seq"], frame["what"])]
-        self.waiting.appendList(fresh)
-        state, wake = self._state()
-        first = min(at for at, _, _ in fresh)
-        self._hold(state, wake, first if wake is None else min(wake, first))
+        firsts = []
+        for frame in rows:
+            self.waiting.appendValue((frame["key"].tolist(), frame["at"].tolist(), frame["seq"].astype("int64").tolist(), frame["what"].tolist()))
+            firsts.append(int(frame["at"].min()))
+        was, first = self.timer.get(), min(firsts)
+        if was is None or first < was[0]:
+            if was is not None:
+                self.handle.deleteTimer(was[0])
+            self._wake(first)
         return iter([])
 
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
-        state, wake = self._state()
-        rows = sorted((r[0], r[1], r[2]) for r in self.waiting.get())
-        passed = [(at, n, json.loads(what)) for at, n, what in rows if at < mark]
-        left = rows[len(passed) :]
-        out = [{self.key: key[0], **row} for row in advance(self.machine, state, passed, mark)]
-        if left:
-            self.waiting.put(left)
-        else:
-            self.waiting.clear()
-        due = self.machine.due(state)
-        next_wake = min((t for t in (due, left[0][0] if left else None) if t is not None), default=None)
+        names = [self.key, *_names(self.machine.schema)]
+        left, passed = [], {}
+        for keys, ats, seqs, whats in self.waiting.get():
+            for k, at, seq, what in zip(keys, ats, seqs, whats):
+                if at < mark:
+                    passed.setdefault(k, []).append((at, seq, what))
+                else:
+                    left.append((k, at, seq, what))
+        due = {k: (t, state) for keys, dues, states in self.open.get() for k, t, state in zip(keys, dues, states)}
+        for k, (t, _) in due.items():
+            if t < mark:
+                passed.setdefault(k, [])
+        # what the bucket never held isn't looked up
+        held, out = self.rest.exists(), []
+        for k, rows in passed.items():
+            own = due.pop(k)[1] if k in due else None
+            if own is None and held:
+                got = self.rest.getValue((k,))
+                own = got[0] if got is not None else None
+            state = self.machine.start() if own is None else json.loads(own)
+            out += [{self.key: k, **row} for row in advance(self.machine, state, [(at, n, json.loads(what)) for at, n, what in sorted(rows)], mark)]
+            t = self.machine.due(state)
+            if t is not None:
+                due[k] = (t, json.dumps(state))
+            elif state != self.machine.start():
+                self.rest.updateValue((k,), (json.dumps(state),))
+            elif held:
+                self.rest.removeKey((k,))
+            if len(out) >= FRAME:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        self._put(self.waiting, left)
+        self._put(self.open, [(k, t, state) for k, (t, state) in due.items()])
+        wake = min((t for t in (*(r[1] for r in left), *(t for t, _ in due.values()))), default=None)
         # the timer that fired is gone already
-        self._hold(state, None, next_wake)
-        yield pd.DataFrame(out, columns=[self.key, *_names(self.machine.schema)])
+        if wake is None:
+            self.timer.clear()
+        else:
+            self._wake(wake)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    def _put(self, state, rows: list[tuple]) -> None:
+        """Rows in place of those held, by the frame."""
+        if rows:
+            state.put([tuple(list(c) for c in zip(*rows[i : i + FRAME])) for i in range(0, len(rows), FRAME)])
+        else:
+            state.clear()
 
     def close(self) -> None:
         pass
 
 
-def timed_stream(events: DataFrame, machine, key: str, ts: str = "ts", seq: str = "seq", late: str = "1 hour") -> DataFrame:
-    """The machine's outputs over a stream, once the watermark (``late`` behind the newest event) has passed."""
+def timed_stream(events: DataFrame, machine, key: str, ts: str = "ts", seq: str = "seq", late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
+    """The machine's outputs over a stream, once the watermark (``late`` behind the newest event) has passed. A checkpoint keeps its ``buckets``."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    rows = _rows(events, key, ts, seq).withWatermark("ts", late)
-    return rows.groupBy("key").transformWithStateInPandas(_Timed(machine, key), _schema(events, key, machine), "Append", "EventTime")
+    rows = _rows(events, key, ts, seq).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).withWatermark("ts", late)
+    run = _Timed(machine, key, dict(events.dtypes)[key])
+    return rows.groupBy("bucket").transformWithStateInPandas(run, _schema(events, key, machine), "Append", "EventTime")
