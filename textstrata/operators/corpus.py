@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import MEDIA_ORDER, NOT_RANKED, STATUS_ORDER, UNLABELLED
+from ..sources.commits import staged
 
 
 def place_in(c: Column, order: list[str]) -> Column:
@@ -82,8 +83,10 @@ def published_citations(pages: DataFrame, revisions: DataFrame, citations: DataF
     provisions: provision_id, identity_id, version_id, current_sha; identities: identity_id, provision_number; versions: version_id, instrument_id,
     legal_status; instruments: instrument_id, title.
     """
-    shown = pages.withColumnRenamed("published_revision", "number").join(revisions, ["page_id", "number"])
-    cited = shown.join(citations, "revision_id").join(provisions, "provision_id").join(identities, "identity_id").join(versions, "version_id").join(instruments, "instrument_id")
+    # tables that grow are merged: their files are small beside their rows, which a broadcast would hold in each task
+    shown = pages.withColumnRenamed("published_revision", "number").join(revisions.hint("merge"), ["page_id", "number"])
+    cited = shown.join(citations.hint("merge"), "revision_id").join(provisions.hint("merge"), "provision_id").join(identities.hint("merge"), "identity_id")
+    cited = cited.join(versions, "version_id").join(instruments, "instrument_id")
     return cited.select("page_id", F.concat_ws(" ", "title", "provision_number").alias("place"), "legal_status", "current_sha", "snapshot_sha")
 
 
@@ -107,14 +110,17 @@ def source_conflicts(landings: DataFrame) -> DataFrame:
 def withdrawal(artifacts: DataFrame, versions: DataFrame, provisions: DataFrame, identities: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
     """What goes when the artifacts ``gone`` (artifact_id) are withdrawn: a plan, nothing is written.
 
-    A version goes if all its artifacts do, an instrument if all its versions do, an identity if it keeps no provision.
+    A version goes if all its artifacts do, an instrument if all its versions do, an identity if it keeps no provision. The versions that go are
+    staged, so that the artifacts are gone through once for them and not once for each part of the plan.
     """
     left = artifacts.join(gone, "artifact_id", "left_anti")
-    touched = artifacts.join(gone, "artifact_id", "left_semi").select("version_id").distinct()
-    removed = touched.join(left, "version_id", "left_anti")
+    marked = artifacts.select("version_id", "artifact_id").join(gone.select("artifact_id").distinct().withColumn("_gone", F.lit(True)), "artifact_id", "left")
+    fate = marked.groupBy("version_id").agg(F.max(F.coalesce("_gone", F.lit(False))).alias("_some"), F.min(F.coalesce("_gone", F.lit(False))).alias("_all"))
+    # every other part asks for it: told once
+    removed = staged(fate.filter(F.col("_some") & (F.col("_all") | F.col("version_id").isNull())).select("version_id"), "withdrawn")
     kept = versions.join(removed, "version_id", "left_anti")
     instruments = versions.join(removed, "version_id", "left_semi").select("instrument_id").distinct().join(kept, "instrument_id", "left_anti")
-    staying = provisions.join(removed, "version_id", "left_anti")
+    staying = provisions.join(removed, "version_id", "left_anti").select("identity_id").distinct()
     orphans = identities.join(staying, "identity_id", "left_anti")
     return {"artifacts": gone, "survivors": left, "versions": removed, "instruments": instruments, "provisions": provisions.join(removed, "version_id", "left_semi"), "identities": orphans}
 
