@@ -183,7 +183,7 @@ def published_staleness(spark, d):
     part = table(spark, d, "part")
     provisions = part.select(F.col("p_partkey").alias("provision_id"), F.col("p_partkey").alias("identity_id"), (F.col("p_size") % 25).alias("version_id"), F.sha2("p_name", 256).alias("current_sha"))
     snapshot = F.when(F.col("l_linenumber") % 4 == 0, F.lit(None)).when(F.col("l_linenumber") % 3 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("p_name", 256))
-    cited = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("revision_id"), F.col("l_partkey").alias("provision_id"), snapshot.alias("snapshot_sha"))
+    cited = table(spark, d, "lineitem").join(part.hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("revision_id"), F.col("l_partkey").alias("provision_id"), snapshot.alias("snapshot_sha"))
     identities = part.select(F.col("p_partkey").alias("identity_id"), F.col("p_size").cast("string").alias("provision_number"))
     versions = table(spark, d, "nation").select(F.col("n_nationkey").alias("version_id"), F.col("n_regionkey").alias("instrument_id"), F.when(F.col("n_regionkey") == 2, "repealed").otherwise("effective").alias("legal_status"))
     instruments = table(spark, d, "region").select(F.col("r_regionkey").alias("instrument_id"), F.col("r_name").alias("title"))
