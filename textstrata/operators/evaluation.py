@@ -21,9 +21,13 @@ def query_scores(hits: DataFrame, expected: DataFrame, query: str = "query_id",
     """Per query: n_expected, n_returned, found, first_rank, rr, recall, found and returned at 5 and 10. Hits carry ``rank`` from 1."""
     wanted = expected.select(query, key).distinct()
     good = hits.join(wanted.withColumn("_good", F.lit(1)), [query, key], "left").withColumn("_good", F.coalesce("_good", F.lit(0)))
+    return graded_scores(good, wanted.groupBy(query).agg(F.count(F.lit(1)).alias("n_expected")), query)
+
+
+def graded_scores(good: DataFrame, sizes: DataFrame, query: str = "query_id") -> DataFrame:
+    """The same of hits that are graded already (``_good`` 1 or 0) and the number expected of each query, where pairs that are expected would be many."""
     at = lambda k: [F.sum(F.when(F.col("rank") <= k, F.col("_good")).otherwise(0)).alias(f"found_{k}"), F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias(f"returned_{k}")]
     own = good.groupBy(query).agg(F.sum("_good").alias("found"), F.count(F.lit(1)).alias("n_returned"), F.min(F.when(F.col("_good") == 1, F.col("rank"))).alias("first_rank"), *at(5), *at(10))
-    sizes = wanted.groupBy(query).agg(F.count(F.lit(1)).alias("n_expected"))
     both = sizes.join(own, query, "full").na.fill(0, ["n_expected", "found", "n_returned", "found_5", "returned_5", "found_10", "returned_10"])
     return both.withColumn("rr", F.coalesce(1 / F.col("first_rank"), F.lit(0.0))).withColumn("recall", F.when(F.col("n_expected") > 0, F.col("found") / F.col("n_expected")))
 

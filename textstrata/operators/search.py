@@ -281,6 +281,128 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return _near_pairs(vectors, queries, key, vector, k, farthest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Queries of one block where all vectors are asked, vectors that one task compares it with, and the digits of a distance that count.
+EACH_BLOCK, EACH_SHARE, DIGITS = 4096, 65_536, 9
+
+
+def _whole_blocks(rows: DataFrame, block: int, kind: str) -> DataFrame:
+    """Rows (key, v) as blocks (no, size, keys, packed), of all rows of a partition, whatever batches they come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (got := list(batches)):
+            return
+        table, no = pa.Table.from_batches(got), 0
+        sizes = pc.list_value_length(table["v"])
+        for size in pc.unique(sizes).to_pylist():
+            own = table.filter(pc.equal(sizes, size))
+            for at in range(0, own.num_rows, block):
+                part = own.slice(at, block)
+                flat = pc.list_flatten(part["v"]).to_numpy().astype(kind)
+                yield pa.RecordBatch.from_pydict({"no": pa.array([no], pa.int32()), "size": pa.array([size], pa.int32()), "keys": pa.array([part["key"].to_numpy().tobytes()]), "packed": pa.array([flat.tobytes()])})
+                no += 1
+
+    return rows.mapInArrow(run, "no int, size int, keys binary, packed binary")
+
+
+def _firsts(k: int, group: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Places of the first k of each group in an order, groups ascending."""
+    at = np.lexsort((*reversed(order), group))
+    own = group[at]
+    return at[np.arange(len(at)) - np.searchsorted(own, own) < k]
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
+def _copies(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different row, and of each row the number of its like."""
+    _, first, like = np.unique(np.ascontiguousarray(m).view(f"V{m.itemsize * m.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, like.ravel()
+
+
+class _Nearest:
+    """The k nearest to each of a block's queries in the blocks of vectors seen so far, by rounded distance, then key. Copies are asked once."""
+
+    def __init__(self, keys: np.ndarray, asked: np.ndarray, k: int) -> None:
+        first, self.like = _copies(asked)
+        self.ids, self.asked, self.k = keys, asked[first].astype("float64"), k
+        self.unit, self.far = _unit(self.asked), np.full(len(first), np.inf)
+        self.q, self.key, self.away = np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+
+    def see(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        # of equal vectors, which have equal distances, only the k first can be among the k nearest
+        kept = _firsts(self.k, _copies(vectors)[1], keys)
+        keys, vectors = keys[kept], vectors[kept].astype("float64")
+        unit, found = _unit(vectors).T, [(self.q, self.key, self.away)]
+        for at in range(0, len(self.asked), 512):
+            rough, most = 1 - self.unit[at : at + 512] @ unit, self.far[at : at + 512]
+            if self.k < len(vectors) and np.isinf(most).any():
+                most = np.minimum(most, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
+            q, v = np.nonzero(rough <= (most + SLACK)[:, None])
+            for i in range(0, len(q), 65_536):
+                own, other = at + q[i : i + 65_536], v[i : i + 65_536]
+                found.append((own, keys[other], np.round(exact_distances(self.asked[own], vectors[other]), DIGITS) + 0.0))
+        q, key, away = (np.concatenate(x) for x in zip(*found, strict=True))
+        kept = _firsts(self.k, q, away, key)
+        self.q, self.key, self.away = q[kept], key[kept], away[kept]
+        count = np.bincount(self.q, minlength=len(self.asked))
+        full = count == self.k
+        self.far[full] = self.away[np.cumsum(count)[full] - 1]
+
+    def rows(self) -> pa.RecordBatch:
+        """(query_id, key, distance) of all queries, copies too."""
+        count = np.bincount(self.q, minlength=len(self.asked))
+        start, n = (np.cumsum(count) - count)[self.like], count[self.like]
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(self.key[at]), pa.array(self.away[at])], ["query_id", "key", "distance"])
+
+
+def nearest_each(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Of every vector the k nearest others, exact: (query_id, key, distance, rank) by the distance in 9 digits, then key, a whole number.
+
+    All vectors are compared, so work grows with their square; what is sent and kept grows with the vectors. A task has one block of queries and
+    goes through a share of the blocks of vectors, neither of which is broadcast. As in SQL, vectors without an angle to any (zero, no numbers)
+    come after the others, those that are null or empty last, each in order of the keys and with a null distance.
+    """
+    elements = "float" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+    values, code = F.col(vector).cast(f"array<{elements}>"), {"float": "float32", "double": "float64"}[elements]
+    square = F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    blank = F.when((F.size(values) < 1) | square.isNull(), 2).when((square > 0) & (square < float("inf")), 0).otherwise(1)
+    rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), values.alias("v"), F.coalesce(blank, F.lit(2)).alias("blank"))
+    whole = rows.filter("blank = 0").select("key", "v")
+    n = whole.count()
+    some = min(EACH_BLOCK, max(-(-n // (4 * vectors.sparkSession.sparkContext.defaultParallelism)), EACH_BLOCK // 16, 1))
+    dealt = lambda size, per: max(1, -(-size // per))
+    asked = _whole_blocks(whole.repartition(dealt(n, some)), EACH_BLOCK, code).select("no", F.col("size").alias("asked_size"), F.col("keys").alias("ids"), F.col("packed").alias("asked"))
+    own = _whole_blocks(whole.repartition(dealt(n, EACH_BLOCK)), EACH_BLOCK, code).drop("no").repartition(dealt(n, EACH_SHARE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no, near = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys = lambda c: np.frombuffer(batch[c][r].as_buffer(), dtype="int64")  # noqa: B023, E731
+                matrix = lambda c, size: np.frombuffer(batch[c][r].as_buffer(), dtype=code).reshape(-1, batch[size][r].as_py())  # noqa: B023, E731
+                if (now := batch["no"][r].as_py()) != no:
+                    if near is not None:
+                        yield near.rows()
+                    no, near = now, _Nearest(keys("ids"), matrix("asked", "asked_size"), k + 1)
+                if batch["size"][r] == batch["asked_size"][r]:
+                    near.see(keys("keys"), matrix("packed", "size"))
+        if near is not None:
+            yield near.rows()
+
+    # each task pairs its block of queries with all blocks of its share in turn
+    near = asked.crossJoin(own.hint("shuffle_replicate_nl")).mapInArrow(run, "query_id long, key long, distance double").withColumn("blank", F.lit(0))
+    least = rows.select("key", "blank").withColumn("n", F.row_number().over(Window.partitionBy("blank").orderBy("key"))).filter(F.col("n") <= k + 1).select("key", F.col("blank").alias("other"))
+    # at most k + 1 rows of each of three kinds
+    rest = rows.select(F.col("key").alias("query_id"), "blank").join(F.broadcast(least), F.greatest("blank", "other") > 0)
+    rest = rest.select("query_id", "key", F.lit(None).cast("double").alias("distance"), F.greatest("blank", "other").alias("blank"))
+    order = Window.partitionBy("query_id").orderBy("blank", "distance", "key")
+    ranked = near.unionByName(rest).filter("query_id <> key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("key").alias(key), "distance", "rank")
+
+
 def cascade(primary: DataFrame, fallback: DataFrame, query: str = "query_id") -> DataFrame:
     """The primary's rows, and the fallback's for queries without any; ``arm`` tells which."""
     rest = fallback.join(primary.select(query).distinct(), query, "left_anti")
