@@ -281,8 +281,8 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return _near_pairs(vectors, queries, key, vector, k, farthest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-#: Queries of one block where all vectors are asked, vectors that one task compares it with, and the digits of a distance that count.
-EACH_BLOCK, EACH_SHARE, DIGITS = 4096, 65_536, 9
+#: Where all vectors are asked: queries of one block and of one matrix product, vectors that a task compares a block with, digits of a distance.
+EACH_BLOCK, TILE, EACH_SHARE, DIGITS = 4096, 128, 65_536, 9
 
 
 def _whole_blocks(rows: DataFrame, block: int, kind: str) -> DataFrame:
@@ -335,11 +335,14 @@ class _Nearest:
         kept = _firsts(self.k, _copies(vectors)[1], keys)
         keys, vectors = keys[kept], vectors[kept].astype("float64")
         unit, found = _unit(vectors).T, [(self.q, self.key, self.away)]
-        for at in range(0, len(self.asked), 512):
-            rough, most = 1 - self.unit[at : at + 512] @ unit, self.far[at : at + 512]
-            if self.k < len(vectors) and np.isinf(most).any():
-                most = np.minimum(most, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
-            q, v = np.nonzero(rough <= (most + SLACK)[:, None])
+        like, near = np.empty((TILE, len(vectors))), np.empty((TILE, len(vectors)), "bool")
+        for at in range(0, len(self.asked), TILE):
+            n = len(least := 1 - self.far[at : at + TILE])
+            np.matmul(self.unit[at : at + TILE], unit, out=like[:n])
+            if self.k < len(vectors) and np.isinf(least).any():
+                least = np.maximum(least, np.partition(like[:n], -self.k, axis=1)[:, -self.k])
+            np.greater_equal(like[:n], (least - SLACK)[:, None], out=near[:n])
+            q, v = np.divmod(np.flatnonzero(near[:n]), len(vectors))
             for i in range(0, len(q), 65_536):
                 own, other = at + q[i : i + 65_536], v[i : i + 65_536]
                 found.append((own, keys[other], np.round(exact_distances(self.asked[own], vectors[other]), DIGITS) + 0.0))
